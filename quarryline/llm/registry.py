@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import bpe, decontaminate, line_dedup, quality, token_counts
+from quarryline.llm import bpe, decontaminate, line_dedup, minhash_near_dedup, quality, token_counts
 from quarryline.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,8 +44,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontamination, op2_bpe_round_trip, op4_line_dedup, op5_quality, op6_token_counts)}
+    return {f.__name__: f for f in (op1_decontamination, op2_bpe_round_trip, op4_line_dedup, op5_quality, op6_token_counts, op7_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
