@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import bpe, decontaminate, line_dedup, minhash_near_dedup, quality, token_counts
+from quarryline.llm import bpe, decontaminate, embedding_near_dedup, line_dedup, minhash_near_dedup, quality, token_counts
 from quarryline.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,8 +48,23 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_near_dedup.near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = (
+    op1_decontamination,
+    op2_bpe_round_trip,
+    op4_line_dedup,
+    op5_quality,
+    op6_token_counts,
+    op7_minhash_near_dedup,
+    op10_embedding_near_dedup,
+)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontamination, op2_bpe_round_trip, op4_line_dedup, op5_quality, op6_token_counts, op7_minhash_near_dedup)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:

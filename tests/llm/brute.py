@@ -90,3 +90,29 @@ def op7(docs):
     links = [(a, b) for (a, b), n in shared.items() if 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n)]
     of = components(sets, links)
     return [(doc, len(sets[doc]), of[doc], of[doc] == doc) for doc in sets]
+
+
+def op10(rows, least=0.93):
+    """Ids must be distinct and not null."""
+    import numpy as np
+
+    ok = {}
+    for vec, v, label in rows:
+        if label is not None and v is not None and None not in v and len(v):
+            x = np.array(v, float)
+            if np.isfinite(x).all() and np.linalg.norm(x) > 0:
+                ok[vec] = (label, x / np.linalg.norm(x))
+    links = []
+    for label in {k for k, _ in ok.values()}:
+        ids = [i for i, (k, _) in ok.items() if k == label]
+        for size in {len(ok[i][1]) for i in ids}:
+            own = [i for i in ids if len(ok[i][1]) == size]
+            x = np.stack([ok[i][1] for i in own])
+            a, b = np.nonzero(np.triu(x @ x.T >= least, 1))
+            links += [(own[i], own[j]) for i, j in zip(a, b)]
+    of = components([r[0] for r in rows], links)
+    n = defaultdict(int)
+    for a, b in links:
+        n[a] += 1
+        n[b] += 1
+    return [(r[0], n[r[0]], of[r[0]], of[r[0]] == r[0]) for r in rows]
