@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import bpe, decontaminate, embedding_near_dedup, line_dedup, minhash_near_dedup, quality, token_counts
+from quarryline.llm import bpe, decontaminate, embedding_near_dedup, line_dedup, minhash_near_dedup, quality, secret_scan, token_counts, url_filter
 from quarryline.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,14 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(read_table(spark, sf_dir, "pages"))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(read_table(spark, sf_dir, "documents"))
+
+
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_near_dedup.near_vectors(read_table(spark, sf_dir, "embeddings"))
 
@@ -59,6 +67,8 @@ QUERIES = (
     op5_quality,
     op6_token_counts,
     op7_minhash_near_dedup,
+    op8_url_filter,
+    op9_secret_scan,
     op10_embedding_near_dedup,
 )
 

@@ -116,3 +116,31 @@ def op10(rows, least=0.93):
         n[a] += 1
         n[b] += 1
     return [(r[0], n[r[0]], of[r[0]], of[r[0]] == r[0]) for r in rows]
+
+
+def op9_base(docs):
+    kinds = (
+        ("assign", r"""((?:(?i:password|passwd|secret|token|api_?key)))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 6),
+        ("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20),
+        ("hex", r"[0-9a-f]+", lambda m: len(m[0]) >= 24),
+    )
+    out = []
+    for doc, text in docs:
+        spans = [(m.start(), k, m.end()) for k, (_, p, ok) in enumerate(kinds) for m in re.finditer(p, text or "") if ok(m)]
+        digest = sha(",".join(f"{kinds[k][0]}:{s}:{e}" for s, k, e in sorted(spans)))
+        out.append((doc, *(sum(1 for x in spans if x[1] == k) for k in range(3)), digest))
+    return out
+
+
+def host_path(url):
+    if url is None or "://" not in url:
+        return "", ""
+    rest = url[url.index("://") + 3 :]
+    host = re.match(r"[^/?#]*", rest)[0]
+    return ascii_lower(host), re.match(r"[^?#]*", rest[len(host) :])[0]
+
+
+def op8_rule(url, rules):
+    host, path = host_path(url)
+    fits = [(len(h + p), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return max(fits)[1:] if fits else (None, None)
