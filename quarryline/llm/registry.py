@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import bpe, decontaminate, embedding_near_dedup, line_dedup, minhash_near_dedup, quality, secret_scan, token_counts, url_filter
+from quarryline.llm import bpe, decontaminate, embedding_near_dedup, line_dedup, minhash_near_dedup, quality, secret_scan, substring_dedup, token_counts, url_filter
 from quarryline.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,10 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.passage_classes(read_table(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(read_table(spark, sf_dir, "documents"))
 
@@ -63,6 +67,7 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = (
     op1_decontamination,
     op2_bpe_round_trip,
+    op3_substring_dedup,
     op4_line_dedup,
     op5_quality,
     op6_token_counts,
