@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import ASCII_LOWER, ASCII_SPACE, materialise, scratch_path, utf8
+from quarryline.llm.common import ASCII_LOWER, ASCII_SPACE, fresh, materialise, scratch_path, utf8
 
 #: Runs of one level that are compacted into one run of the next.
 FANOUT = 3
@@ -184,4 +184,6 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: in
     names = docs.columns
     at = names.index(text_col)
     drops = line_drops(docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("raw")), min_chars, batches)
-    return docs.join(drops, docs[id_col] == drops["_doc"], "left").drop("_doc").mapInArrow(run, docs.schema)
+    key, gone = fresh(docs, "_doc"), fresh(docs, "_dropped")
+    drops = drops.toDF(key, gone)
+    return docs.join(drops, F.col(id_col) == F.col(key), "left").drop(key).mapInArrow(run, docs.schema)

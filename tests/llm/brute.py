@@ -144,3 +144,45 @@ def op8_rule(url, rules):
     host, path = host_path(url)
     fits = [(len(h + p), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
     return max(fits)[1:] if fits else (None, None)
+
+
+def op2(docs, path):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    t.no_padding()
+    t.no_truncation()
+    out = []
+    for doc, text in docs:
+        ids = t.encode(text or "", add_special_tokens=False).ids
+        out.append((doc, len(ids), sha(" ".join(map(str, ids))), sha(t.decode(ids, skip_special_tokens=False))))
+    return out
+
+
+def op6(docs, path, limit=1024):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    t.no_padding()
+    t.no_truncation()
+    out = []
+    for doc, text in docs:
+        n = len(t.encode(text or "", add_special_tokens=False).ids)
+        out.append((doc, len((text or "").encode()), n, n > limit))
+    return out
+
+
+def kept_lines(docs, least=10):
+    """The texts that line dedup leaves."""
+    report = {}
+
+    def key(line):
+        return ascii_lower(line.strip(" \t\n\x0b\x0c\r"))
+
+    first = {}
+    for doc, text in docs:
+        for line in (text or "").split("\n"):
+            first[key(line)] = min(doc, first.get(key(line), doc))
+    for doc, text in docs:
+        report[doc] = text if text is None else "\n".join(x for x in text.split("\n") if len(key(x)) < least or first[key(x)] == doc)
+    return report
