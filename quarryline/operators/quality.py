@@ -2,7 +2,7 @@
 
 Every rule reads aggregates that Spark makes in a handful of passes (null counts, value counts,
 text metrics, numeric facts, fences, correlations); what reaches the driver is one small row for
-each column.  A finding is (rule_id, category, column, severity, confidence, count, rate, action,
+each column.  A finding is (rule_id, category, column, severity, confidence, detected_count, detected_rate, action,
 score_impact, issue_nature, evidence).
 """
 
@@ -21,7 +21,7 @@ from quarryline.operators import profile as P
 from quarryline.operators.duplicates import duplicate_summary, identical_columns
 from quarryline.operators.outliers import fences_of, integer_domain
 
-FINDINGS = "rule_id string, category string, column string, severity string, confidence string, count bigint, rate double, action string, score_impact double, issue_nature string, evidence string"
+FINDINGS = "rule_id string, category string, column string, severity string, confidence string, detected_count bigint, detected_rate double, action string, score_impact double, issue_nature string, evidence string"
 
 #: Limits of the rules.
 SMALL_ROWS, NEAR_CONSTANT, HIGH_CORRELATION, MOST_CORRELATED = 20, 0.99, 0.95, 100
