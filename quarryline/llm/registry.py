@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import bpe, decontaminate, embedding_near_dedup, line_dedup, minhash_near_dedup, quality, secret_scan, substring_dedup, token_counts, url_filter
+from quarryline.llm import bpe, decontaminate, embedding_near_dedup, line_dedup, minhash_near_dedup, oracles, quality, secret_scan, substring_dedup, token_counts, url_filter
 from quarryline.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,4 +83,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)

@@ -29,6 +29,8 @@ RULES = (
 )
 #: Least share of labelled URLs that hold a mined rule's tokens and its label.
 MIN_SUPPORT = 0.002
+#: Labelled URLs that have to hold a mined rule's tokens and its label whatever the share.
+MIN_COUNT = 10
 #: Least share of the label among labelled URLs with a mined rule's tokens.
 MIN_CONFIDENCE = 0.8
 _LABEL = "label="
@@ -75,13 +77,17 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
     )
 
 
-def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_count: int = MIN_COUNT) -> DataFrame:
     """(antecedent, label, confidence, support) of ``labelled`` (tokens array<string>, label).
 
-    Rows without tokens or label teach nothing; no labelled rows give no rules.
+    Rows without tokens or label teach nothing; fewer than ``min_count`` labelled rows give no
+    rules.
     """
     baskets = labelled.where("label is not null and size(tokens) > 0").select(F.array_append("tokens", F.concat(F.lit(_LABEL), "label")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
+    n = baskets.count()
+    # just under the share of min_count, so that rounding doesn't ask for one more
+    support = min(1.0, max(min_support, (min_count - 1e-9) / max(1, n))) if n >= min_count else 1.0
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets if n >= min_count else baskets.where("false"))
     found = (
         model.associationRules.where((F.size("consequent") == 1) & F.col("consequent")[0].startswith(_LABEL))
         .where(~F.exists("antecedent", lambda t: t.startswith(_LABEL)))
@@ -114,6 +120,7 @@ def judge_urls(
     default: str = "allow",
     min_support: float = MIN_SUPPORT,
     min_confidence: float = MIN_CONFIDENCE,
+    min_count: int = MIN_COUNT,
     id_col: str = "page_id",
     url_col: str = "url",
 ) -> DataFrame:
@@ -129,7 +136,7 @@ def judge_urls(
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url")).withColumns({"host": host, "path": path})
     rows = rows.withColumns({"fit": fitting_rule(F.col("host"), F.col("path"), rules), "tokens": url_tokens(F.col("url"), F.col("host"), F.col("path"))})
     rows = materialise(rows.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.col("fit.verdict").alias("fixed"), "tokens"), "urls")
-    mined = mine_rules(rows.where("rule is not null").select("tokens", F.col("fixed").alias("label")), min_support, min_confidence)
+    mined = mine_rules(rows.where("rule is not null").select("tokens", F.col("fixed").alias("label")), min_support, min_confidence, min_count)
     # each set of tokens is judged once, however many pages a host has
     labels = match_rules(rows.where("rule is null").select("tokens").distinct(), mined).withColumnRenamed("tokens", "set")
     open_, done = rows.where("rule is null"), rows.where("rule is not null")

@@ -121,7 +121,7 @@ def mined(labelled, min_support, min_confidence):
 def test_urls(spark):
     rows = urls()
     pages = spark.createDataFrame([(i, u, "x", 1) for i, u in rows] + [(None, rows[5][1], "x", 1), (5, rows[5][1], "x", 1)], "page_id long, url string, host string, tokens int")
-    got = {r.page_id: r for r in url_filter.judge_urls(pages, min_support=0.05).collect()}
+    got = {r.page_id: r for r in url_filter.judge_urls(pages, min_support=0.05, min_count=2).collect()}
     assert url_filter.judge_urls(pages).count() == len(rows) + 2
     host, path = url_filter.host_and_path(F.col("url"))
     tokens = {r.page_id: tuple(r.t) for r in pages.withColumns({"h": host, "p": path}).select("page_id", url_filter.url_tokens(F.col("url"), F.col("h"), F.col("p")).alias("t")).collect()}
