@@ -67,6 +67,13 @@ def utf8(column: str | Column) -> Column:
     return F.coalesce(c, F.lit("")).cast("binary")
 
 
+def left_join_set(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
+    """A left join in which the rows without a key, which may be many, take no part in the
+    shuffle: hashed, they would all land in one task."""
+    met = left.where(F.col(left_key).isNotNull()).join(right, F.col(left_key) == F.col(right_key), "left")
+    return met.unionByName(left.where(F.col(left_key).isNull()), allowMissingColumns=True)
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): each node of an undirected edge list with the smallest node it reaches.
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import connected_components, fresh, materialise, utf8
+from quarryline.llm.common import connected_components, fresh, left_join_set, materialise, utf8
 from quarryline.llm.shingles import shingle_set
 
 #: Positions that shingles are dealt to; the second permutation is of these.
@@ -43,7 +43,7 @@ LEAST_EQUAL = 0.675
 #: Members of a bucket that one block holds.
 BLOCK = 512
 #: Members that are confirmed against one copy of a bucket's smallest member.
-CHUNK = 1000
+CHUNK = 200
 _BATCH = 4096
 
 
@@ -153,19 +153,20 @@ def confirm(pairs: DataFrame, bodies: DataFrame, percent: int, shingle_words: in
 
 def _rest_pairs(entries: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs (a, b) between different components of a bucket, for ``entries``
-    (band, rep, n, comp, sig, members): blocks of a bucket are compared two by two."""
+    (band, rep, n, comp, sig, bands, members): blocks of a bucket are compared two by two.  A pair
+    that shares several of the buckets (``bands`` lists a member's) is made in the lowest only."""
     blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
     own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
     dealt = (
         entries.withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "n", "comp", "sig")
+        .select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "n", "comp", "sig", "bands")
         .repartition("band", "i", "j")
         .sortWithinPartitions("band", "i", "j")
     )
 
     def compare(key: tuple, rows: list[tuple]) -> Iterator[tuple[int, int]]:
-        _, i, j = key
+        band, i, j = key
         left = [r for r in rows if r[0] == i]
         right = left if i == j else [r for r in rows if r[0] == j]
         if not left or not right:
@@ -179,15 +180,16 @@ def _rest_pairs(entries: DataFrame, percent: int) -> DataFrame:
             at = np.flatnonzero(fit)
             if len(at):
                 equal = (sig[at] == np.frombuffer(r[4], np.uint8)).mean(1)
-                for b in rep[at[equal >= LEAST_EQUAL]].tolist():
-                    yield min(r[1], b), max(r[1], b)
+                for k in at[equal >= LEAST_EQUAL].tolist():
+                    if np.intersect1d(r[5], right[k][5], assume_unique=True)[0] == band:
+                        yield min(r[1], right[k][1]), max(r[1], right[k][1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
         for batch in batches:
             found: set[tuple[int, int]] = set()
-            cols = [batch.column(k).to_pylist() for k in range(8)]
-            for row in zip(*cols, strict=True):
+            lists = (np.asarray(x.values) for x in batch.column(8))
+            for row in zip(*(batch.column(k).to_pylist() for k in range(8)), lists, strict=True):
                 if row[:3] != key:
                     if rows:
                         found.update(compare(key, rows))
@@ -233,7 +235,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle_words: int = 5,
 
     joined = multi.join(label, F.col("rep") == F.col("node"), "left").select("band", "rep", "members", F.coalesce("component", "rep").alias("comp"))
     open_ = joined.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("band")
-    entries = joined.join(open_, "band", "left_semi").join(classes.select("rep", "n", "sig"), "rep")
+    entries = materialise(joined.join(open_, "band", "left_semi"), "open")
+    of_rep = entries.groupBy("rep").agg(F.array_sort(F.collect_set("band")).alias("bands"))  # BANDS at most
+    entries = entries.join(of_rep, "rep").join(classes.select("rep", "n", "sig"), "rep")
     more = materialise(_rest_pairs(entries, percent).join(stars, ["a", "b"], "left_anti"), "rest")
     if not more.isEmpty():
         links = links.unionByName(materialise(confirm(more, bodies, percent, shingle_words), "links"))
@@ -247,8 +251,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle_words: int = 5,
     )
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id"))
     return (
-        sketch.select("doc_id", "n", "fp")
-        .join(of_class, F.col("fp") == F.col("class"), "left")
+        left_join_set(sketch.select("doc_id", "n", "fp"), of_class, "fp", "class")
         .select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
