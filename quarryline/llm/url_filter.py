@@ -139,6 +139,8 @@ def judge_urls(
     mined = mine_rules(rows.where("rule is not null").select("tokens", F.col("fixed").alias("label")), min_support, min_confidence, min_count)
     # each set of tokens is judged once, however many pages a host has
     labels = match_rules(rows.where("rule is null").select("tokens").distinct(), mined).withColumnRenamed("tokens", "set")
+    # written, so that the join below has a shuffle of its own, in which a hot set can be split
+    labels = materialise(labels, "labels")
     open_, done = rows.where("rule is null"), rows.where("rule is not null")
     judged = open_.join(labels, F.col("tokens") == F.col("set"), "left").select("page_id", "host", "path", "rule", F.coalesce("label", F.lit(default)).alias("verdict"))
     return done.select("page_id", "host", "path", "rule", F.col("fixed").alias("verdict")).unionByName(judged)
