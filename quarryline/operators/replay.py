@@ -173,8 +173,8 @@ def random_split(f: Frame, test_size: float | int = 0.25, random_state: int | No
     if stratify is not None:
         raise Unreplayable("stratified splits aren't replayed")
     n = f.data.count()
-    if n > 10_000_000:
-        raise Unreplayable("the permutation of more than ten million rows isn't made on the driver")
+    if n > 1_000_000:
+        raise Unreplayable("the permutation of more than a million rows isn't made on the driver")
     take = int(np.ceil(n * test_size)) if isinstance(test_size, float) else test_size
     order = np.random.RandomState(random_state).permutation(n)
     part = f.data.sparkSession.createDataFrame([(int(p), i < take) for i, p in enumerate(order)], "_at long, _test boolean")

@@ -162,3 +162,23 @@ def comparable_pairs(datasets: DataFrame) -> DataFrame:
     return pairs.join(direct, ["a", "b"], "left_anti")
 
 
+
+
+def judged_annotations(findings: DataFrame, annotations: DataFrame) -> DataFrame:
+    """``annotations`` (id, …) with ``verdict``: accepted, unknown where no finding has the id, or
+    repeated where several annotations claim one id (none of them is taken)."""
+    claims = annotations.groupBy("id").agg(F.count("*").alias("_claims"))
+    known = findings.select("id", F.lit(True).alias("_known")).distinct()
+    joined = annotations.join(claims, "id").join(known, "id", "left")
+    verdict = F.when(F.col("_known").isNull(), "unknown").when(F.col("_claims") > 1, "repeated").otherwise("accepted")
+    return joined.withColumn("verdict", verdict).drop("_claims", "_known")
+
+
+def merged_findings(findings: DataFrame, groups: DataFrame) -> DataFrame:
+    """(artifact, rule_id, snippet, file, n): findings of duplicate artifacts as one, by the rule
+    and the snippet without white space; ``file`` is the first that has it.  ``findings`` (file,
+    rule_id, snippet), ``groups`` (name, primary)."""
+    plain = F.regexp_replace("snippet", r"(?U)\s+", "")
+    joined = findings.join(groups, F.col("file") == F.col("name"), "left")
+    grouped = joined.groupBy(F.coalesce("primary", "file").alias("artifact"), "rule_id", plain.alias("snippet"))
+    return grouped.agg(F.min("file").alias("file"), F.count("*").alias("n"))

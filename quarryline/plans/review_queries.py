@@ -164,3 +164,21 @@ def notebook_cells_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     books.select(F.to_json(F.struct(F.transform("turns", lambda t: t["cell"]).alias("cells")))).write.text(path)
     cells = S.notebook_cells(spark, path, lines=True)
     return cells.groupBy("cell", "execution_count", F.sha2(F.col("source").cast("binary"), 256).alias("source_sha256")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH a AS (SELECT event_id % 600 + CASE WHEN event_id % 50 = 0 THEN 10000000 ELSE 0 END AS id, event_id AS note FROM events WHERE event_id % 2 = 0 AND event_id < 700), c AS (SELECT id, COUNT(*) AS n FROM a GROUP BY 1)
+SELECT note, CASE WHEN id NOT IN (SELECT event_id FROM events) THEN 'unknown' WHEN n > 1 THEN 'repeated' ELSE 'accepted' END AS verdict FROM a JOIN c USING (id)""")
+def judged_annotations_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    key = F.col("event_id")
+    notes = events.where((key % 2 == 0) & (key < 700)).select((key % 600 + F.when(key % 50 == 0, 10_000_000).otherwise(0)).alias("id"), key.alias("note"))
+    return W.judged_annotations(events.select(key.alias("id")), notes).select("note", "verdict")
+
+
+@query("""WITH f AS (SELECT doc_id AS file, 'R' || (n_chars % 3) AS rule_id, REPLACE(SUBSTR(text, 1, 12), ' ', '') AS snippet, text FROM documents), g AS (SELECT file, MIN(file) OVER (PARTITION BY text) AS artifact FROM f)
+SELECT artifact, rule_id, snippet, MIN(file) AS file, COUNT(*) AS n FROM (SELECT f.file, rule_id, REGEXP_REPLACE(snippet, '[\\s\\x{A0}]+', '', 'g') AS snippet, artifact FROM f JOIN g USING (file)) GROUP BY ALL""")
+def merged_findings_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = docs.select(F.col("doc_id").alias("file"), F.concat(F.lit("R"), (F.col("n_chars") % 3).cast("string")).alias("rule_id"), F.substring("text", 1, 12).alias("snippet"))
+    primary = docs.groupBy("text").agg(F.min("doc_id").alias("primary"), F.count("*").alias("n")).where("n > 1").select("text", "primary")
+    return W.merged_findings(found, docs.join(primary, "text").select(F.col("doc_id").alias("name"), "primary"))

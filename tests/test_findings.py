@@ -155,3 +155,12 @@ def test_entry_runs(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() == 4
+
+
+def test_markdown_report(spark):
+    from quarryline.operators import quality, report
+
+    rows = [(None, "NA")] * 6 + [(float(i), f"v{i}|") for i in range(30)]
+    text = report.markdown(quality.audit(spark.createDataFrame(rows, "value double, token string")), "T")
+    assert text.startswith("# T\n\nScore: ") and "| Medium | DQ_MISSING_VALUES | value | 6 |" in text and "Minor findings: " in text
+    assert report.markdown(quality.audit(spark.createDataFrame([], "a long"))).count("|") > 0
