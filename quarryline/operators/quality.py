@@ -20,6 +20,7 @@ from quarryline.functions import values as V
 from quarryline.operators import profile as P
 from quarryline.operators.duplicates import duplicate_summary, identical_columns
 from quarryline.operators.outliers import fences_of, integer_domain
+from quarryline.operators.overlap import best_candidate, identifier_candidates, overlap_summary
 
 FINDINGS = "rule_id string, category string, column string, severity string, confidence string, detected_count bigint, detected_rate double, action string, score_impact double, issue_nature string, evidence string"
 
@@ -285,3 +286,30 @@ def _numeric_rules(data: DataFrame, numeric: list[str], rows: int, constraints:
         for r in P.correlations(data, numeric[:MOST_CORRELATED]).where(F.abs("r") >= HIGH_CORRELATION).collect():
             out.append(_finding("DQ_HIGH_CORRELATION", "Correlation", f"{r['feature_a']} / {r['feature_b']}", "Low", "High", rate=abs(r["r"]), info=True))
     return out
+
+
+def audit_split(train: DataFrame, test: DataFrame, model_inputs: Sequence[str] = (), entity: Sequence[str] = ()) -> DataFrame:
+    """The findings of a split: full rows, model inputs and entities that occur in both parts.
+
+    An entity key is confirmed only where the caller names it; the column that looks most like an
+    identifier is otherwise a candidate, and its overlap is less severe.  Equal model inputs are a
+    pattern, not a proof of equal records.
+    """
+    columns, out = train.columns, []
+    rows = train.count() + test.count()
+    both = train.unionByName(test)
+    candidate = [] if entity else [r["column"] for r in best_candidate(identifier_candidates(both)).collect()]
+    scopes = (
+        ("DQ_CROSS_SPLIT_DUPLICATES", columns, "High", "High", "Confirmed Record Duplication"),
+        ("DQ_CROSS_SPLIT_FEATURE_COMBINATIONS", list(model_inputs), "Low", "Medium", "Feature Pattern Reuse"),
+        ("DQ_CROSS_SPLIT_CANDIDATE_ID_OVERLAP", candidate, "Medium", "Medium", "Candidate Entity Overlap"),
+        ("DQ_CROSS_SPLIT_ENTITY_ID_OVERLAP", list(entity), "High", "High", "Confirmed Entity Overlap"),
+    )
+    for rule, fields, severity, confidence, nature in scopes:
+        if not fields or not set(fields) <= set(columns):
+            continue  # what can't be quantified stays unknown
+        found = overlap_summary(train, test, fields).first()
+        if found["cross_split_duplicate_groups"]:
+            n = found["shared_records"]
+            out.append(_finding(rule, "Duplicates", ", ".join(fields), severity, confidence, n, n / max(1, rows), nature=nature, evidence=f"groups={found['cross_split_duplicate_groups']}"))
+    return train.sparkSession.createDataFrame(out, FINDINGS)

@@ -29,3 +29,13 @@ def compare_schemas(schemas: DataFrame, reference: str) -> DataFrame:
     spelt = same.where("column <> ref_column").select("file", F.lit("DQ_COLUMN_NAME_FORMAT").alias("rule_id"), "column", F.col("ref_column").alias("detail"))
     typed = same.where("dtype <> ref_dtype").select("file", F.lit("DQ_CROSS_FILE_DTYPE").alias("rule_id"), "column", F.concat_ws(" / ", "ref_dtype", "dtype").alias("detail"))
     return missing.unionByName(extra).unionByName(spelt).unionByName(typed)
+
+
+def compare_encodings(tokens: DataFrame, reference: str) -> DataFrame:
+    """(file, rule_id, column, detail) of boolean columns that one file codes with 0 and 1 and
+    the reference file without, or the other way round.  ``tokens`` has (file, column, tokens array)."""
+    digits = F.array(F.lit("0"), F.lit("1"))
+    coded = tokens.select("file", "column", F.lower(F.trim("column")).alias("name"), F.arrays_overlap("tokens", digits).alias("numeric"), F.array_join(F.array_sort("tokens"), ",").alias("shown"))
+    ref = coded.where(F.col("file") == reference).select("name", F.col("numeric").alias("ref_numeric"), F.col("shown").alias("ref_shown"))
+    met = coded.where(F.col("file") != reference).join(ref, "name").where("numeric <> ref_numeric")
+    return met.select("file", F.lit("DQ_CROSS_FILE_CATEGORY_ENCODING").alias("rule_id"), "column", F.concat_ws(" / ", "ref_shown", "shown").alias("detail"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarryline.operators import artifacts as A
 from quarryline.operators import overlap as V
+from quarryline.operators import quality as Q
 from quarryline.plans.profile_queries import rounded
 from quarryline.plans.registry import query, table
 
@@ -75,3 +76,12 @@ def exact_artifacts_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def near_artifacts_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of texts of sequence similarity 0.95; tests hold the pairs against difflib."""
     return A.near_groups(A.near_pairs(table(spark, sf_dir, "documents"), "doc_id", "text"))
+
+
+_SCOPES = (("DQ_CROSS_SPLIT_FEATURE_COMBINATIONS", "Low", "user_id, event_type"), ("DQ_CROSS_SPLIT_ENTITY_ID_OVERLAP", "High", "user_id"))
+
+
+@query(" UNION ALL ".join(f"""SELECT * FROM (SELECT '{rule}' AS rule_id, '{fields}' AS "column", '{severity}' AS severity, COALESCE(SUM(tr + te) FILTER (tr > 0 AND te > 0), 0)::BIGINT AS detected_count FROM (SELECT {fields}, COUNT(*) FILTER (event_id % 4 <> 0) AS tr, COUNT(*) FILTER (event_id % 4 = 0) AS te FROM events GROUP BY {fields})) WHERE detected_count > 0""" for rule, severity, fields in _SCOPES))
+def split_findings_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, test = (part.select("event_id", "user_id", "event_type") for part in _events(spark, sf_dir))
+    return Q.audit_split(train, test, ["user_id", "event_type"], ["user_id"]).select("rule_id", "column", "severity", "detected_count")

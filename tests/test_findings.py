@@ -164,3 +164,20 @@ def test_markdown_report(spark):
     text = report.markdown(quality.audit(spark.createDataFrame(rows, "value double, token string")), "T")
     assert text.startswith("# T\n\nScore: ") and "| Medium | DQ_MISSING_VALUES | value | 6 |" in text and "Minor findings: " in text
     assert report.markdown(quality.audit(spark.createDataFrame([], "a long"))).count("|") > 0
+
+
+def test_split_findings(spark):
+    from quarryline.operators import quality
+
+    train = spark.createDataFrame([(f"e{i}", i % 3, i) for i in range(30)], "EntityId string, x long, y long")
+    test = spark.createDataFrame([("e1", 1, 1), ("e2", 2, 99), ("z", 0, 77)], "EntityId string, x long, y long")
+    found = {r.rule_id: r for r in quality.audit_split(train, test, ["x"]).collect()}
+    assert set(found) == {"DQ_CROSS_SPLIT_DUPLICATES", "DQ_CROSS_SPLIT_FEATURE_COMBINATIONS", "DQ_CROSS_SPLIT_CANDIDATE_ID_OVERLAP"}
+    assert found["DQ_CROSS_SPLIT_DUPLICATES"].detected_count == 2 and found["DQ_CROSS_SPLIT_CANDIDATE_ID_OVERLAP"].detected_count == 4
+    named = {r.rule_id: r.severity for r in quality.audit_split(train, test, ["nope"], ["EntityId"]).collect()}
+    assert named == {"DQ_CROSS_SPLIT_DUPLICATES": "High", "DQ_CROSS_SPLIT_ENTITY_ID_OVERLAP": "High"}
+
+
+def test_encodings_of_booleans(spark):
+    tokens = spark.createDataFrame([("a", "flag", ["0", "1"]), ("b", "Flag", ["yes", "no"]), ("b", "other", ["1"]), ("c", "flag", ["1"])], "file string, column string, tokens array<string>")
+    assert [tuple(r) for r in S.compare_encodings(tokens, "a").collect()] == [("b", "DQ_CROSS_FILE_CATEGORY_ENCODING", "Flag", "0,1 / no,yes")]
