@@ -11,8 +11,9 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ RANK = 8
 #: Labelled documents that training takes at most.  With the buckets above this bounds what the
 #: driver gathers (at most 128 MB, in practice a tenth of that).
 MAX_TRAINING_ROWS = 4000
+#: Texts whose features a task holds at once.
+SLICE = 128
 #: Words whose bucket a Python worker remembers.
 CACHE_WORDS = 300_000
 
@@ -110,10 +113,12 @@ class Machine:
         pairs = 0.5 * (np.square(total) - np.add.reduceat(np.square(v), starts, axis=0)).sum(1)
         return self.bias + np.add.reduceat(self.weights[idx] * val, starts) + pairs
 
-    def score(self, found: list[tuple[np.ndarray, np.ndarray, list[float]]]) -> np.ndarray:
-        if not found:
-            return np.zeros(0)
-        return 1 / (1 + np.exp(-np.clip(self.margin(*self.rows(found)), -30, 30)))
+    def score(self, texts: Iterable[bytes]) -> np.ndarray:
+        """A score for each text; features are held for SLICE texts at a time."""
+        out, todo = [np.zeros(0)], iter(texts)
+        while found := [features(raw) for raw in islice(todo, SLICE)]:
+            out.append(1 / (1 + np.exp(-np.clip(self.margin(*self.rows(found)), -30, 30))))
+        return np.concatenate(out)
 
 
 def fit(found: list[tuple[np.ndarray, np.ndarray, list[float]]], labels: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 0.02, decay: float = 1e-4, seed: int = 7) -> Machine:
@@ -214,7 +219,7 @@ def score(docs: DataFrame, machine: Machine, threshold: float = 0.3, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = shared.value.score([features(x.as_py()) for x in batch.column(2)])
+            scores = shared.value.score(x.as_py() for x in batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], ["doc_id", "held_out", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), utf8(text_col).alias("raw"))
@@ -228,7 +233,7 @@ def keep_good(docs: DataFrame, machine: Machine, threshold: float = 0.3, text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [features((t or "").encode("utf-8", "replace")) for t in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array(shared.value.score(found) >= threshold, pa.bool_()))
+            scores = shared.value.score((t.as_py() or "").encode("utf-8", "replace") for t in batch.column(at))
+            yield batch.filter(pa.array(scores >= threshold, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -15,7 +15,7 @@ def test_pipeline(spark):
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
     machine = quality.train(docs, labels)
-    good = [r for r in rows if machine.score([quality.features((r[1] or "").encode())])[0] >= 0.3]
+    good = [r for r in rows if machine.score([(r[1] or "").encode()])[0] >= 0.3]
     kept = list(brute.kept_lines(good).items())
     one = {r[0] for r in brute.op7(kept) if r[3]}
     kept = [r for r in kept if r[0] in one]
