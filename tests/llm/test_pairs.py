@@ -143,12 +143,16 @@ def test_compact_windows_are_those_of_all_subsequences():
     import numpy as np
 
     rnd = random.Random(1)
-    for ties in (False, True):
-        h = np.array([rnd.randrange(12 if ties else 10**6) for _ in range(60)], np.uint64)
-        found = substring_dedup.compact_windows(h, 7, ties)
-        for i in range(60):
-            for j in range(i + 6, 60):
-                assert [h[c] for low, c, high in found if low <= i <= c <= j <= high] == [h[i : j + 1].min()]
+    for most in (12, 10**6):
+        parts = [[rnd.randrange(1, most) for _ in range(n)] for n in (60, 3, 7, 0, 33)]
+        h = np.array([x for p in parts for x in (0, *p)] + [0], np.uint64)
+        found = substring_dedup.compact_windows(h, 7).tolist()
+        for i in range(len(h)):
+            for j in range(i + 6, len(h)):
+                least = h[i : j + 1].min()
+                nodes = [c for low, c, high in found if low <= i and j <= high and h[c] == least]
+                assert len(nodes) == (0 if least == 0 else 1)
+                assert most == 12 or not nodes or i <= nodes[0] <= j
 
 
 def test_passages(docs, odd_docs, no_docs):
