@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,11 +43,29 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the tables that were written inside, but for those written with
+    ``keep``.  What leaves the block may depend on kept tables only."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def materialise(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage is cut, the rows survive
     the loss of any executor."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
+    if _SCOPES and not keep:
+        _SCOPES[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -77,10 +97,11 @@ def left_join_set(left: DataFrame, right: DataFrame, left_key: str, right_key: s
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): each node of an undirected edge list with the smallest node it reaches.
 
-    Alternating large-star and small-star rounds.  Each round is two shuffles with map-side
-    minima, and a hub's neighbours are spread over tasks by the neighbour, so no node's whole
-    neighbourhood has to fit into one task.  The loop ends when a round changes nothing, which
-    takes about the logarithm of the longest path.  An empty edge list gives an empty table.
+    Alternating large-star and small-star rounds.  The smallest neighbours are found by minima
+    with map-side combining, and written: the join with them then has shuffles of its own on both
+    sides, in which adaptive execution splits the edges of a hub.  The loop ends when a round
+    changes nothing, which takes about the logarithm of the longest path.  An empty edge list
+    gives an empty table.
     """
     cur = materialise(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(),
@@ -89,11 +110,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     while True:
         # large star: every neighbour above u is tied to the smallest node around u
         both = cur.select("u", "v").unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        low = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "lowest")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        large = materialise(large.where("u <> v").distinct(), "edges")
         # small star: every neighbour below u, and u itself, is tied to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "lowest")
         small = (
             large.join(low, "u")
             .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))

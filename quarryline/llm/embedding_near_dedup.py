@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import connected_components, materialise
+from quarryline.llm.common import connected_components, left_join_set, materialise
 
 #: Directions that collisions are counted on.
 PROJECTIONS = 64
@@ -206,8 +206,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id"
         )
     )
     return (
-        ready.select("vec_id", "fp")
-        .join(of_class, F.col("fp") == F.col("class"), "left")
+        left_join_set(ready.select("vec_id", "fp"), of_class, "fp", "class")
         .select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
     )

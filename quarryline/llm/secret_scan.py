@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import materialise
+from quarryline.llm.common import left_join_set, materialise
 
 #: The base patterns, in the order in which kinds are listed.  The lengths are those
 #: of group 2 (assign) and of the whole match.
@@ -115,7 +115,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     places = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     owned = F.coalesce("owned", F.array().cast("array<struct<start:int,kind:int,end:int>>"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
-    return found.join(judged, F.col("row") == F.col("of"), "left").select(
+    return left_join_set(found, judged, "row", "of").select(
         "doc_id",
         count(0).alias("n_assign"),
         count(1).alias("n_access"),
