@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import connected_components, fresh, left_join_set, materialise, utf8
+from quarryline.llm.common import connected_components, fresh, left_join_set, materialise, temporary_tables, utf8
 from quarryline.llm.shingles import shingle_set
 
 #: Positions that shingles are dealt to; the second permutation is of these.
@@ -260,5 +260,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle_words: int = 5,
 def keep_one_of_each(docs: DataFrame, percent: int = 75, shingle_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with only the smallest id of each group of near-duplicates; all columns stay."""
     key = fresh(docs, "_gone")
-    gone = near_duplicates(docs, percent, shingle_words, id_col, text_col).where("not kept").select(F.col("doc_id").alias(key)).distinct()
+    with temporary_tables(docs.sparkSession):
+        gone = near_duplicates(docs, percent, shingle_words, id_col, text_col).where("not kept").select(F.col("doc_id").alias(key)).distinct()
+        gone = materialise(gone, "gone", keep=True)
     return docs.join(gone, F.col(id_col) == F.col(key), "left_anti")
