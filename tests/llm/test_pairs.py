@@ -162,3 +162,36 @@ def test_passages(docs, odd_docs, no_docs):
     assert rows[7].class_id == 7 and rows[10].n_repeated == 80 and len(PASSAGE.split()) == 60
     assert substring_dedup.passage_classes(no_docs).count() == 0
     assert {r.doc_id for r in substring_dedup.passage_classes(odd_docs).collect()} == {7, 8, 9, 10, 11, 12}
+
+
+def test_a_passage_is_found_behind_partial_copies_of_it():
+    """Against all 50-word runs, on texts that hold parts of a passage before the whole one."""
+    import random
+
+    import numpy as np
+
+    rnd = random.Random(4)
+    fresh = lambda n: [rnd.randrange(1, 2**62) for _ in range(n)]
+    covered = lambda spans: {x for i, j in spans for x in range(i, j + 1)}
+    for length, cut in ((46, 1), (46, 20), (56, 26), (56, 40), (90, 46)):
+        passage = fresh(length)
+        a = np.array([*fresh(30), *passage, *fresh(30)], np.uint64)
+        b = np.array([*fresh(10), *passage[:cut], *fresh(400), *passage[-cut:], *fresh(50), *passage, *fresh(20)], np.uint64)
+        own, its = substring_dedup.exact_passages(substring_dedup.run_hashes(a, 46), substring_dedup.run_hashes(b, 46), 46)
+        places = {tuple(b[i : i + 46].tolist()) for i in range(len(b) - 45)}
+        want = {x for i in range(len(a) - 45) if tuple(a[i : i + 46].tolist()) in places for x in range(i, i + 46)}
+        assert want and covered(own) == want
+        assert set(range(len(b) - 20 - length, len(b) - 20)) <= covered(its)
+        assert want <= covered((i, j) for i, j, _, _ in substring_dedup.common_passages(a, b, 46, 75))
+    # one changed word in the middle, and its first half also earlier
+    passage = fresh(60)
+    a = np.array([*fresh(30), *passage[:28], *fresh(5), *passage[33:], *fresh(30)], np.uint64)
+    b = np.array([*fresh(10), *passage[:28], *fresh(400), *passage, *fresh(20)], np.uint64)
+    assert (30, 89, 438, 497) in substring_dedup.common_passages(a, b, 46, 75)
+
+
+def test_a_passage_behind_a_partial_copy_has_rows(spark):
+    words = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    rows = [(1, f"{words('a', 10)} {' '.join(PASSAGE.split()[:30])} {words('b', 460)} {PASSAGE} {words('c', 20)}"), (2, f"{words('d', 20)} {PASSAGE} {words('e', 20)}")]
+    got = {r.doc_id: r.passages for r in substring_dedup.passage_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "500:560", 2: "20:80"}
