@@ -195,3 +195,15 @@ def test_a_passage_behind_a_partial_copy_has_rows(spark):
     rows = [(1, f"{words('a', 10)} {' '.join(PASSAGE.split()[:30])} {words('b', 460)} {PASSAGE} {words('c', 20)}"), (2, f"{words('d', 20)} {PASSAGE} {words('e', 20)}")]
     got = {r.doc_id: r.passages for r in substring_dedup.passage_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: "500:560", 2: "20:80"}
+
+
+def test_a_passage_whose_min_hashes_have_smaller_holders_elsewhere(spark):
+    """Each shingle of the passage stands in smaller documents of its own, in other contexts."""
+    words, rows = PASSAGE.split(), []
+    for i in range(56 * 12):
+        rows.append((i, " ".join([*(f"l{i}x{k}" for k in range(48)), *words[i // 12 : i // 12 + 5], *(f"r{i}x{k}" for k in range(48))])))
+    for d in (1000, 1001, 1002):
+        rows.append((d, " ".join([*(f"l{d}x{k}" for k in range(60)), *words, *(f"r{d}x{k}" for k in range(60))])))
+    got = {r.doc_id: r for r in substring_dedup.passage_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == {1000, 1001, 1002}
+    assert {(r.class_id, r.passages, r.n_repeated) for r in got.values()} == {(1000, "60:120", 60)}
