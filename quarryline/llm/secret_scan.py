@@ -2,8 +2,8 @@
 
 Three fixed patterns give the base spans.  A wider pattern gives further candidates.  Every
 candidate's hash is counted over the whole corpus by distinct repositories and distinct owners:
-what many owners hold is a copied example, what a single owner holds and looks random is taken for
-a live credential, and its span is added.  Only hashes of values are written or shuffled.  All of
+what many owners hold is a copied example, what a single owner holds in few repositories and looks
+random is taken for a live credential, and its span is added.  Only hashes of values are written or shuffled.  All of
 it is built-in column functions.
 """
 
@@ -25,6 +25,8 @@ ASSIGN_LEAST = 6
 WIDE = r"[A-Za-z0-9+/_=-]{20,}"
 #: Owners from which a value is a widely copied example.
 EXAMPLE_OWNERS = 3
+#: Repositories from which a value of a single owner is a copied one, and no live credential.
+COPIED_REPOSITORIES = 3
 #: Different characters that a live-looking value has at least.
 LIVE_CHARACTERS = 10
 
@@ -102,14 +104,13 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     owners = candidates.select("h", "owner").distinct().groupBy("h").agg(F.count("owner").alias("owners"))
     repositories = candidates.select("h", "repository").distinct().groupBy("h").agg(F.count("repository").alias("repositories"))
     ownership = owners.join(repositories, "h")
-    live = (F.col("kind") == len(KINDS) - 1) & (F.col("owners") <= 1)
+    live = (F.col("kind") == len(KINDS) - 1) & (F.col("owners") <= 1) & (F.col("repositories") < COPIED_REPOSITORIES)
     judged = (
         candidates.join(ownership, "h")
         .groupBy(F.col("row").alias("of"))
         .agg(
             F.collect_list(F.when(live, F.struct("start", "kind", "end"))).alias("owned"),
             F.count(F.when(F.col("owners") >= EXAMPLE_OWNERS, 1)).alias("n_example"),
-            F.max("repositories").alias("most_repositories"),
         )
     )
     places = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))

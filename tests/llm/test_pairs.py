@@ -95,6 +95,13 @@ def test_copied_values_are_examples(spark):
     assert rows[99].n_owned == 1 and rows[99].spans == "owned:5:27"
 
 
+def test_a_value_in_many_repositories_of_one_owner_is_not_live(spark):
+    rows = [(i, "x Ab12Cd34Ef56Gh78Ij90Kl y", "hot") for i in range(40)] + [(50 + i, "mine Zz12Cd34Ef56Gh78Ij90Kl", "hot") for i in range(2)]
+    got = {r.doc_id: r for r in secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[3].n_owned == 0 and got[3].spans == ""
+    assert got[50].n_owned == 1 and got[50].spans == "owned:5:27"
+
+
 def urls():
     rows = [None, "", "no scheme", "http://", "HTTP://WWW.Example.COM", "https://www.example.com/en/1?x=1#y", "http://a.example.com/en/2", "http://example.com/fr/3.html", "http://b.net/es/4", "http://notnet/es/4", "ftp://é.net/fr/?q", "http://x.org/en/5", "http://x.org?a/b", "http://deal.shop.net/de/9"]
     rows += [f"http://h{i}.example.com/en/{i}" for i in range(30)] + [f"http://h{i}.example.net/fr/{i}" for i in range(30)] + [f"http://good{i % 3}.com/de/{i}" for i in range(40)] + [f"http://h{i}.example.org/{p}/{i}" for i in range(5) for p in ("en", "fr", "de")]
