@@ -9,15 +9,19 @@ Columns keep the source columns that they were made from.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import uuid
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.operators.duplicates import keep_first
+from quarryline.sources.scratch import scratch_path
 
 ROW = "row_id"
+#: Positions of a split whose parts are told in one row of bits; a multiple of 8.
+BLOCK = 8192
 #: The types a cast may name, and what they are here.
 TYPES = {
     "int8": "tinyint", "int16": "smallint", "int32": "int", "int64": "bigint", "int": "bigint",
@@ -113,7 +117,11 @@ def with_positions(df: DataFrame, order: str = ROW) -> DataFrame:
     """``df`` with ``_pos``, 0-based in the order of ``order``: rows are sorted in ranges, counted
     for each range, and numbered inside it, so no single task sees them all."""
     spark = df.sparkSession
-    ranged = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
+    ranged = df.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
+    # written, as ranges found anew for the counts and for the rows would not have the same bounds
+    path = f"{scratch_path(spark)}/positions-{uuid.uuid4().hex}"
+    ranged.write.parquet(path)
+    ranged = spark.read.schema(ranged.schema).parquet(path)
     # one row a partition
     sizes = sorted((r["_part"], r["count"]) for r in ranged.groupBy("_part").count().collect())
     starts, total = [], 0
@@ -163,6 +171,31 @@ def select_labels(f: Frame, rows: Sequence[int] | slice | None, columns: Sequenc
     return f if columns is None else select_columns(f, columns)
 
 
+def in_test(spark: SparkSession, n: int, take: int, random_state: int) -> DataFrame:
+    """(_block, _bits): for each BLOCK of the positions 0 to n - 1, a bit for each that is among the
+    first ``take`` of NumPy's MT19937 permutation.  The permutation is one sequence, so one task
+    makes it, in 4 bytes a row (8 above 2**31 rows); the driver sees nothing of it."""
+    import numpy as np
+    import pyarrow as pa
+
+    def shuffle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            order = np.arange(n, dtype=np.int32 if n <= 2**31 else np.int64)
+            np.random.RandomState(random_state).shuffle(order)
+            marks = np.zeros(n, bool)
+            marks[order[:take]] = True
+            del order
+            for at in range(0, n, BLOCK):
+                bits = np.packbits(marks[at : at + BLOCK], bitorder="little").tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([at // BLOCK], pa.int64()), pa.array([bits], pa.binary())], ["_block", "_bits"])
+
+    path = f"{scratch_path(spark)}/split-{uuid.uuid4().hex}"
+    spark.range(0, 1, 1, 1).mapInArrow(shuffle, "_block long, _bits binary").write.parquet(path)
+    return spark.read.schema("_block long, _bits binary").parquet(path)
+
+
 def random_split(f: Frame, test_size: float | int = 0.25, random_state: int | None = None, stratify: str | None = None) -> tuple[Frame, Frame]:
     """Train and test parts as a seeded shuffle of positions defines them: the first test rows of
     NumPy's MT19937 permutation are the test part.  Needs a seed; stratified splits are refused."""
@@ -173,14 +206,12 @@ def random_split(f: Frame, test_size: float | int = 0.25, random_state: int | No
     if stratify is not None:
         raise Unreplayable("stratified splits aren't replayed")
     n = f.data.count()
-    if n > 1_000_000:
-        raise Unreplayable("the permutation of more than a million rows isn't made on the driver")
     take = int(np.ceil(n * test_size)) if isinstance(test_size, float) else test_size
-    order = np.random.RandomState(random_state).permutation(n)
-    part = f.data.sparkSession.createDataFrame([(int(p), i < take) for i, p in enumerate(order)], "_at long, _test boolean")
-    placed = with_positions(f.data)
-    joined = placed.join(part, placed["_pos"] == part["_at"]).drop("_pos", "_at")
-    return f.having(joined.where("not _test").drop("_test")), f.having(joined.where("_test").drop("_test"))
+    placed = with_positions(f.data).withColumn("_block", F.floor(F.col("_pos") / BLOCK))
+    joined = placed.join(in_test(f.data.sparkSession, n, take, random_state), "_block")
+    byte = F.conv(F.hex(F.substring("_bits", (F.col("_pos") % BLOCK / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = joined.withColumn("_byte", byte).withColumn("_test", F.expr("getbit(_byte, cast(_pos % 8 as int))") == 1).drop("_block", "_bits", "_byte", "_pos")
+    return f.having(marked.where("not _test").drop("_test")), f.having(marked.where("_test").drop("_test"))
 
 
 #: operation -> function of a frame and the step

@@ -65,6 +65,15 @@ def test_split_like_numpy(people):
     assert ids(test) == sorted(order[:2].tolist()) and ids(train) == sorted(order[2:].tolist())
 
 
+def test_a_split_of_more_than_a_million_rows(spark):
+    n = 1_000_003
+    train, test = R.random_split(R.load(spark.range(n).withColumnRenamed("id", "row_id")), 0.2, 42)
+    order = np.random.RandomState(42).permutation(n)
+    take = int(np.ceil(n * 0.2))
+    got = np.sort(test.data.toPandas()["row_id"].to_numpy())
+    assert (got == np.sort(order[:take])).all() and train.data.count() == n - take
+
+
 def test_placeholder_makes_a_partial_column(people):
     f = R.set_column(R.load(people), "made", literal=False)
     assert f.partial == {"made"} and R.select_columns(f, ["value"]).partial == set()
