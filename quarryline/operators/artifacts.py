@@ -13,7 +13,7 @@ from quarryline.operators.lineage import components
 
 #: Similarity of near-duplicates.
 SIMILAR = 0.95
-#: Min-hashes of word triples; near-duplicates agree in at least one.
+#: Min-hashes of word triples; near-duplicates mostly agree in one, but not where changes are spread.
 MINIMA = 8
 
 
