@@ -94,6 +94,32 @@ def left_join_set(left: DataFrame, right: DataFrame, left_key: str, right_key: s
     return met.unionByName(left.where(F.col(left_key).isNull()), allowMissingColumns=True)
 
 
+#: Places of a sieve: 2**26 bits, which are 2048 rows of 4 KB at most, whatever it is made of.
+SIEVE_BITS = 26
+
+
+def rows_with(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``key`` is among ``ids`` (a column of the same name).
+
+    Where few rows of wide texts are wanted, a plain semi-join would shuffle all of them.  So a
+    bitmap of the ids' hashes, of at most 8 MB, is broadcast first; rows that it rules out stay
+    where they are, and the join decides on the others.  A bitmap that very many ids have filled
+    rules out little, but loses nothing.
+    """
+
+    def place(c: str) -> tuple[Column, Column]:
+        at = F.shiftrightunsigned(F.xxhash64(c), 64 - SIEVE_BITS)
+        return F.shiftright(at, 15).cast("int"), at.bitwiseAND(F.lit(32767)).cast("int")
+
+    row, bit = place(key)
+    # dealt by row first, so that a row of the bitmap is made once, not in every task
+    marks = ids.select(row.alias("_row"), bit.alias("_bit")).repartition("_row")
+    sieve = F.broadcast(marks.groupBy("_row").agg(F.bitmap_construct_agg("_bit").alias("_bits")))
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    held = F.getbit(byte, bit.bitwiseAND(F.lit(7))) == 1
+    return df.join(sieve, (row == F.col("_row")) & held, "left_semi").join(ids, key, "left_semi")
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): each node of an undirected edge list with the smallest node it reaches.
 

@@ -162,13 +162,89 @@ def test_compact_windows_are_those_of_all_subsequences():
                 assert most == 12 or not nodes or i <= nodes[0] <= j
 
 
+def in_classes(df, **options):
+    """doc_id -> row of the documents that hold a repeated passage; every row has to be there."""
+    rows = substring_dedup.passage_classes(df, **options).collect()
+    assert len(rows) == df.count()
+    alone = [r for r in rows if r.n_partners == 0]
+    assert all((r.class_id, r.n_repeated, r.passages) == (r.doc_id, 0, "") for r in alone)
+    return {r.doc_id: r for r in rows if r.n_partners}
+
+
+def test_repeated_minima_give_a_row_for_each_run():
+    import random
+
+    import numpy as np
+
+    rnd = random.Random(2)
+    for most, least in ((2, 3), (3, 7), (5, 10), (12, 7), (10**6, 7)):
+        parts = [[rnd.randrange(1, most) for _ in range(n)] for n in (60, 3, 7, 0, 33, 120)]
+        h = np.array([x for p in parts for x in (0, *p)] + [0], np.uint64)
+        found = substring_dedup.compact_windows(h, least, repeats=True).tolist()
+        for i in range(len(h) - least + 1):
+            low = h[i : i + least].min()
+            if low:
+                assert any(a <= i <= c < i + least <= b + 1 and h[c] == low for a, c, b in found)
+        assert len(found) <= 3 * len(h) / least * 2
+
+
 def test_passages(docs, odd_docs, no_docs):
-    rows = {r.doc_id: r for r in substring_dedup.passage_classes(docs).collect()}
+    rows = in_classes(docs)
     assert set(rows) == {7, 8, 9, 10, 11, 12}
     assert rows[11].class_id == rows[12].class_id == 11 and rows[11].passages == "2:62" and rows[12].passages == "3:63"
     assert rows[7].class_id == 7 and rows[10].n_repeated == 80 and len(PASSAGE.split()) == 60
     assert substring_dedup.passage_classes(no_docs).count() == 0
-    assert {r.doc_id for r in substring_dedup.passage_classes(odd_docs).collect()} == {7, 8, 9, 10, 11, 12}
+    assert set(in_classes(odd_docs)) == {7, 8, 9, 10, 11, 12}
+
+
+def unlike(rnd, name, n):
+    return [f"{name}{rnd.randrange(10**9)}" for _ in range(n)]
+
+
+def test_links_that_a_smaller_partial_quote_hides(spark):
+    """Two documents with a common passage of 52 words, beside a smaller one that quotes 48 of it:
+    all columns against all runs of 50 words."""
+    import random
+    from collections import defaultdict
+
+    rnd, rows = random.Random(5), []
+    for g in range(50):
+        passage = unlike(rnd, f"p{g}x", 52)
+        at = rnd.randrange(5)
+        rows.append((g, [*unlike(rnd, "a", 40), *passage[at : at + 48], *unlike(rnd, "b", 40)]))
+        rows += [(1000 + 2 * g + k, [*unlike(rnd, "c", rnd.randrange(70)), *passage, *unlike(rnd, "d", rnd.randrange(70))]) for k in (0, 1)]
+    holders, covered = defaultdict(set), defaultdict(set)
+    for d, words in rows:
+        for i in range(len(words) - 49):
+            holders[tuple(words[i : i + 50])].add(d)
+    for d, words in rows:
+        covered[d] = {k for i in range(len(words) - 49) if len(holders[tuple(words[i : i + 50])]) > 1 for k in range(i, i + 50)}
+    got = in_classes(spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string"))
+    assert set(got) == {d for d in covered if covered[d]} and len(got) == 100
+    for d, r in got.items():
+        assert r.class_id == d - d % 2 and r.n_partners == 1 and r.n_repeated == len(covered[d])
+        assert r.passages == f"{min(covered[d])}:{max(covered[d]) + 1}"
+
+
+def test_recall_of_similar_passages(spark):
+    """Passages of 60 to 120 words with one changed word in about 55, each next to common phrases."""
+    import random
+
+    rnd, rows = random.Random(6), []
+    phrases = [unlike(rnd, "q", 8) for _ in range(20)]
+    for g in range(150):
+        passage = unlike(rnd, f"p{g}x", rnd.randrange(60, 120))
+        passage[10:18] = rnd.choice(phrases)
+        other = list(passage)
+        for k in range(len(passage) // 55):
+            other[rnd.randrange(len(other))] = f"z{k}{rnd.randrange(10**9)}"
+        rows += [(1000 + 2 * g + k, [*unlike(rnd, "c", 50), *p, *unlike(rnd, "d", 50)]) for k, p in enumerate((passage, other))]
+    rows += [(k, [*unlike(rnd, "e", 60), *p, *unlike(rnd, "f", 60)]) for k, p in enumerate(phrases)]
+    sets = {d: {tuple(w[50 + i : 55 + i]) for i in range(len(w) - 104)} for d, w in rows}
+    pairs = [d for d in range(1000, 1300, 2) if 100 * len(sets[d] & sets[d + 1]) >= 75 * len(sets[d] | sets[d + 1])]
+    got = in_classes(spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string"))
+    assert len(pairs) > 100 and all(got[d].class_id == d - d % 2 for d in got)
+    assert sum(d in got and d + 1 in got for d in pairs) >= 0.9 * len(pairs)
 
 
 def test_a_passage_is_found_behind_partial_copies_of_it():
@@ -200,7 +276,7 @@ def test_a_passage_is_found_behind_partial_copies_of_it():
 def test_a_passage_behind_a_partial_copy_has_rows(spark):
     words = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
     rows = [(1, f"{words('a', 10)} {' '.join(PASSAGE.split()[:30])} {words('b', 460)} {PASSAGE} {words('c', 20)}"), (2, f"{words('d', 20)} {PASSAGE} {words('e', 20)}")]
-    got = {r.doc_id: r.passages for r in substring_dedup.passage_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {d: r.passages for d, r in in_classes(spark.createDataFrame(rows, "doc_id long, text string")).items()}
     assert got == {1: "500:560", 2: "20:80"}
 
 
@@ -211,6 +287,6 @@ def test_a_passage_whose_min_hashes_have_smaller_holders_elsewhere(spark):
         rows.append((i, " ".join([*(f"l{i}x{k}" for k in range(48)), *words[i // 12 : i // 12 + 5], *(f"r{i}x{k}" for k in range(48))])))
     for d in (1000, 1001, 1002):
         rows.append((d, " ".join([*(f"l{d}x{k}" for k in range(60)), *words, *(f"r{d}x{k}" for k in range(60))])))
-    got = {r.doc_id: r for r in substring_dedup.passage_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = in_classes(spark.createDataFrame(rows, "doc_id long, text string"))
     assert set(got) == {1000, 1001, 1002}
     assert {(r.class_id, r.passages, r.n_repeated) for r in got.values()} == {(1000, "60:120", 60)}
