@@ -43,6 +43,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder of the scratch folder, wherever that is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 _SCOPES: list[list[str]] = []
 
 
@@ -55,8 +61,7 @@ def temporary_tables(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for path in _SCOPES.pop():
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            delete_path(spark, path)
 
 
 def materialise(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
@@ -98,14 +103,9 @@ def left_join_set(left: DataFrame, right: DataFrame, left_key: str, right_key: s
 SIEVE_BITS = 26
 
 
-def rows_with(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """The rows of ``df`` whose ``key`` is among ``ids`` (a column of the same name).
-
-    Where few rows of wide texts are wanted, a plain semi-join would shuffle all of them.  So a
-    bitmap of the ids' hashes, of at most 8 MB, is broadcast first; rows that it rules out stay
-    where they are, and the join decides on the others.  A bitmap that very many ids have filled
-    rules out little, but loses nothing.
-    """
+def _sieve(key: str, ids: DataFrame) -> tuple[DataFrame, Column]:
+    """A bitmap of the hashes of ``ids`` (a column ``key``) to be broadcast, of 8 MB at most, and
+    the condition under which a row's key may be among them."""
 
     def place(c: str) -> tuple[Column, Column]:
         at = F.shiftrightunsigned(F.xxhash64(c), 64 - SIEVE_BITS)
@@ -116,8 +116,32 @@ def rows_with(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     marks = ids.select(row.alias("_row"), bit.alias("_bit")).repartition("_row")
     sieve = F.broadcast(marks.groupBy("_row").agg(F.bitmap_construct_agg("_bit").alias("_bits")))
     byte = F.conv(F.hex(F.substring("_bits", F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("int")
-    held = F.getbit(byte, bit.bitwiseAND(F.lit(7))) == 1
-    return df.join(sieve, (row == F.col("_row")) & held, "left_semi").join(ids, key, "left_semi")
+    return sieve, (row == F.col("_row")) & (F.getbit(byte, bit.bitwiseAND(F.lit(7))) == 1)
+
+
+def with_texts(texts: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (``key``, …), a written table, joined with the rows of ``texts`` of the same key.
+
+    Where few of many wide texts are wanted, a plain join would shuffle all of them.  So a bitmap
+    of the wanted keys' hashes is broadcast first; rows that it rules out stay where they are, and
+    the join decides on the others.  A bitmap that very many keys have filled rules out little, but
+    loses nothing.  As ``wanted`` grows with the texts it is never broadcast itself, however small
+    it is, so the plan is the same at every size.
+    """
+    sieve, may = _sieve(key, wanted.select(key))
+    return texts.join(sieve, may, "left_semi").join(wanted.hint("merge"), key)
+
+
+def rows_with(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``key`` is among ``ids``; otherwise as :func:`with_texts`."""
+    sieve, may = _sieve(key, ids)
+    return df.join(sieve, may, "left_semi").join(ids.hint("merge"), key, "left_semi")
+
+
+def rows_without(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``key`` isn't among ``ids``, or null; otherwise as :func:`with_texts`."""
+    sieve, may = _sieve(key, ids)
+    return df.join(sieve, may, "left_anti").unionByName(df.join(sieve, may, "left_semi").join(ids.hint("merge"), key, "left_anti"))
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -5,7 +5,8 @@ is one window).  The windows are dealt into blocks of bounded size; each block b
 that is broadcast, and every document's words are scanned against it.  A window is looked up only
 where all its words occur in the benchmark, and a hit is an equality of all its words, not of a
 hash.  Benchmarks of the usual size are one block, and then documents are scanned once, without a
-shuffle; a larger benchmark costs one scan a block and one small shuffle of the hits.
+shuffle; a larger benchmark costs one scan a block, and the hits of all blocks meet by the digest of
+the text, so the results are the same however many blocks there are.
 """
 
 from __future__ import annotations
@@ -21,13 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarryline.llm.common import ASCII_LOWER, materialise, utf8
+from quarryline.llm.common import ASCII_LOWER, fresh, materialise, rows_with, rows_without, utf8
 
 #: Words are ASCII letters (lower-cased), digits and everything beyond ASCII.
 WORD_BYTES = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in ASCII_LOWER)
 #: Windows, and bytes of them, that one broadcast block holds at most.
 BLOCK_WINDOWS = 400_000
 BLOCK_BYTES = 64_000_000
+#: Holders of one window that one row lists, on average; a window of more has several rows.
+ROW_ITEMS = 1000
 
 
 def words_of(raw: bytes) -> list[bytes]:
@@ -35,7 +38,8 @@ def words_of(raw: bytes) -> list[bytes]:
 
 
 def windows_of(benchmark: DataFrame, n: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(words binary, items array<long>): the distinct windows of all items and who holds them.
+    """(words binary, part int, items array<long>): the distinct windows of all items and who holds
+    them, in as many rows as ROW_ITEMS asks for.
 
     Items with a null id or without words have no windows.
     """
@@ -51,7 +55,11 @@ def windows_of(benchmark: DataFrame, n: int, id_col: str = "item_id", text_col:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["item_id", "words"])
 
     cut = benchmark.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("item_id"), utf8(text_col).alias("raw"))
-    return cut.mapInArrow(run, "item_id long, words binary").groupBy("words").agg(F.collect_set("item_id").alias("items"))
+    held = materialise(cut.mapInArrow(run, "item_id long, words binary"), "item-windows")
+    # a window that very many items hold is dealt out before they are gathered
+    parts = materialise(held.groupBy("words").agg(F.ceil(F.count("*") / ROW_ITEMS).cast("int").alias("parts")).where("parts > 1"), "popular-windows")
+    dealt = held.join(parts, "words", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("item_id"), F.col("parts")), F.lit(0)).cast("int"))
+    return dealt.groupBy("words", "part").agg(F.collect_set("item_id").alias("items"))
 
 
 def blocks_of(windows: DataFrame) -> list[Broadcast]:
@@ -63,8 +71,11 @@ def blocks_of(windows: DataFrame) -> list[Broadcast]:
     parts = 1 if total.n <= BLOCK_WINDOWS and total.size <= BLOCK_BYTES else 1 + 2 * max(total.n // BLOCK_WINDOWS, total.size // BLOCK_BYTES)
     out = []
     for k in range(parts):
-        part = windows if parts == 1 else windows.where(F.pmod(F.xxhash64("words"), F.lit(parts)) == k)
-        out.append(spark.sparkContext.broadcast({bytes(r.words): list(r.items_) for r in part.select("words", F.col("items").alias("items_")).toLocalIterator()}))
+        part = windows if parts == 1 else windows.where(F.pmod(F.xxhash64("words", "part"), F.lit(parts)) == k)
+        block: dict[bytes, list[int]] = {}
+        for r in part.select("words", F.col("items").alias("items_")).toLocalIterator():
+            block.setdefault(bytes(r.words), []).extend(r.items_)
+        out.append(spark.sparkContext.broadcast(block))
     return out
 
 
@@ -103,10 +114,10 @@ def scanner(block: Broadcast) -> Scanner:
     return _LAST[1]
 
 
-REPORT = "doc_id long, n_words long, hits array<int>, items array<long>"
+def _scan(rows: DataFrame, block: Broadcast, met_only: bool = False) -> DataFrame:
+    """(key, n_words, hits, items) of ``rows`` (key, raw) by one block; with ``met_only`` of those
+    that are hit."""
 
-
-def _scan_block(docs: DataFrame, block: Broadcast) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = scanner(block).scan
         for batch in batches:
@@ -117,12 +128,30 @@ def _scan_block(docs: DataFrame, block: Broadcast) -> DataFrame:
                 n_words.append(len(words))
                 hits.append(at)
                 items.append(sorted(of))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.int64())), batch.column(2)],
-                ["doc_id", "n_words", "hits", "items", "mark"],
+            out = pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.int64()))],
+                [key, "n_words", "hits", "items"],
             )
+            yield out.filter(pa.array([len(h) > 0 for h in hits], pa.bool_())) if met_only else out
+
+    key, kind = rows.dtypes[0]
+    return rows.mapInArrow(run, f"{key} {kind}, n_words long, hits array<int>, items array<long>")
+
 
-    return docs.mapInArrow(run, REPORT + ", mark binary")
+def _mark(raw):  # noqa: ANN001, ANN202
+    return F.unhex(F.sha2(raw, 256))
+
+
+def _hits_of_texts(raws: DataFrame, blocks: list[Broadcast]) -> DataFrame:
+    """(mark, hits, items) of the texts ``raws`` (raw) that are hit, by the digest of the text; the
+    blocks are scanned one after the other, so a task holds one of them."""
+    parts = [_scan(raws.select(_mark("raw").alias("mark"), "raw"), b, met_only=True) for b in blocks]
+    union = parts[0]
+    for p in parts[1:]:
+        union = union.unionByName(p)
+    # equal texts have equal hits, so a set holds one list a block
+    merged = union.groupBy("mark").agg(*(F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c) for c in ("hits", "items")))
+    return materialise(merged, "hits")
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -136,23 +165,17 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_co
     blocks = blocks_of(windows_of(benchmark, n))
     cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("raw"))
     if len(blocks) == 1:
-        return _scan_block(cols.withColumn("mark", F.lit(None).cast("binary")), blocks[0]).drop("mark")
-    # rows that are equal in id and text are merged over the blocks, then counted out again
-    marked = cols.withColumn("mark", F.unhex(F.sha2("raw", 256)))
-    parts = [_scan_block(marked, b) for b in blocks]
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
-    return (
-        union.groupBy("doc_id", "mark", "n_words")
-        .agg(
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-            (F.count("*") / len(parts)).cast("int").alias("copies"),
-        )
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-        .select("doc_id", "n_words", "hits", "items")
-    )
+        return _scan(cols, blocks[0])
+    found = _hits_of_texts(cols, blocks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_words = [len(words_of(x.as_py())) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), batch.column(2)], ["doc_id", "n_words", "mark"])
+
+    counted = cols.withColumn("mark", _mark("raw")).mapInArrow(run, "doc_id long, n_words long, mark binary")
+    none = {"hits": F.coalesce("hits", F.array().cast("array<int>")), "items": F.coalesce("items", F.array().cast("array<long>"))}
+    return counted.join(found, "mark", "left").withColumns(none).select("doc_id", "n_words", "hits", "items")
 
 
 def remove_words(raw: bytes, positions: list[int]) -> bytes:
@@ -169,35 +192,47 @@ def remove_words(raw: bytes, positions: list[int]) -> bytes:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, mode: str = "documents", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without its contaminated documents (``mode="documents"``), or with only the
-    contaminated spans cut from their texts (``mode="spans"``).
+    contaminated spans cut from their texts (``mode="spans"``): all words that lie in an occurrence
+    of a window, and what stands between them.
 
-    All columns are kept as they are.  Null and empty texts are never contaminated.  Documents are
-    filtered where they are read: one pass a block of the benchmark and no shuffle; spans of a
-    benchmark of several blocks are cut block by block, so a window that only cutting forms may be
-    cut too.
+    All columns are kept as they are.  Null and empty texts are never contaminated; ids don't
+    matter, and repeated rows are judged one by one; an empty table or benchmark changes nothing.
+    With a benchmark of one block documents are filtered where they are read, without a shuffle; of
+    several blocks, only texts that may be hit are shuffled.
     """
     schema = docs.schema
     at = schema.fieldNames().index(text_col)
     if mode not in ("documents", "spans"):
         raise ValueError(f"unknown mode {mode!r}")
-    spans = mode == "spans"
     if not isinstance(schema[at].dataType, T.StringType):
         raise TypeError(f"{text_col} must be a string")
+    spans = mode == "spans"
+    blocks = blocks_of(windows_of(benchmark, n))
+    names, first = docs.columns, blocks[0]
+
+    def cut(batch: pa.RecordBatch, hits: list[np.ndarray]) -> pa.RecordBatch:
+        texts = batch.column(at)
+        out = [remove_words(t.encode("utf-8", "replace"), h.tolist()).decode("utf-8", "replace") if len(h) else t for t, h in zip(texts.to_pylist(), hits, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(out, texts.type) if i == at else batch.column(i) for i in range(len(names))], names=names)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = scanner(first).scan
+        for batch in batches:
+            hits = [find(words_of((t.as_py() or "").encode("utf-8", "replace")))[0] for t in batch.column(at)]
+            yield cut(batch, hits) if spans else batch.filter(pa.array([not len(h) for h in hits], pa.bool_()))
+
+    if len(blocks) == 1:
+        return docs.mapInArrow(clean, schema)
+    found = _hits_of_texts(docs.select(utf8(text_col).alias("raw")), blocks)
+    mark, where = fresh(docs, "_mark"), fresh(docs, "_hits")
+    marked, marks = docs.withColumn(mark, _mark(utf8(text_col))), found.select(F.col("mark").alias(mark))
+    others = rows_without(marked, mark, marks).drop(mark)
+    if not spans:
+        return others
+
+    def clean_met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield cut(batch, [np.asarray(x.values) for x in batch.column(len(names))])
 
-    def clean(block: Broadcast):  # noqa: ANN202
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            find = scanner(block).scan
-            for batch in batches:
-                texts = batch.column(at).to_pylist()
-                hits = [find(words_of((t or "").encode("utf-8", "replace")))[0] for t in texts]
-                if spans:
-                    cut = [remove_words(t.encode("utf-8", "replace"), h.tolist()).decode("utf-8", "replace") if len(h) else t for t, h in zip(texts, hits, strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(cut, batch.column(at).type) if i == at else c for i, c in enumerate(batch.columns)], schema=batch.schema)
-                else:
-                    yield batch.filter(pa.array([not len(h) for h in hits], pa.bool_()))
-
-        return run
-
-    for block in blocks_of(windows_of(benchmark, n)):
-        docs = docs.mapInArrow(clean(block), schema)
-    return docs
+    met = rows_with(marked, mark, marks).join(found.select(F.col("mark").alias(mark), F.col("hits").alias(where)), mark)
+    return others.unionByName(met.select(*docs.columns, where).mapInArrow(clean_met, schema))
