@@ -1,7 +1,8 @@
-"""Quality classifier: a factorisation machine over hashed words and the shape of the text.
+"""Quality classifier: a factorisation machine over hashed words, the shape of the text and metadata.
 
-A document is a sparse vector: its hashed words (damped counts, unit length) and a few dense
-statistics of its structure and size.  The machine has a weight for each feature and a short
+A document is a sparse vector: its hashed words (damped counts, unit length), a few dense
+statistics of its structure, and of the metadata the number of characters that the table states,
+with how far it is off.  The machine has a weight for each feature and a short
 vector for each; two features interact by the product of their vectors.  The sum over all pairs is
 half of (square of the sum less sum of the squares), coordinate by coordinate, so a document is
 scored in time linear in its features.
@@ -13,7 +14,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import islice
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +36,13 @@ SLICE = 128
 #: Words whose bucket a Python worker remembers.
 CACHE_WORDS = 300_000
 
-STATISTICS = ("bytes", "words", "lines", "word_length", "upper", "digit", "symbol", "space", "distinct", "top_word", "repeated_next", "repeated_line", "marked_word", "wide")
+STATISTICS = ("bytes", "words", "lines", "word_length", "upper", "digit", "symbol", "space", "distinct", "top_word", "repeated_next", "repeated_line", "marked_word", "wide", "stated", "misstated")
 
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes(range(97, 123))
 _DIGIT = bytes(range(48, 58))
+#: Bytes of UTF-8 that don't begin a character.
+_INSIDE = bytes(range(0x80, 0xC0))
 _SPACE = b" \t\n\x0b\x0c\r"
 _PLAIN = bytes(b for b in range(128) if chr(b).isalnum()) + _SPACE + b".,;'" + bytes(range(128, 256))
 
@@ -55,10 +58,12 @@ class _Buckets(dict):
 _BUCKET = _Buckets()
 
 
-def features(raw: bytes) -> tuple[np.ndarray, np.ndarray, list[float]]:
-    """Word buckets, their values, and the statistics, of a whole text."""
+def features(raw: bytes, stated: int | None = None) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """Word buckets, their values, and the statistics, of a whole text; ``stated`` is the number of
+    characters that the table states, and that of the text itself where it states none."""
     words = raw.translate(WORD_BYTES).split()
     n, size = len(words), max(1, len(raw))
+    chars = len(raw.translate(None, _INSIDE))
     counts = Counter(map(_BUCKET.__getitem__, words))
     idx = np.fromiter(counts.keys(), np.int32, len(counts))
     val = np.log1p(np.fromiter(counts.values(), np.float64, len(counts)))
@@ -83,6 +88,8 @@ def features(raw: bytes) -> tuple[np.ndarray, np.ndarray, list[float]]:
         1 - len(set(lines)) / len(lines),
         sum(1 for p in parts if p[-1] in b"!#$%&*|") / max(1, len(parts)),
         share(bytes(range(128, 256))),
+        np.log1p(max(0, chars if stated is None else stated)),
+        0.0 if stated is None else abs(stated - chars) / max(1, chars, stated),
     ]
     return idx, val, stats
 
@@ -113,10 +120,10 @@ class Machine:
         pairs = 0.5 * (np.square(total) - np.add.reduceat(np.square(v), starts, axis=0)).sum(1)
         return self.bias + np.add.reduceat(self.weights[idx] * val, starts) + pairs
 
-    def score(self, texts: Iterable[bytes]) -> np.ndarray:
+    def score(self, texts: Iterable[bytes], stated: Iterable[int | None] | None = None) -> np.ndarray:
         """A score for each text; features are held for SLICE texts at a time."""
-        out, todo = [np.zeros(0)], iter(texts)
-        while found := [features(raw) for raw in islice(todo, SLICE)]:
+        out, todo = [np.zeros(0)], iter(zip(texts, repeat(None) if stated is None else stated))  # noqa: B905
+        while found := [features(raw, chars) for raw, chars in islice(todo, SLICE)]:
             out.append(1 / (1 + np.exp(-np.clip(self.margin(*self.rows(found)), -30, 30))))
         return np.concatenate(out)
 
@@ -165,12 +172,18 @@ def held_out(doc_id: str = "doc_id", folds: int = 5):  # noqa: ANN201
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(folds)) == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Machine:
+def _stated(docs: DataFrame, size_col: str):  # noqa: ANN202
+    """The stated number of characters; null where the table has no such column."""
+    return (F.col(size_col) if size_col in docs.columns else F.lit(None)).cast("long").alias("stated")
+
+
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", size_col: str = "n_chars") -> Machine:
     """A machine learnt from the labelled rows that aren't held out.
 
     At most ``max_rows`` labelled ids are taken, in the order of a hash of the id, so the sample
-    is the same at every run.  Their features are made by the executors; the driver gets sparse
-    vectors only.  Null labels and ids are left out; an id with several labels takes the highest.
+    is the same at every run.  Their features are made by the executors; the driver gets one sparse
+    vector an id.  Null labels and ids are left out; an id with several labels takes the highest,
+    one with several texts the longest of them, and of these the last in order.
     """
     labelled = (
         labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(label_col).cast("int").alias("_label"))
@@ -184,7 +197,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [features(x.as_py()) for x in batch.column(1)]
+            found = [features(x.as_py(), n) for x, n in zip(batch.column(1), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -197,10 +210,10 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS,
             )
 
     # at most max_rows rows of two numbers are broadcast
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), utf8(text_col).alias("raw"))
-    taken = texts.join(F.broadcast(sample), "_id").select("_id", "raw", "_label")
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), utf8(text_col).alias("raw"), _stated(docs, size_col))
+    taken = texts.join(F.broadcast(sample), "_id").groupBy("_id").agg(F.max(F.struct(F.length("raw"), "raw", "stated")).alias("t"), F.max("_label").alias("_label")).select("_id", "t.raw", "_label", "t.stated")
     table = taken.mapInArrow(run, "_id long, _label int, idx array<int>, val array<float>, stats array<double>").toArrow()
-    table = table.sort_by([("_id", "ascending"), ("_label", "ascending")]).slice(0, max_rows)
+    table = table.sort_by([("_id", "ascending")])
     found = [
         (np.asarray(i.values, np.int32), np.asarray(v.values, np.float64), list(s.as_py()))
         for i, v, s in zip(table["idx"], table["val"], table["stats"], strict=True)
@@ -208,7 +221,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS,
     return fit(found, np.array(table["_label"].to_pylist(), np.float64))
 
 
-def score(docs: DataFrame, machine: Machine, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, machine: Machine, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``docs``.
 
     ``predicted`` is 1 where the score is at least ``threshold``.  Null and empty texts get the
@@ -219,21 +232,26 @@ def score(docs: DataFrame, machine: Machine, threshold: float = 0.3, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = shared.value.score(x.as_py() for x in batch.column(2))
+            scores = shared.value.score((x.as_py() for x in batch.column(2)), batch.column(3).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], ["doc_id", "held_out", "score"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), utf8(text_col).alias("raw"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), utf8(text_col).alias("raw"), _stated(docs, size_col))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= F.lit(threshold)).cast("int"))
 
 
-def keep_good(docs: DataFrame, machine: Machine, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose score is at least ``threshold``, all columns as they are."""
+def keep_good(docs: DataFrame, machine: Machine, threshold: float = 0.3, text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
+    """The rows of ``docs`` whose score is at least ``threshold``, all columns as they are.
+
+    Null and empty texts get the score of a text without words; ids don't matter, and repeated rows
+    are judged one by one; an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(machine)
-    at = docs.columns.index(text_col)
+    at, size = docs.columns.index(text_col), docs.columns.index(size_col) if size_col in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = shared.value.score((t.as_py() or "").encode("utf-8", "replace") for t in batch.column(at))
+            stated = None if size is None else batch.column(size).to_pylist()
+            scores = shared.value.score(((t.as_py() or "").encode("utf-8", "replace") for t in batch.column(at)), stated)
             yield batch.filter(pa.array(scores >= threshold, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
