@@ -117,8 +117,8 @@ base AS ({_spans(secret_scan.ASSIGN, 0, 2, secret_scan.ASSIGN_LEAST)} UNION ALL
 wide AS (SELECT * FROM ({_spans(secret_scan.WIDE, 3)}) w WHERE regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND len(list_distinct(string_split(v, ''))) >= {secret_scan.LIVE_CHARACTERS}
   AND NOT EXISTS (SELECT 1 FROM base b WHERE b.row_no = w.row_no AND b.s < w.e AND w.s < b.e)),
 candidates AS (SELECT * FROM base UNION ALL SELECT * FROM wide),
-owners AS (SELECT v, count(DISTINCT source) AS owners FROM candidates JOIN docs USING (row_no) GROUP BY 1),
-marked AS (SELECT c.*, o.owners, kind < 3 OR owners <= 1 AS shown FROM candidates c JOIN owners o USING (v)),
+owners AS (SELECT v, count(DISTINCT source) AS owners, count(DISTINCT doc_id) AS repositories FROM candidates JOIN docs USING (row_no) GROUP BY 1),
+marked AS (SELECT c.*, o.owners, kind < 3 OR (owners <= 1 AND repositories < {secret_scan.COPIED_REPOSITORIES}) AS shown FROM candidates c JOIN owners o USING (v)),
 named AS (SELECT *, (['assign', 'access', 'hex', 'owned'])[kind + 1] || ':' || s || ':' || e AS label FROM marked),
 per AS (SELECT row_no, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, string_agg(label, ',' ORDER BY s, kind) FILTER (kind < 3) AS base_text,
   string_agg(label, ',' ORDER BY s, kind) FILTER (shown) AS spans, count(*) FILTER (kind = 3 AND shown) AS n_owned, count(*) FILTER (owners >= {secret_scan.EXAMPLE_OWNERS}) AS n_example FROM named GROUP BY 1)

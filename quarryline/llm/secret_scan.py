@@ -3,8 +3,8 @@
 Three fixed patterns give the base spans.  A wider pattern gives further candidates.  Every
 candidate's hash is counted over the whole corpus by distinct repositories and distinct owners:
 what many owners hold is a copied example, what a single owner holds in few repositories and looks
-random is taken for a live credential, and its span is added.  Only hashes of values are written or shuffled.  All of
-it is built-in column functions.
+random is taken for a live credential, and its span is added.  Only hashes of values are written or
+shuffled.  All of it is built-in column functions.
 """
 
 from __future__ import annotations
@@ -31,6 +31,10 @@ COPIED_REPOSITORIES = 3
 LIVE_CHARACTERS = 10
 
 
+#: Matches whose places are summed up one by one; the sums go on from run to run of so many.
+RUN = 256
+
+
 def spans_of(text: Column, pattern: str, kind: int, value_group: int = 0, least: int = 0) -> Column:
     """array<struct<start, kind, end, value>> of the pattern's leftmost non-overlapping matches,
     in code points.  Matches whose value is shorter than ``least`` are dropped, but still consume
@@ -49,7 +53,16 @@ def spans_of(text: Column, pattern: str, kind: int, value_group: int = 0, least:
         span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + p["size"]).alias("end"), p["value"].alias("value"))
         return F.struct((start + p["size"]).alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    found = F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    # appending copies what is there, so places are summed up in short runs, and then the runs
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / RUN).cast("int")), lambda r: F.slice(parts, r * RUN + 1, RUN))
+    summed = F.transform(runs, lambda r: F.aggregate(r, F.struct(F.lit(0).alias("at"), none.alias("out")), step))
+    begins = F.aggregate(summed, F.array(F.lit(0)), lambda acc, r: F.concat(acc, F.array(F.element_at(acc, -1) + r["at"])))
+    placed = F.zip_with(
+        summed,
+        F.slice(begins, 1, F.size(summed)),
+        lambda r, at: F.transform(r["out"], lambda s: F.struct((s["start"] + at).alias("start"), s["kind"].alias("kind"), (s["end"] + at).alias("end"), s["value"].alias("value"))),
+    )
+    found = F.flatten(placed)
     found = F.filter(found, lambda s: F.length(s["value"]) >= least) if least else found
     return F.when(F.size(whole) > 0, found).otherwise(none)
 
@@ -80,7 +93,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     digest is of the base spans alone.  ``n_owned`` counts the spans that ownership adds,
     ``n_example`` the candidates that at least EXAMPLE_OWNERS owners hold.
 
-    Null and empty texts have no spans.  Null repositories and owners aren't counted, so a value
+    Null and empty texts have no spans; a text may hold any number of matches.  Null repositories and owners aren't counted, so a value
     held by null owners only counts as one owner's.  A null id stays null; repeated rows are
     reported one by one; further columns are ignored; an empty table gives none.
     """
@@ -103,7 +116,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # distinct pairs first: a value that a third of the corpus holds is spread over its holders
     owners = candidates.select("h", "owner").distinct().groupBy("h").agg(F.count("owner").alias("owners"))
     repositories = candidates.select("h", "repository").distinct().groupBy("h").agg(F.count("repository").alias("repositories"))
-    ownership = owners.join(repositories, "h")
+    # written, so that the join below has shuffles of its own, in which a hot value can be split
+    ownership = materialise(owners.join(repositories, "h"), "ownership")
     live = (F.col("kind") == len(KINDS) - 1) & (F.col("owners") <= 1) & (F.col("repositories") < COPIED_REPOSITORIES)
     judged = (
         candidates.join(ownership, "h")
