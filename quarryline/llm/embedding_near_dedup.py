@@ -6,10 +6,16 @@ that collide often enough are verified by their exact cosine.  For a pair at the
 count is binomial, so the count asked for is the one that such a pair misses with a probability of
 ``MISS`` at most.
 
-The sort is distributed over cells: along one more direction, a cell is as wide as the greatest
-distance that a link can span, so partners lie in the same or the next cell.  Cells are cut into
-blocks of bounded size, a task compares two blocks, and it returns only each vector's number of
-links and a spanning forest of them, never all pairs.  Equal vectors are one class throughout.
+Vectors of one label that fit into a few blocks are all compared.  A larger label is first cut by
+some of the projections: several of them, each cut into cells at a random offset, make a table, and
+only vectors that share all cells of a table are compared.  How many projections a table has, and
+how many tables there are, follows from the label's size alone: so many that a pair at the least
+cosine shares none of the tables with a probability of LOST at most, and that unlike vectors seldom
+meet.  The work of a label then grows far slower than the square of its size.
+
+Groups are cut into blocks of bounded size, a task compares two blocks, and it returns only each
+vector's number of links and a spanning forest of them, never all pairs.  A pair that shares several
+tables counts in the first of them.  Equal vectors are one class throughout.
 """
 
 from __future__ import annotations
@@ -34,6 +40,12 @@ WINDOW = 1.0
 MISS = 1e-6
 #: Vectors in a block, on average.
 BLOCK = 1000
+#: Width of a cell, in standard deviations of the projected difference of a pair at the least cosine.
+CELL = 6.0
+#: Probability with which a pair at the least cosine may share none of its label's tables.
+LOST = 1e-3
+#: Projections that a table has at most, and comparisons that take as long as dealing out a copy.
+DEEPEST, COPY = 32, 1000
 
 
 def least_count(projections: int = PROJECTIONS, window: float = WINDOW, miss: float = MISS) -> int:
@@ -47,12 +59,49 @@ def least_count(projections: int = PROJECTIONS, window: float = WINDOW, miss: fl
         count += 1
 
 
+def same_cell(width: float) -> float:
+    """The probability that two values whose difference is normal with deviation 1 are in one cell
+    of a width, cut at a random offset."""
+    return math.erf(width / math.sqrt(2)) - math.sqrt(2 / math.pi) / width * (1 - math.exp(-width * width / 2))
+
+
+def plan(members: int, least: float) -> tuple[int, int]:
+    """(projections of a table, tables) of the least work for a label of so many vectors; (0, 1) is
+    one table without a projection, in which all meet."""
+    near, far = same_cell(CELL), same_cell(CELL * math.sqrt(2 - 2 * least) / math.sqrt(2))
+    best = (members + COPY, 0, 1)
+    for k in range(1, DEEPEST + 1):
+        tables = math.ceil(math.log(LOST) / math.log1p(-(near**k)))
+        best = min(best, (tables * (COPY + members * far**k), k, tables))
+    return best[1:]
+
+
 @lru_cache(maxsize=8)
 def directions(dim: int) -> np.ndarray:
-    """One unit direction for the cells, then the Gaussian ones for the collisions."""
-    out = np.random.default_rng(1000 + dim).normal(size=(dim, PROJECTIONS + 1))
-    out[:, 0] /= np.linalg.norm(out[:, 0])
-    return out
+    """The Gaussian directions for the collisions."""
+    return np.random.default_rng(1000 + dim).normal(size=(dim, PROJECTIONS))
+
+
+@lru_cache(maxsize=8)
+def cell_directions(dim: int, depth: int, tables: int) -> tuple[np.ndarray, np.ndarray]:
+    """The Gaussian directions of all tables and the offsets of their cells."""
+    rng = np.random.default_rng(5000 + dim)
+    return rng.normal(size=(tables * depth, dim)), rng.uniform(size=tables * depth)
+
+
+def cells_of(units: np.ndarray, depth: int, tables: int, least: float) -> np.ndarray:
+    """A number for each unit vector's cells in each table.  Sums are taken in one order however
+    many vectors there are, so a vector has the same cells wherever they are found."""
+    if not depth:
+        return np.zeros((len(units), 1), np.int64)
+    along, offset = cell_directions(units.shape[1], depth, tables)
+    at = np.floor(np.einsum("ij,kj->ik", units, along, optimize=False) / (CELL * math.sqrt(2 - 2 * least)) + offset).astype(np.int64).view(np.uint64)
+    at = at.reshape(len(units), tables, depth)
+    out = np.broadcast_to(np.arange(1, tables + 1, dtype=np.uint64), (len(units), tables)).copy()
+    for k in range(depth):
+        out = (out + at[:, :, k]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out.view(np.int64)
 
 
 def collisions(a: np.ndarray, b: np.ndarray, half: float) -> np.ndarray:
@@ -73,7 +122,7 @@ def collisions(a: np.ndarray, b: np.ndarray, half: float) -> np.ndarray:
 def linked(a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers of the pairs with cosine >= least, by counting and verification."""
     unit_a, unit_b = a / np.linalg.norm(a, axis=1, keepdims=True), b / np.linalg.norm(b, axis=1, keepdims=True)
-    along = directions(a.shape[1])[:, 1:]
+    along = directions(a.shape[1])
     half = WINDOW * math.sqrt(2 - 2 * least)
     i, j = np.nonzero(collisions(unit_a @ along, unit_b @ along, half) >= least_count())
     cosine = np.einsum("ij,ij->i", a[i], b[j]) / (np.linalg.norm(a[i], axis=1) * np.linalg.norm(b[j], axis=1))
@@ -97,9 +146,9 @@ def _forest(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _compare(rows: list[tuple[int, int, int, bytes]], least: float) -> Iterator[tuple[int, int | None, int | None]]:
-    """Rows (side, rep, members, vector) of one or two blocks -> (rep, None, linked vectors) and
-    (rep, rep, None) of a spanning forest."""
+def _compare(table: int, depth: int, tables: int, rows: list[tuple[int, int, int, bytes]], least: float) -> Iterator[tuple[int, int | None, int | None]]:
+    """Rows (side, rep, members, vector) of one or two blocks of a table's cell -> (rep, None,
+    linked vectors) and (rep, rep, None) of a spanning forest, for pairs that meet here first."""
     sides = [[r for r in rows if r[0] == s] for s in (0, 1)]
     own = not sides[1]
     left, right = sides[0], sides[0] if own else sides[1]
@@ -109,6 +158,11 @@ def _compare(rows: list[tuple[int, int, int, bytes]], least: float) -> Iterator[
     i, j = linked(a, b, least)
     if own:
         i, j = i[i < j], j[i < j]
+    if table and len(i):
+        at, other = np.unique(i), np.unique(j)
+        cells = [cells_of(x / np.linalg.norm(x, axis=1, keepdims=True), depth, tables, least)[:, :table] for x in (a[at], b[other])]
+        first = np.array([not (cells[0][p] == cells[1][q]).any() for p, q in zip(np.searchsorted(at, i), np.searchsorted(other, j), strict=True)], bool)
+        i, j = i[first], j[first]
     for at, other, who, whom in ((i, j, left, right), (j, i, right, left)):
         if len(at):
             total = np.bincount(at, np.array([whom[k][2] for k in other], np.float64), len(who))
@@ -127,50 +181,55 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id"
     null and which is kept.  ``n_links`` counts the other rows linked directly; rows that repeat
     an id count one by one.  Further columns are ignored; an empty table gives none.
     """
-    width = math.sqrt(2 - 2 * least) + 1e-9
-
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for vec, label, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                row = (vec, label, None, None, None, None)
+                row = (vec, label, None, None, None)
                 if vec is not None and label is not None and x.is_valid and not x.values.null_count and len(x.values):
                     v = np.asarray(x.values, np.float64) + 0.0
                     size = np.linalg.norm(v)
                     if np.isfinite(v).all() and np.isfinite(size) and size > 0:
                         fp = hashlib.blake2b(b"%d:" % label + v.tobytes(), digest_size=16).digest()
-                        row = (vec, label, len(v), math.floor(float(v @ directions(len(v))[:, 0]) / size / width), fp, v.tobytes())
+                        row = (vec, label, len(v), fp, v.tobytes())
                 out.append(row)
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], ["vec_id", "label", "dim", "cell", "fp", "vector"])
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], ["vec_id", "label", "dim", "fp", "vector"])
 
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), vector_col)
-    ready = rows.mapInArrow(prepare, "vec_id long, label long, dim int, cell int, fp binary, vector binary")
+    ready = rows.mapInArrow(prepare, "vec_id long, label long, dim int, fp binary, vector binary")
     # hashed rows of one class meet on the map side first, so a very common vector is a few rows
-    classes = ready.where("fp is not null").groupBy("fp").agg(F.count("*").alias("members"), F.min(F.struct("vec_id", "label", "dim", "cell", "vector")).alias("r"))
-    classes = materialise(classes.select("fp", "members", F.col("r.vec_id").alias("rep"), "r.label", "r.dim", "r.cell", "r.vector"), "vectors")
-
-    # every class row knows how many blocks its own cell and the two beside it have
-    cells = classes.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    beside = [cells.select("label", "dim", (F.col("cell") + d).alias("cell"), F.col("blocks").alias(name)) for d, name in ((-1, "after"), (1, "before"))]
-    cells = materialise(cells.join(beside[0], ["label", "dim", "cell"], "left").join(beside[1], ["label", "dim", "cell"], "left").fillna(0, ["after", "before"]), "cells")
-    placed = classes.join(cells, ["label", "dim", "cell"]).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-
-    def meet(n, cell_a, block_a, cell_b, block_b, side):  # noqa: ANN001, ANN202
-        numbers = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(numbers, lambda t: F.struct(cell_a.alias("ca"), block_a(t).alias("ba"), cell_b.alias("cb"), block_b(t).alias("bb"), side(t).alias("side")))
-
-    cell, own = F.col("cell"), F.col("own")
-    meetings = F.concat(
-        meet(F.col("blocks"), cell, lambda t: F.least(t, own), cell, lambda t: F.greatest(t, own), lambda t: F.when(own > t, 1).otherwise(0)),
-        meet(F.col("after"), cell, lambda t: own, cell + 1, lambda t: t, lambda t: F.lit(0)),
-        meet(F.col("before"), cell - 1, lambda t: t, cell, lambda t: own, lambda t: F.lit(1)),
-    )
-    key = ["label", "dim", "ca", "ba", "cb", "bb"]
+    classes = ready.where("fp is not null").groupBy("fp").agg(F.count("*").alias("members"), F.min(F.struct("vec_id", "label", "dim", "vector")).alias("r"))
+    classes = materialise(classes.select("fp", "members", F.col("r.vec_id").alias("rep"), "r.label", "r.dim", "r.vector"), "vectors")
+
+    def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [plan(n, least) for n in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([f[k] for f in found], pa.int32()) for k in (0, 1))], ["label", "dim", "depth", "tables"])
+
+    plans = materialise(classes.groupBy("label", "dim").agg(F.count("*").alias("n")).mapInArrow(sized, "label long, dim int, depth int, tables int"), "plans")
+
+    def celled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = []
+            for x, depth, tables in zip(batch.column(2), batch.column(5).to_pylist(), batch.column(6).to_pylist(), strict=True):
+                v = np.frombuffer(x.as_buffer(), np.float64)[None, :]
+                cells.append(cells_of(v / np.linalg.norm(v, axis=1, keepdims=True), depth, tables, least)[0])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.list_(pa.int64()))], [*batch.schema.names, "cells"])
+
+    planned = classes.select("rep", "members", "vector", "label", "dim").join(plans, ["label", "dim"]).select("rep", "members", "vector", "label", "dim", "depth", "tables")
+    planned = materialise(planned.mapInArrow(celled, "rep long, members long, vector binary, label long, dim int, depth int, tables int, cells array<long>"), "cells")
+    group = ["label", "dim", "table", "cell"]
+    counts = planned.select("label", "dim", F.posexplode("cells").alias("table", "cell")).groupBy(*group).agg(F.count("*").alias("n")).where("n > 1")
+    counts = materialise(counts.select(*group, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "groups")
+    # who is alone in its cell is not dealt out
+    placed = planned.select("*", F.posexplode("cells").alias("table", "cell")).drop("cells").join(counts, group)
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    key = [*group, "i", "j"]
     dealt = (
-        placed.withColumn("m", F.explode(meetings))
-        .select("label", "dim", "m.*", "rep", "members", "vector")
-        .select(*key, "side", "rep", "members", "vector")
+        placed.withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select(*group, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "depth", "tables", (F.col("own") > F.col("other")).cast("int").alias("side"), "rep", "members", "vector")
         .repartition(*key)
         .sortWithinPartitions(*key)
     )
@@ -182,14 +241,14 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id"
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], pa.int64()) for k in range(3)], ["a", "b", "links"])
 
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(10)), strict=True):
-                if row[:6] != current:
+            for row in zip(*(batch.column(k).to_pylist() for k in range(12)), strict=True):
+                if row[:8] != current:
                     if held:
-                        yield out(list(_compare(held, least)))
-                    current, held = row[:6], []
-                held.append(row[6:])
+                        yield out(list(_compare(current[2], *current[6:], held, least)))
+                    current, held = row[:8], []
+                held.append(row[8:])
         if held:
-            yield out(list(_compare(held, least)))
+            yield out(list(_compare(current[2], *current[6:], held, least)))
 
     found = materialise(dealt.mapInArrow(compare, "a long, b long, links long"), "links")
     component = connected_components(found.where("b is not null").select("a", "b"))
