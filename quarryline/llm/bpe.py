@@ -31,8 +31,9 @@ from quarryline.llm.token_counts import byte_symbols
 
 #: Fixed value: the pattern of the pieces that a vocabulary with word ends keeps.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Runs without white space remembered for each Python worker; a full memory is emptied.
-CACHE_RUNS = 300_000
+#: Runs without white space remembered for each Python worker, once more as many of an older
+#: generation: what is met again while a generation fills is carried into it.
+CACHE_RUNS = 200_000
 #: Bytes above which a run's tokens are not remembered.
 CACHE_BYTES = 64
 #: Token pairs whose compatibility is remembered.
@@ -62,6 +63,7 @@ class Codec(dict):
 
     def __init__(self, path: str) -> None:
         super().__init__()
+        self.older: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, merges, suffix = spec["model"]["vocab"], spec["model"]["merges"], spec["model"]["end_of_word_suffix"]
@@ -167,12 +169,15 @@ class Codec(dict):
         return out
 
     def __missing__(self, run: str) -> bytes:
-        ids: list[int] = []
-        for word in self.find(run):
-            ids += self.encode_word(word.encode("utf-8", "replace"))
-        packed = np.array(ids, np.int32).tobytes()
+        packed = self.older.get(run)
+        if packed is None:
+            ids: list[int] = []
+            for word in self.find(run):
+                ids += self.encode_word(word.encode("utf-8", "replace"))
+            packed = np.array(ids, np.int32).tobytes()
         if len(run) <= CACHE_BYTES:
             if len(self) >= CACHE_RUNS:
+                self.older = dict(self)
                 self.clear()
             self[run] = packed
         return packed
