@@ -22,11 +22,11 @@ from quarryline.llm.common import utf8
 
 #: Fixed value: the pattern that byte-level vocabularies of this kind split text with.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Pieces, and runs of pieces without a space, remembered for each Python worker; a memory that is
-#: full is emptied.
-CACHE_PIECES = 400_000
-#: Bytes above which a piece's count is not remembered.
-CACHE_BYTES = 64
+#: Pieces, and runs of pieces without a space, remembered for each Python worker, once more as many
+#: of an older generation: what is met again while a generation fills is carried into it.
+CACHE_PIECES = 250_000
+#: Characters above which a piece's count is not remembered.
+CACHE_CHARS = 64
 
 
 def byte_symbols() -> dict[str, int]:
@@ -42,6 +42,7 @@ class PieceCounter(dict):
 
     def __init__(self, path: str) -> None:
         super().__init__()
+        self.older: dict[str, int] = {}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
@@ -58,10 +59,12 @@ class PieceCounter(dict):
         self.after_space = AfterSpace(self)
 
     def __missing__(self, piece: str) -> int:
-        raw = piece.encode("utf-8", "replace")
-        n = merged_length([self.of_byte[b] for b in raw], self.joins)
-        if len(raw) <= CACHE_BYTES:
+        n = self.older.get(piece)
+        if n is None:
+            n = merged_length([self.of_byte[b] for b in piece.encode("utf-8", "replace")], self.joins)
+        if len(piece) <= CACHE_CHARS:
             if len(self) >= CACHE_PIECES:
+                self.older = dict(self)
                 self.clear()
             self[piece] = n
         return n
@@ -89,11 +92,15 @@ class AfterSpace(dict):
     def __init__(self, pieces: PieceCounter) -> None:
         super().__init__()
         self.pieces = pieces
+        self.older: dict[str, int] = {}
 
     def __missing__(self, run: str) -> int:
-        n = sum(map(self.pieces.__getitem__, self.pieces.find(" " + run)))
-        if len(run) <= CACHE_BYTES:
+        n = self.older.get(run)
+        if n is None:
+            n = sum(map(self.pieces.__getitem__, self.pieces.find(" " + run)))
+        if len(run) <= CACHE_CHARS:
             if len(self) >= CACHE_PIECES:
+                self.older = dict(self)
                 self.clear()
             self[run] = n
         return n
