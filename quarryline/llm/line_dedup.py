@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import ASCII_LOWER, ASCII_SPACE, fresh, materialise, scratch_path, utf8
+from quarryline.llm.common import ASCII_LOWER, ASCII_SPACE, delete_path, fresh, left_join_set, materialise, scratch_path, utf8
 
 #: Runs of one level that are compacted into one run of the next.
 FANOUT = 3
@@ -56,6 +56,7 @@ class LineRuns:
     def __init__(self, spark: SparkSession, buckets: int, min_chars: int = MIN_CHARS) -> None:
         self.spark, self.buckets, self.min_chars = spark, buckets, min_chars
         self.levels: list[list[str]] = []
+        self.paths: dict[str, str] = {}
 
     def tables(self) -> list[str]:
         return [t for level in self.levels for t in level]
@@ -64,12 +65,13 @@ class LineRuns:
         """A run: bucketed and sorted by the hash, in the shared folder, so that a later merge
         reads it without a shuffle."""
         name = f"line_run_{uuid.uuid4().hex}"
+        self.paths[name] = scratch_path(self.spark, "line-run")
         (
             keys.repartition(self.buckets, "h")
             .write.format("parquet")
             .bucketBy(self.buckets, "h")
             .sortBy("h")
-            .option("path", scratch_path(self.spark, "line-run"))
+            .option("path", self.paths[name])
             .saveAsTable(name)
         )
         return name
@@ -85,7 +87,17 @@ class LineRuns:
                 merged = merged.unionByName(self.spark.table(t))
             self._push(self._write(merged), level + 1)
             for t in old:
-                self.spark.sql(f"DROP TABLE IF EXISTS {t}")
+                self._drop(t)
+
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        delete_path(self.spark, self.paths.pop(name))
+
+    def close(self) -> None:
+        """Drops the runs, also those of a batch that failed, with their files."""
+        self.levels = []
+        for name in list(self.paths):
+            self._drop(name)
 
     def add(self, docs: DataFrame) -> DataFrame:
         """(doc_id, h): the lines of the batch that an earlier or smaller document holds.  The
@@ -122,12 +134,13 @@ def line_drops(docs: DataFrame, min_chars: int, batches: int) -> DataFrame:
     ``docs`` (doc_id, raw)."""
     spark = docs.sparkSession
     runs = LineRuns(spark, max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), min_chars)
-    parts = [runs.add(b) for b in batches_by_id(docs, batches)]
+    try:
+        parts = [runs.add(b) for b in batches_by_id(docs, batches)]
+    finally:
+        runs.close()
     drops = parts[0]
     for p in parts[1:]:
         drops = drops.unionByName(p)
-    for t in runs.tables():
-        spark.sql(f"DROP TABLE IF EXISTS {t}")
     return drops.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("h").alias("_dropped"))
 
 
@@ -165,25 +178,30 @@ def line_report(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = 4, i
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("raw"))
     drops = line_drops(rows, min_chars, batches)
-    return rows.join(drops, rows["doc_id"] == drops["_doc"], "left").select("doc_id", "raw", "_dropped").mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return left_join_set(rows, drops, "doc_id", "_doc").select("doc_id", "raw", "_dropped").mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
-def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with every text reduced to its kept lines; all rows and columns stay.  A null text
-    stays null; see :func:`line_report` for the other edge cases."""
+def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = 4, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = False) -> DataFrame:
+    """``docs`` with every text reduced to its kept lines; all columns stay, and all rows.
+
+    With ``drop_emptied`` rows that lost lines go if nothing but white space is left of them: all
+    they held is in smaller documents.  Texts that were empty or blank before lose no line and
+    stay.  A null text stays null; see :func:`line_report` for the other edge cases.
+    """
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_:
             texts = batch.column(at)
-            kept = [
-                keep_lines(t.encode("utf-8", "replace"), gone, min_chars)[0].decode("utf-8", "replace") if gone else t
-                for t, gone in zip(texts.to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array(kept, texts.type) if i == at else batch.column(i) for i in range(batch.num_columns - 1)], names=names)
+            kept, stay = [], []
+            for t, gone in zip(texts.to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                left = keep_lines(t.encode("utf-8", "replace"), gone, min_chars)[0] if gone else None
+                kept.append(t if left is None else left.decode("utf-8", "replace"))
+                stay.append(not drop_emptied or left is None or bool(left.strip(ASCII_SPACE)))
+            out = pa.RecordBatch.from_arrays([pa.array(kept, texts.type) if i == at else batch.column(i) for i in range(batch.num_columns - 1)], names=names)
+            yield out.filter(pa.array(stay, pa.bool_()))
 
     names = docs.columns
     at = names.index(text_col)
     drops = line_drops(docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("raw")), min_chars, batches)
     key, gone = fresh(docs, "_doc"), fresh(docs, "_dropped")
-    drops = drops.toDF(key, gone)
-    return docs.join(drops, F.col(id_col) == F.col(key), "left").drop(key).mapInArrow(run, docs.schema)
+    return left_join_set(docs, drops.toDF(key, gone), id_col, key).drop(key).mapInArrow(run, docs.schema)
