@@ -18,6 +18,8 @@ IDENTIFIER_NAME = r"(?:^|_)(?:id|identifier|key|ticket|code|reference|ref|name)(
 NUMBER_TEXT = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity)\s*$"
 #: Formats that date texts are tried in, in this order.
 DATE_FORMATS = ("yyyy-M-d", "yyyy/M/d", "M/d/yyyy", "M-d-yyyy")
+#: A time of day behind a date.
+TIME_FORMAT = "[ H:m[:s]]"
 
 
 def strip(text: Column) -> Column:
@@ -38,8 +40,9 @@ def number_in(text: Column) -> Column:
 
 
 def date_in(text: Column) -> Column:
-    """The date that a text spells in one of DATE_FORMATS, null where it spells none."""
-    return F.coalesce(*(F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS)).cast("date")
+    """The date that a text spells in one of DATE_FORMATS, with or without a time of day, or as an
+    ISO time; null where it spells none."""
+    return F.coalesce(*(F.try_to_timestamp(text, F.lit(f + TIME_FORMAT)) for f in DATE_FORMATS), text.try_cast("timestamp")).cast("date")
 
 
 def is_missing_token(stripped: Column) -> Column:
@@ -53,17 +56,6 @@ def corrected_skewness(x: Column) -> Column:
     return F.when((n > 2) & ~F.isnan(g), g * F.sqrt(n * (n - 1)) / (n - 2))
 
 
-def pearson(a: Column, b: Column) -> Column:
-    """Pearson's r over rows where both are set, null where one doesn't vary."""
-    both = a.isNotNull() & b.isNotNull()
-    x, y = F.when(both, a), F.when(both, b)
-    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-
-
-def severity_by_rate(rate: Column, medium: float = 0.10, high: float = 0.50) -> Column:
-    return F.when(rate >= high, "High").when(rate >= medium, "Medium").otherwise("Low")
-
-
 def sample_text(value: Column) -> Column:
     """A value as shown in reports: texts over 160 characters are cut to 157 and an ellipsis."""
     return F.when(F.length(value) > 160, F.concat(F.substring(value, 1, 157), F.lit("…"))).otherwise(value)

@@ -69,18 +69,20 @@ def bounded_penalty(findings: DataFrame, weights: Mapping[str, float] = DATA_WEI
     return per.groupBy(*by).agg(F.least(F.lit(total_cap), F.coalesce(F.sum("p"), F.lit(0.0))).alias("penalty"))
 
 
-def quality_score(findings: DataFrame, weights: Mapping[str, float], step: float, most: float) -> DataFrame:
-    """One row (score): 100 less the uncapped rule penalties, not below zero, rounded."""
-    total = rule_penalties(findings, weights, step, most).agg(F.coalesce(F.sum("penalty"), F.lit(0.0)).alias("p"))
-    return total.select(F.greatest(F.lit(0.0), F.bround(100 - F.least(F.lit(100.0), "p"))).cast("long").alias("score"))
+def quality_score(findings: DataFrame, weights: Mapping[str, float], step: float, most: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, score): 100 less the uncapped rule penalties, not below zero, rounded; one row without
+    ``by``.  With it, groups of which no finding counts have no row."""
+    apart = tuple(c for c in by if c != "category")
+    total = rule_penalties(findings, weights, step, most, apart).groupBy(*by).agg(F.coalesce(F.sum("penalty"), F.lit(0.0)).alias("p"))
+    return total.select(*by, F.greatest(F.lit(0.0), F.bround(100 - F.least(F.lit(100.0), "p"))).cast("long").alias("score"))
 
 
-def report_score(findings: DataFrame) -> DataFrame:
-    return quality_score(findings, REPORT_WEIGHTS, 1.0, 3.0)
+def report_score(findings: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    return quality_score(findings, REPORT_WEIGHTS, 1.0, 3.0, by)
 
 
-def display_score(findings: DataFrame) -> DataFrame:
-    return quality_score(findings, DISPLAY_WEIGHTS, 0.5, 2.0)
+def display_score(findings: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    return quality_score(findings, DISPLAY_WEIGHTS, 0.5, 2.0, by)
 
 
 def severity_counts(findings: DataFrame) -> DataFrame:
@@ -113,3 +115,83 @@ def evaluate(findings: DataFrame, truth: DataFrame) -> DataFrame:
     wrong = met.where("not met").select(F.explode("ids").alias("id")).distinct()
     table = met.agg(F.count(F.when(F.col("met"), 1)).alias("tp"), F.count(F.when(~F.col("met"), 1)).alias("fn")).crossJoin(wrong.agg(F.count("*").alias("fp")))  # one row each
     return table.select("tp", "fp", "fn", F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"))
+
+
+def macro_average(cases: DataFrame) -> DataFrame:
+    """One row (cases, tp, fp, fn, precision, recall, macro_precision, macro_recall) of the counts
+    (case, tp, fp, fn) of several cases: over all, and the mean of the cases that have a value."""
+    precision, recall = F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), F.try_divide(F.col("tp"), F.col("tp") + F.col("fn"))
+    total = cases.agg(F.count("*").alias("cases"), *(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in ("tp", "fp", "fn")), F.avg(precision).alias("macro_precision"), F.avg(recall).alias("macro_recall"))
+    return total.select("cases", "tp", "fp", "fn", precision.alias("precision"), recall.alias("recall"), "macro_precision", "macro_recall")
+
+
+#: Points of a project's code, of its data, and of there being either.
+POINTS, PART_POINTS = 35.0, 15
+#: Most that one category of code findings costs.
+CODE_CATEGORY_CAP = 14.0
+
+
+def project_score(code_findings: DataFrame, data_scores: DataFrame, groups: DataFrame, code_files: int) -> DataFrame:
+    """One row (code_score, data_score, completeness, score): the points of the code less its bounded
+    penalties, the mean over lineage groups of the files' lowest scores, and 15 points each for code
+    and data being there.  ``data_scores`` (file, score), ``groups`` (node, component)."""
+    lost = bounded_penalty(code_findings, CODE_WEIGHTS, CODE_CATEGORY_CAP, POINTS)
+    code = lost.select((F.bround(F.lit(POINTS) - F.col("penalty")) if code_files else F.lit(0.0)).cast("long").alias("code_score"))
+    there = data_scores.agg((F.count("*") > 0).cast("int").alias("there"))
+    both = code.crossJoin(data_score(data_scores, groups)).crossJoin(there)  # one row each
+    complete = (F.lit(PART_POINTS if code_files else 0) + PART_POINTS * F.col("there")).cast("long")
+    return both.select("code_score", "data_score", complete.alias("completeness"), (F.col("code_score") + F.col("data_score") + complete).alias("score"))
+
+
+#: Roles of result files, and the rules that such a file breaks by its nature.
+RESULT_ROLES = ("model_evaluation_report", "feature_importance_result", "other_analysis_artifact")
+RESULT_RULES = (
+    "DQ_VERY_SMALL_DATASET", "DQ_HIGH_CORRELATION", "DQ_HIGH_CARDINALITY", "DQ_POTENTIAL_ID", "DQ_POTENTIAL_INDEX_COLUMN",
+    "DQ_CONSTANT_COLUMN", "DQ_SINGLE_CATEGORY", "DQ_EXTREME_SKEWNESS", "DQ_POTENTIAL_EXTREME_VALUES", "DQ_DISCRETE_DISTRIBUTION_REVIEW",
+)
+
+
+def by_role(findings: DataFrame, roles: DataFrame) -> DataFrame:
+    """``findings`` with the ``role`` of their file, of ``roles`` (file, role): what is in the nature
+    of a result file is noted there, and neither counts nor weighs."""
+    joined = findings.join(roles.select("file", "role"), "file", "left")
+    natural = F.coalesce(F.col("role").isin(*RESULT_ROLES) & F.col("rule_id").isin(*RESULT_RULES), F.lit(False))
+    noted = {"severity": F.lit("Low"), "action": F.lit("Informational"), "score_impact": F.lit(0.0), "issue_nature": F.lit("Artifact Observation")}
+    return joined.withColumns({c: F.when(natural, x).otherwise(F.col(c)) for c, x in noted.items()})
+
+
+#: The categories that each view of a table's findings shows.
+VIEWS = {
+    "outliers": ("Outliers",), "invalid": ("Invalid Values",), "business_rules": ("Business Rules",), "types": ("Type Consistency",),
+    "categorical": ("Categorical Quality", "String Quality"), "features": ("Feature Quality",), "missing": ("Missing Values",),
+}
+
+
+def category_view(findings: DataFrame, view: str | tuple[str, ...]) -> DataFrame:
+    """The findings of the categories that a view shows, by its name or by these themselves."""
+    return findings.where(F.col("category").isin(*(VIEWS[view] if isinstance(view, str) else view)))
+
+
+def issue_table(findings: DataFrame) -> DataFrame:
+    """(Severity, Category, Rule, Column, Count, Rate, Action): what is shown of findings, the severe
+    ones first; shares as percentages with one digit."""
+    rank = F.array_position(F.array(*map(F.lit, ("High", "Medium", "Low"))), F.col("severity"))
+    shown = findings.select(rank.alias("_rank"), F.col("severity").alias("Severity"), F.col("category").alias("Category"), F.col("rule_id").alias("Rule"), F.coalesce("column", F.lit("-")).alias("Column"), F.col("detected_count").alias("Count"), F.format_string("%.1f%%", F.col("detected_rate") * 100).alias("Rate"), F.col("action").alias("Action"))
+    return shown.orderBy("_rank", "Category", "Rule", "Column").drop("_rank")
+
+
+def with_first_issue(findings: DataFrame, issues: DataFrame) -> DataFrame:
+    """``findings`` (file, rule_id, …) with ``issue``, the first issue (position, file, rule_id) of
+    the same file and rule, null where there is none."""
+    first = issues.groupBy("file", "rule_id").agg(F.min("position").alias("issue"))
+    return findings.join(first, ["file", "rule_id"], "left")
+
+
+def is_priority() -> Column:
+    """Severe, to be fixed, or a confirmed error."""
+    return F.lower("severity").isin("high", "critical") | (F.col("action") == "Fix") | (F.col("verification_status") == "confirmed_error")
+
+
+def penalty_ranking(penalties: DataFrame) -> DataFrame:
+    """Penalties of rules with their rank: the largest first, then by category and rule."""
+    return penalties.withColumn("place", F.row_number().over(Window.partitionBy(*[c for c in penalties.columns if c == "file"]).orderBy(F.desc("penalty"), "category", "rule_id")))

@@ -53,22 +53,27 @@ def outliers(df: DataFrame, column: str, robust: bool = False) -> DataFrame:
     return df.where((x < found["low"]) | (x > found["high"]))
 
 
-def integer_domain(df: DataFrame, column: str) -> DataFrame:
-    """(value, n) of the rare integers outside a column's dominant, gapless integer domain.
+def integer_domains(counts: DataFrame) -> DataFrame:
+    """(column, value, n) of the rare integers outside each column's dominant, gapless integer
+    domain, of the value counts (column, value double, n) of finite values.
 
     Applies to 50 or more finite values, all integers, of 4 to 20 different ones.  A value is
     dominant with a share of at least 1 % and at least three occurrences; the dominant ones have
     to be two or more, without gaps, and cover 95 % of the values.
     """
-    counts = df.select(finite(F.col(column)).alias("value")).where("value is not null").groupBy("value").agg(F.count("*").alias("n"))
-    facts = counts.agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.bool_and(F.abs(F.col("value") - F.round("value")) < 1e-9).alias("whole"))
-    checked = counts.crossJoin(F.broadcast(facts))  # facts is one row
-    checked = checked.where("total >= 50 and whole and kinds between 4 and 20").withColumn("support", F.greatest(F.lit(3), F.ceil(F.col("total") * 0.01)))
-    # at most 20 rows are left
-    dominant = checked.where("n >= support").withColumn("step", F.col("value") - F.lag("value").over(Window.partitionBy("total").orderBy("value")))
-    domain = dominant.groupBy("total").agg(
-        F.min("value").alias("low"), F.max("value").alias("high"), F.count("*").alias("many"), F.coalesce(F.bool_and(F.abs(F.col("step") - 1) < 1e-9), F.lit(False)).alias("gapless"), F.sum("n").alias("covered")
+    facts = counts.groupBy("column").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.bool_and(F.abs(F.col("value") - F.round("value")) < 1e-9).alias("whole"))
+    facts = facts.where("total >= 50 and whole and kinds between 4 and 20").select("column", "total")
+    # at most 20 rows a column are left
+    checked = counts.join(facts, "column").withColumn("support", F.greatest(F.lit(3), F.ceil(F.col("total") * 0.01)))
+    dominant = checked.where("n >= support").withColumn("step", F.col("value") - F.lag("value").over(Window.partitionBy("column").orderBy("value")))
+    domain = dominant.groupBy("column").agg(
+        F.min("value").alias("low"), F.max("value").alias("high"), F.count("*").alias("many"), F.coalesce(F.bool_and(F.abs(F.col("step") - 1) < 1e-9), F.lit(False)).alias("gapless"), (F.sum("n") / F.max("total")).alias("covered")
     )
-    domain = domain.where("many >= 2 and gapless and covered / total >= 0.95")
-    return checked.where("n < support").join(domain, "total").where("value < low or value > high").select("value", "n")
+    domain = domain.where("many >= 2 and gapless and covered >= 0.95")
+    return checked.where("n < support").join(domain, "column").where("value < low or value > high").select("column", "value", "n")
+
 
+def integer_domain(df: DataFrame, column: str) -> DataFrame:
+    """(value, n) of :func:`integer_domains` for one column."""
+    values = df.select(finite(F.col(column)).alias("value")).where("value is not null")
+    return integer_domains(values.groupBy(F.lit(column).alias("column"), "value").agg(F.count("*").alias("n"))).select("value", "n")

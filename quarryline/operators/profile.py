@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, Row
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarryline.functions.values import corrected_skewness, finite, pearson
+from quarryline.functions.values import corrected_skewness, finite
 
 #: Columns whose metrics go into one aggregate; wider tables take several.
 FUSED = 40
@@ -108,11 +110,12 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
 
 
 def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(column, count, missing, mean, std, min, q1, median, q3, max, skewness) of finite values."""
+    """(column, count, missing, mean, std, min, q1, median, q3, max, skewness) of finite values.
+    The moments are one pass; the quartiles come from :func:`exact_quantiles`, whose state is
+    bounded on large tables."""
     columns = list(columns or numeric_columns(df))
     prepared = df.select(*(finite(F.col(c)).alias(c) for c in columns), *(F.when(F.col(c).isNull() | F.isnan(F.col(c).cast("double")), 1).alias(f"_missing_{c}") for c in columns))
-    quartile = lambda k: lambda c: F.percentile(F.col(c), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))[k]
-    return _chunked(
+    moments = _chunked(
         prepared,
         columns,
         {
@@ -121,13 +124,13 @@ def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None) -> Data
             "mean": lambda c: F.avg(F.col(c)),
             "std": lambda c: F.stddev_samp(F.col(c)),
             "min": lambda c: F.min(F.col(c)),
-            "q1": quartile(0),
-            "median": quartile(1),
-            "q3": quartile(2),
             "max": lambda c: F.max(F.col(c)),
             "skewness": lambda c: corrected_skewness(F.col(c)),
         },
     )
+    quartiles = exact_quantiles(df, columns, [0.25, 0.5, 0.75])
+    known = df.sparkSession.createDataFrame([(c, *quartiles[c]) for c in columns], "column string, q1 double, median double, q3 double")  # a row a column
+    return moments.join(F.broadcast(known), "column").select("column", "count", "missing", "mean", "std", "min", "q1", "median", "q3", "max", "skewness")
 
 
 def skewness(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -137,49 +140,79 @@ def skewness(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(feature_a, feature_b, r) for the pairs of columns in order; one pass over the rows."""
+    """(feature_a, feature_b, r) for the pairs of columns in order.
+
+    A task adds up, for a batch of rows at a time, the matrices of products of all columns, less
+    the columns' means, over the rows in which both are set; a few matrices a task reach the sum,
+    whatever the number of rows.  Columns without a mean have no correlations.
+    """
     columns = list(columns or numeric_columns(df))
-    prepared = df.select(*(finite(F.col(c)).alias(c) for c in columns))
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    row = prepared.agg(*(pearson(F.col(a), F.col(b)).alias(f"r{k}") for k, (a, b) in enumerate(pairs)))
-    cells = F.array(*(F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(f"r{k}").alias("r")) for k, (a, b) in enumerate(pairs)))
-    return row.select(F.explode(cells).alias("c")).select("c.*")
-
-
-def numeric_class(name: str, n: int, distinct: int, low: float | None, integer_like: bool, zero_one: bool) -> str:
-    """How a numeric column is read before outliers are judged."""
-    import re
-
-    ratio = distinct / max(1, n)
-    count_name = bool(re.search(r"(?:count|times?|number|num|visits?|years?|months?)", re.sub(r"[^a-z0-9]+", "_", name.casefold())))
-    if distinct <= 2 and zero_one:
-        return "binary"
-    if integer_like and n and low >= 0 and distinct <= 20 and (count_name or ratio <= 0.10):
-        return "count-like"
-    if distinct <= 10 and ratio <= 0.05:
-        return "low-cardinality numeric categorical"
-    if integer_like and distinct <= 20 and ratio <= 0.10:
-        return "discrete integer"
-    return "continuous numeric"
-
-
-def numeric_classes(df: DataFrame, columns: Sequence[str] | None = None) -> list[Row]:
-    """(column, n, n_distinct, low, integer_like, zero_one, kind) for each numeric column."""
+    names = [f"c{i}" for i in range(len(columns))]
+    prepared = df.select(*(finite(F.col(c)).alias(n) for c, n in zip(columns, names, strict=True)))
+    means = prepared.agg(*(F.coalesce(F.avg(n), F.lit(0.0)).alias(n) for n in names)).first()
+    centre = np.array([means[n] for n in names])
+    kinds = ("n", "xy", "x", "xx")
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, len(names), len(names)))
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1) - centre
+            there = (~np.isnan(x)).astype(np.float64)
+            x = np.nan_to_num(x, nan=0.0)
+            # of the pair (i, j): rows with both, sum of x y, of x and of x squared over these
+            total += [there.T @ there, x.T @ x, x.T @ there, np.square(x).T @ there]
+        i, j = np.indices(total.shape[1:], np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(i.ravel()), pa.array(j.ravel()), *(pa.array(t.ravel()) for t in total)], ["i", "j", *kinds])
+
+    part = prepared.mapInArrow(products, "i int, j int, n double, xy double, x double, xx double")
+    cells = part.groupBy("i", "j").agg(*(F.sum(k).alias(k) for k in kinds))
+    mirrored = cells.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("x").alias("y"), F.col("xx").alias("yy"))
+    both = cells.where("i < j").join(mirrored, ["i", "j"])
+    spread = F.greatest(F.col("n") * F.col("xx") - F.col("x") * F.col("x"), F.lit(0.0)), F.greatest(F.col("n") * F.col("yy") - F.col("y") * F.col("y"), F.lit(0.0))
+    # what is left of a constant column is rounding
+    varies = [s > F.col("n") * F.col(k) * 1e-13 for s, k in zip(spread, ("xx", "yy"), strict=True)]
+    r = F.when(varies[0] & varies[1], (F.col("n") * F.col("xy") - F.col("x") * F.col("y")) / F.sqrt(spread[0]) / F.sqrt(spread[1]))
+    listed = F.array(*map(F.lit, columns))
+    return both.select(F.element_at(listed, F.col("i") + 1).alias("feature_a"), F.element_at(listed, F.col("j") + 1).alias("feature_b"), r.alias("r"))
+
+
+#: Fixed value: what columns of counts are named after.
+COUNT_NAME = "count|times?|number|num|visits?|years?|months?"
+#: Kinds of numeric columns in order, with the most different values, and the largest
+#: share of different values, that each has.
+KINDS = {"binary": (2, 1.0), "count-like": (20, 0.10), "low-cardinality numeric categorical": (10, 0.05), "discrete integer": (20, 0.10)}
+
+
+def with_kind(facts: DataFrame) -> DataFrame:
+    """``facts`` (column, n, n_distinct, low, integer_like, zero_one) with ``kind``, how a numeric
+    column is read before outliers are judged."""
+    share = F.col("n_distinct") / F.greatest(F.col("n"), F.lit(1))
+    few = {kind: (F.col("n_distinct") <= most) & (share <= of) for kind, (most, of) in KINDS.items()}
+    counted = F.regexp_replace(F.lower("column"), "[^a-z0-9]+", "_").rlike(COUNT_NAME) & (F.col("n_distinct") <= KINDS["count-like"][0])
+    holds = {
+        "binary": F.col("zero_one") & few["binary"],
+        "count-like": F.col("integer_like") & (F.col("low") >= 0) & (counted | few["count-like"]),
+        "low-cardinality numeric categorical": few["low-cardinality numeric categorical"],
+        "discrete integer": F.col("integer_like") & few["discrete integer"],
+    }
+    return facts.withColumn("kind", F.coalesce(*(F.when(holds[kind], kind) for kind in KINDS), F.lit("continuous numeric")))
+
+
+def numeric_classes(df: DataFrame, columns: Sequence[str] | None = None, counts: DataFrame | None = None) -> DataFrame:
+    """(position, column, n, n_distinct, low, integer_like, zero_one, kind), a row for each numeric
+    column.  ``counts`` may give the value counts of the finite values, where they are known."""
     columns = list(columns or numeric_columns(df))
-    if not columns:
-        return []
     prepared = df.select(*(finite(F.col(c)).alias(c) for c in columns))
     facts = _chunked(
         prepared,
         columns,
         {
+            "position": lambda c: F.lit(columns.index(c)),
             "n": lambda c: F.count(F.col(c)),
             "low": lambda c: F.min(F.col(c)),
             "integer_like": lambda c: F.coalesce(F.bool_and(F.abs(F.col(c) - F.round(F.col(c))) < 1e-9), F.lit(False)),
             "zero_one": lambda c: F.coalesce(F.bool_and(F.col(c).isin(0.0, 1.0)), F.lit(True)),
         },
     )
-    distinct = cardinality(value_counts(prepared, columns)).select("column", "n_distinct")
-    rows = facts.join(distinct, "column", "left").fillna(0, ["n_distinct"]).collect()  # one row a column
-    order = {c: i for i, c in enumerate(columns)}
-    return [Row(**r.asDict(), kind=numeric_class(r["column"], r["n"], r["n_distinct"], r["low"], r["integer_like"], r["zero_one"])) for r in sorted(rows, key=lambda r: order[r["column"]])]
+    distinct = cardinality(value_counts(prepared, columns) if counts is None else counts).select("column", "n_distinct")
+    return with_kind(facts.join(distinct, "column", "left").fillna(0, ["n_distinct"]))

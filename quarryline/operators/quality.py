@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from quarryline.functions import values as V
 from quarryline.operators import profile as P
 from quarryline.operators.duplicates import duplicate_summary, identical_columns
-from quarryline.operators.outliers import fences_of, integer_domain
+from quarryline.operators.outliers import fences_of, integer_domains
 from quarryline.operators.overlap import best_candidate, identifier_candidates, overlap_summary
+from quarryline.sources.scratch import written
 
 FINDINGS = "rule_id string, category string, column string, severity string, confidence string, detected_count bigint, detected_rate double, action string, score_impact double, issue_nature string, evidence string"
 
@@ -80,6 +81,16 @@ def text_metrics(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+def representations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, kinds): what the texts of each column spell, as far as they do: whole number, number,
+    boolean, date or text.  A column of more than one kind holds values of mixed types."""
+    cells = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), V.strip(F.col(c).cast("string")).alias("x")) for c in columns)))
+    x = F.col("x")
+    kind = F.when(x.rlike(r"^[+-]?\d+$"), "whole number").when(V.number_in(x).isNotNull(), "number").when(F.lower(x).isin("true", "false"), "boolean").when(x.rlike(V.DATE_PATTERN) & V.date_in(x).isNotNull(), "date").otherwise("text")
+    found = df.select(cells.alias("c")).select("c.*").where("x <> ''").groupBy("column", kind.alias("kind")).agg(F.count("*").alias("n"))
+    return found.groupBy("column").agg(F.array_join(F.array_sort(F.collect_list("kind")), ",").alias("kinds"), F.sum("n").alias("n"))
+
+
 def stripped_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Value counts of the stripped texts."""
     return P.value_counts(df.select(*(V.strip(F.col(c).cast("string")).alias(c) for c in columns)), columns)
@@ -194,7 +205,7 @@ def audit(df: DataFrame, constraints: Mapping[str, Mapping] | None = None, flow:
 
 def _text_rules(data: DataFrame, texts: list[str], rows: int, flow: Mapping | None) -> list[tuple]:
     out = []
-    counts = stripped_counts(data, texts)
+    counts = written(stripped_counts(data, texts), "value-counts")
     meaningful = {r["column"]: r["k"] for r in counts.where((F.col("value") != "") & ~V.is_missing_token(F.col("value"))).groupBy("column").agg(F.count("*").alias("k")).collect()}
     kinds = {r["column"]: r for r in P.cardinality(counts).collect()}
     for r in missing_tokens(counts).collect():
@@ -239,7 +250,10 @@ def _text_rules(data: DataFrame, texts: list[str], rows: int, flow: Mapping | No
 
 def _numeric_rules(data: DataFrame, numeric: list[str], rows: int, constraints: Mapping) -> list[tuple]:
     out = []
-    facts = {r["column"]: r for r in P.numeric_classes(data, numeric)}
+    prepared = data.select(*(V.finite(F.col(c)).alias(c) for c in numeric))
+    values = written(P.value_counts(prepared, numeric), "value-counts")
+    facts = {r["column"]: r for r in P.numeric_classes(data, numeric, values).collect()}
+    rare_integers = {r["column"]: r["n"] for r in integer_domains(values.withColumn("value", F.col("value").cast("double"))).groupBy("column").agg(F.sum("n").alias("n")).collect()}
     skew = {r["column"]: r["skewness"] for r in P.skewness(data, numeric).collect()}
     bounds = fences_of(data, {c: facts[c]["n"] for c in numeric})
     x = {c: V.finite(F.col(c)) for c in numeric}
@@ -268,7 +282,7 @@ def _numeric_rules(data: DataFrame, numeric: list[str], rows: int, constraints:
         if odd:
             out.append(_finding("DQ_NON_FINITE_NUMERIC", "Invalid Values", c, "High" if odd / rows >= 0.05 else "Medium", "High", odd, odd / rows, "Fix", nature="Confirmed Invalid"))
         if rule.get("allowed_values", rule.get("categories")) is None and n >= 50 and f["integer_like"] and 4 <= f["n_distinct"] <= 20:
-            rare = integer_domain(data, c).agg(F.sum("n").alias("n")).first()["n"]
+            rare = rare_integers.get(c)
             if rare:
                 out.append(_finding("DQ_POTENTIAL_CATEGORICAL_DOMAIN_VIOLATION", "Categorical Quality", c, "Medium", "Medium", rare, rare / n, info=True, nature="Distribution Review"))
         if continuous and n >= 20 and skew[c] is not None and abs(skew[c]) >= SKEWED:

@@ -9,7 +9,6 @@ Columns keep the source columns that they were made from.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -17,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.operators.duplicates import keep_first
-from quarryline.sources.scratch import scratch_path
+from quarryline.sources.scratch import written
 
 ROW = "row_id"
 #: Positions of a split whose parts are told in one row of bits; a multiple of 8.
@@ -30,6 +29,8 @@ TYPES = {
     "bool": "boolean", "boolean": "boolean", "str": "string", "string": "string", "object": "string", "category": "string",
     "datetime64[ns]": "timestamp",
 }
+#: Preprocessors that keep rows, besides the one that is replayed exactly.
+PREPROCESSORS = ("MinMaxScaler", "RobustScaler", "MaxAbsScaler", "Normalizer", "SimpleImputer", "OrdinalEncoder", "LabelEncoder")
 
 
 class Unreplayable(ValueError):
@@ -78,25 +79,64 @@ def cast(f: Frame, types: Mapping[str, str] | str) -> Frame:
     return f.having(f.data.withColumns({c: F.col(c).try_cast(TYPES[t]) for c, t in types.items() if c in f.columns()}))
 
 
-def one_hot(f: Frame, columns: Sequence[str] | None = None, drop_first: bool = False, dummy_na: bool = False, sep: str = "_", most: int = 1000) -> Frame:
-    """A 0/1 column for each value of each column, values in order; the values are found by one
-    distinct aggregate, of at most ``most`` values each."""
+def one_hot(
+    f: Frame,
+    columns: Sequence[str] | None = None,
+    drop_first: bool = False,
+    dummy_na: bool = False,
+    sep: str | Sequence[str] | Mapping[str, str] = "_",
+    prefix: str | Sequence[str] | Mapping[str, str] | None = None,
+    dtype: str = "int32",
+    input_columns: Sequence[str] | None = None,
+) -> Frame:
+    """A column for each value of each column, values in order, behind the columns that aren't
+    encoded.  The values are found by one distinct aggregate; as each becomes a column, a column of
+    very many values is better told by :func:`one_hot_long`.
+
+    ``prefix`` and ``sep`` are one for all columns, one for each in their order, or by column;
+    ``dtype`` is the type of the new columns.  With ``input_columns`` only these are taken; one that
+    is absent makes the step unreplayable.
+    """
+    if input_columns:
+        if not set(input_columns) <= set(f.columns()):
+            raise Unreplayable("the columns to encode are absent")
+        f = select_columns(f, input_columns)
+    if dtype not in TYPES:
+        raise Unreplayable(f"unknown type {dtype}")
     columns = list(columns or [c for c, t in f.data.dtypes if t == "string"])
-    data, sources = f.data, dict(f.sources)
+
+    def of_column(option: str | Sequence[str] | Mapping[str, str] | None) -> dict[str, str]:
+        if option is None or isinstance(option, str):
+            return {c: c if option is None else option for c in columns}
+        if not isinstance(option, Mapping) and len(option) != len(columns):
+            raise Unreplayable("as many prefixes as columns are needed")
+        return dict(option) if isinstance(option, Mapping) else dict(zip(columns, option, strict=True))
+
+    prefixes, seps = of_column(prefix), of_column(sep)
+    listed = one_hot_long(f, columns).select("column", "value").distinct().groupBy("column").agg(F.array_sort(F.collect_list("value")).alias("values"))
+    found = {r["column"]: r["values"] for r in listed.collect()}  # one cell for each column to be made
+    kinds, new, sources = dict(f.data.dtypes), {}, dict(f.sources)
     for c in columns:
-        found = [r[0] for r in f.data.select(c).where(F.col(c).isNotNull()).distinct().orderBy(c).limit(most + 1).collect()]
-        if len(found) > most:
-            raise Unreplayable(f"{c} has more than {most} values")
-        for v in found[1:] if drop_first else found:
-            data = data.withColumn(f"{c}{sep}{v}", F.coalesce((F.col(c) == F.lit(v)).cast("int"), F.lit(0)))
-            sources[f"{c}{sep}{v}"] = set(f.sources.get(c, {c}))
+        name = prefixes.get(c, c) + seps.get(c, "_")
+        # values are ordered as values of their type, not as texts
+        values = sorted(found.get(c, []), key=(float if kinds[c] not in ("string", "boolean", "date", "timestamp") else str))
+        for v in values[1:] if drop_first else values:
+            new[f"{name}{v}"] = F.coalesce(F.col(c).cast("string") == F.lit(v), F.lit(False)).cast(TYPES[dtype])
+            sources[f"{name}{v}"] = set(f.sources.get(c, {c}))
         if dummy_na:
-            data = data.withColumn(f"{c}{sep}nan", F.col(c).isNull().cast("int"))
-            sources[f"{c}{sep}nan"] = set(f.sources.get(c, {c}))
-        data = data.drop(c)
+            new[f"{name}nan"] = F.col(c).isNull().cast(TYPES[dtype])
+            sources[f"{name}nan"] = set(f.sources.get(c, {c}))
+    data = f.data.select(*(c for c in f.data.columns if c not in columns), *(x.alias(c) for c, x in new.items()))
     return Frame(data, {c: s for c, s in sources.items() if c in data.columns}, f.partial & set(data.columns))
 
 
+def one_hot_long(f: Frame, columns: Sequence[str]) -> DataFrame:
+    """(row_id, column, value): the ones of a 0/1 coding of ``columns``, however many values they
+    have; a row without a value has none."""
+    cells = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns)))
+    return f.data.select(ROW, cells.alias("c")).select(ROW, "c.*").where("value is not null")
+
+
 def standard_scale(f: Frame, columns: Sequence[str]) -> Frame:
     """Columns less their mean, over the population deviation; a deviation of zero counts as one."""
     stats = f.data.agg(*(m for i, c in enumerate(columns) for m in (F.avg(c).alias(f"_m{i}"), F.stddev_pop(c).alias(f"_s{i}"))))
@@ -105,6 +145,16 @@ def standard_scale(f: Frame, columns: Sequence[str]) -> Frame:
     return f.having(wide.withColumns(scaled).drop(*(f"_{k}{i}" for i in range(len(columns)) for k in "ms")))
 
 
+def preprocess(f: Frame, kind: str, columns: Sequence[str]) -> Frame:
+    """A known preprocessor: StandardScaler exactly; of the others the rows are known and the
+    values aren't, so their columns are partial."""
+    if kind == "StandardScaler":
+        return standard_scale(f, columns)
+    if kind not in PREPROCESSORS:
+        raise Unreplayable(f"{kind} can't be replayed")
+    return Frame(f.data, f.sources, f.partial | set(columns) & set(f.columns()))
+
+
 def drop_null_rows(f: Frame, subset: Sequence[str] | None = None) -> Frame:
     return f.having(f.data.na.drop(subset=list(subset or f.columns())))
 
@@ -119,9 +169,7 @@ def with_positions(df: DataFrame, order: str = ROW) -> DataFrame:
     spark = df.sparkSession
     ranged = df.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
     # written, as ranges found anew for the counts and for the rows would not have the same bounds
-    path = f"{scratch_path(spark)}/positions-{uuid.uuid4().hex}"
-    ranged.write.parquet(path)
-    ranged = spark.read.schema(ranged.schema).parquet(path)
+    ranged = written(ranged, "positions")
     # one row a partition
     sizes = sorted((r["_part"], r["count"]) for r in ranged.groupBy("_part").count().collect())
     starts, total = [], 0
@@ -162,53 +210,104 @@ def select_at(f: Frame, rows: Sequence[int] | slice | None, columns: Sequence[in
 
 
 def select_labels(f: Frame, rows: Sequence[int] | slice | None, columns: Sequence[str] | None = None) -> Frame:
-    """Rows by label and columns by name; a slice of labels includes both ends."""
+    """Rows by label and columns by name; a slice of labels includes both ends, and may take every
+    so manieth row of those between."""
     if isinstance(rows, slice):
         data = f.data if rows.start is None else f.data.where(F.col(ROW) >= rows.start)
         f = f.having(data if rows.stop is None else data.where(F.col(ROW) <= rows.stop))
+        f = f if (rows.step or 1) == 1 else slice_rows(f, None, None, rows.step)
     elif rows is not None:
         f = f.having(f.data.where(F.col(ROW).isin(list(rows))))
     return f if columns is None else select_columns(f, columns)
 
 
-def in_test(spark: SparkSession, n: int, take: int, random_state: int) -> DataFrame:
-    """(_block, _bits): for each BLOCK of the positions 0 to n - 1, a bit for each that is among the
-    first ``take`` of NumPy's MT19937 permutation.  The permutation is one sequence, so one task
-    makes it, in 4 bytes a row (8 above 2**31 rows); the driver sees nothing of it."""
+def in_test(spark: SparkSession, n: int, take: int, random_state: int, classes: Sequence[int] = ()) -> DataFrame:
+    """(_block, _bits): for each BLOCK of the positions 0 to n - 1, a bit for each that is in the test
+    part: among the first ``take`` of NumPy's MT19937 permutation or, with the sizes of ``classes``
+    whose rows follow one another, as :func:`stratified_marks` says.  The permutation is one sequence,
+    so one task makes it, in 4 bytes a row (8 above 2**31 rows); the driver sees nothing of it."""
     import numpy as np
     import pyarrow as pa
 
+    sizes = list(classes)
+
     def shuffle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            order = np.arange(n, dtype=np.int32 if n <= 2**31 else np.int64)
-            np.random.RandomState(random_state).shuffle(order)
-            marks = np.zeros(n, bool)
-            marks[order[:take]] = True
-            del order
+            if sizes:
+                marks = stratified_marks(sizes, n - take, take, random_state)
+            else:
+                order = np.arange(n, dtype=np.int32 if n <= 2**31 else np.int64)
+                np.random.RandomState(random_state).shuffle(order)
+                marks = np.zeros(n, bool)
+                marks[order[:take]] = True
+                del order
             for at in range(0, n, BLOCK):
                 bits = np.packbits(marks[at : at + BLOCK], bitorder="little").tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array([at // BLOCK], pa.int64()), pa.array([bits], pa.binary())], ["_block", "_bits"])
 
-    path = f"{scratch_path(spark)}/split-{uuid.uuid4().hex}"
-    spark.range(0, 1, 1, 1).mapInArrow(shuffle, "_block long, _bits binary").write.parquet(path)
-    return spark.read.schema("_block long, _bits binary").parquet(path)
+    return written(spark.range(0, 1, 1, 1).mapInArrow(shuffle, "_block long, _bits binary"), "split")
+
+
+def class_shares(counts, draws: int, rng):  # noqa: ANN001, ANN201
+    """How many of ``draws`` fall to each class: the whole parts of the exact shares, and the rest
+    to the largest fractions, of equal ones to those that the generator chooses."""
+    import numpy as np
+
+    exact = counts / counts.sum() * draws
+    whole = np.floor(exact)
+    rest, missing = exact - whole, int(draws - whole.sum())
+    for fraction in sorted(set(rest.tolist()), reverse=True):
+        if missing <= 0:
+            break
+        equal = np.flatnonzero(rest == fraction)
+        chosen = rng.choice(equal, size=min(len(equal), missing), replace=False)
+        whole[chosen] += 1
+        missing -= len(chosen)
+    return whole.astype(np.int64)
+
+
+def stratified_marks(sizes: Sequence[int], train: int, test: int, random_state: int):  # noqa: ANN201
+    """Which rows, of classes that follow one another, a seeded stratified split puts in the test
+    part: each class is permuted by itself, and its first rows are the training ones."""
+    import numpy as np
+
+    counts, rng = np.array(sizes, np.int64), np.random.RandomState(random_state)
+    to_train = class_shares(counts, train, rng)
+    to_test = class_shares(counts - to_train, test, rng)
+    marks, start = np.zeros(counts.sum(), bool), 0
+    for size, a, b in zip(counts.tolist(), to_train.tolist(), to_test.tolist(), strict=True):
+        order = rng.permutation(size)
+        marks[start + order[a : a + b]] = True
+        start += size
+    return marks
 
 
 def random_split(f: Frame, test_size: float | int = 0.25, random_state: int | None = None, stratify: str | None = None) -> tuple[Frame, Frame]:
     """Train and test parts as a seeded shuffle of positions defines them: the first test rows of
-    NumPy's MT19937 permutation are the test part.  Needs a seed; stratified splits are refused."""
+    NumPy's MT19937 permutation are the test part.  With ``stratify`` every class of that column is
+    permuted by itself and has its share in both parts; classes need two rows at least, each part as
+    many rows as there are classes, and there are no rows without a class.  Needs a seed."""
     import numpy as np
 
     if random_state is None:
         raise Unreplayable("a split without random_state isn't reproducible")
-    if stratify is not None:
-        raise Unreplayable("stratified splits aren't replayed")
-    n = f.data.count()
+    classes: list[int] = []
+    if stratify is None:
+        n, placed = f.data.count(), with_positions(f.data)
+    else:
+        # one row a class, in order
+        found = f.data.groupBy(stratify).agg(F.count("*").alias("n")).orderBy(stratify).collect()
+        classes, n = [r["n"] for r in found], sum(r["n"] for r in found)
+        if any(r[stratify] is None for r in found) or min(classes, default=2) < 2:
+            raise Unreplayable("a stratified split needs classes of two rows or more, and no row without one")
+        placed = with_positions(f.data.withColumn("_class", F.struct(stratify, ROW)), "_class").drop("_class")
     take = int(np.ceil(n * test_size)) if isinstance(test_size, float) else test_size
-    placed = with_positions(f.data).withColumn("_block", F.floor(F.col("_pos") / BLOCK))
-    joined = placed.join(in_test(f.data.sparkSession, n, take, random_state), "_block")
+    if min(take, n - take) < len(classes):
+        raise Unreplayable("a part is smaller than the number of classes")
+    placed = placed.withColumn("_block", F.floor(F.col("_pos") / BLOCK))
+    joined = placed.join(in_test(f.data.sparkSession, n, take, random_state, classes), "_block")
     byte = F.conv(F.hex(F.substring("_bits", (F.col("_pos") % BLOCK / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     marked = joined.withColumn("_byte", byte).withColumn("_test", F.expr("getbit(_byte, cast(_pos % 8 as int))") == 1).drop("_block", "_bits", "_byte", "_pos")
     return f.having(marked.where("not _test").drop("_test")), f.having(marked.where("_test").drop("_test"))
@@ -223,7 +322,8 @@ STEPS = {
     "set_column": lambda f, s: set_column(f, s["column"], s.get("value"), s.get("literal", True)),
     "astype_column": lambda f, s: cast(f, {s["column"]: s["dtype"]}),
     "astype": lambda f, s: cast(f, s["dtype"]),
-    "get_dummies": lambda f, s: one_hot(f, s.get("columns"), s.get("drop_first", False), s.get("dummy_na", False), s.get("prefix_sep", "_")),
+    "get_dummies": lambda f, s: one_hot(f, s.get("columns"), s.get("drop_first", False), s.get("dummy_na", False), s.get("prefix_sep") or "_", s.get("prefix"), s.get("dtype") or "int32", s.get("input_columns")),
+    "preprocess_transform": lambda f, s: preprocess(f, s["preprocessor"], s["columns"]),
     "standard_scaler": lambda f, s: standard_scale(f, s["columns"]),
     "dropna": lambda f, s: drop_null_rows(f, s.get("subset")),
     "drop_duplicates": lambda f, s: drop_duplicate_rows(f, s.get("subset")),

@@ -27,3 +27,21 @@ def markdown(findings: DataFrame, title: str = "Data quality report", shown: int
     if minor:
         lines += ["", "Minor findings: " + ", ".join(f"{r['category']} {r['n']}" for r in minor)]
     return "\n".join(lines) + "\n"
+
+
+def save(result: DataFrame, path: str, form: str = "parquet") -> None:
+    """A result table as Parquet, as JSON lines or as CSV with a header, one file a task."""
+    if form not in ("parquet", "json", "csv"):
+        raise ValueError(f"unknown form {form!r}")
+    writer = result.write.mode("errorifexists")
+    (writer.option("header", True) if form == "csv" else writer).format(form).save(path)
+
+
+def console(findings: DataFrame, shown: int = SHOWN) -> str:
+    """A line for each of the first findings, the severe ones first, and one that counts the rest."""
+    from quarryline.operators.findings import issue_table
+
+    rows = issue_table(findings).limit(shown).collect()
+    lines = [f"[{r['Severity']}] {r['Rule']} {r['Column']}: {r['Count']} ({r['Rate']})" for r in rows]
+    more = findings.count() - len(rows)
+    return "\n".join([*lines, f"and {more} more"] if more else lines)

@@ -75,9 +75,11 @@ def ranked_fragments(fragments: DataFrame, evidence: Sequence[str], n: int = 10)
 
 def repairs_of(findings: DataFrame, repairs: DataFrame) -> DataFrame:
     """Each finding (id, type, file) with the first repair (position, problem, location) of its
-    type whose location starts with its file; ``repair`` is null where there is none."""
-    met = findings.join(repairs, (F.col("problem") == F.col("type")) & F.startswith("location", "file"), "left")
-    return met.groupBy("id").agg(F.min("position").alias("repair"))
+    type whose location is in its file: the part before the place, which follows the last colon.
+    ``repair`` is null where there is none.  The first repair of each type and file is found
+    before anything is joined."""
+    first = repairs.groupBy(F.col("problem").alias("type"), F.regexp_extract("location", "^(.*?)(?::[^:]*)?$", 1).alias("file")).agg(F.min("position").alias("repair"))
+    return findings.join(first, ["type", "file"], "left").select("id", "repair")
 
 
 def coverage(problems: DataFrame, annotations: DataFrame) -> DataFrame:
@@ -162,8 +164,6 @@ def comparable_pairs(datasets: DataFrame) -> DataFrame:
     return pairs.join(direct, ["a", "b"], "left_anti")
 
 
-
-
 def judged_annotations(findings: DataFrame, annotations: DataFrame) -> DataFrame:
     """``annotations`` (id, …) with ``verdict``: accepted, unknown where no finding has the id, or
     repeated where several annotations claim one id (none of them is taken)."""
@@ -182,3 +182,35 @@ def merged_findings(findings: DataFrame, groups: DataFrame) -> DataFrame:
     joined = findings.join(groups, F.col("file") == F.col("name"), "left")
     grouped = joined.groupBy(F.coalesce("primary", "file").alias("artifact"), "rule_id", plain.alias("snippet"))
     return grouped.agg(F.min("file").alias("file"), F.count("*").alias("n"))
+
+
+def missing_ranking(null_profile: DataFrame) -> DataFrame:
+    """The columns with missing values, the highest rate first, then by name."""
+    return null_profile.where("nulls > 0").orderBy(F.desc("null_rate"), "column")
+
+
+def union_in_order(parts: Sequence[DataFrame], key: Sequence[str], order: str) -> DataFrame:
+    """The rows of all parts, equal keys once, at the first place they have; places of a later part
+    have to be behind those of the parts before it."""
+    both = parts[0]
+    for p in parts[1:]:
+        both = both.unionByName(p)
+    return both.groupBy(*key).agg(F.min(order).alias(order))
+
+
+def best_flow(flows: DataFrame) -> DataFrame:
+    """(view, flow, score): the flow with the highest score for each view, the first of equal ones."""
+    best = flows.groupBy("view").agg(F.min(F.struct((-F.col("score")).alias("s"), "flow")).alias("b"))
+    return best.select("view", F.col("b.flow").alias("flow"), (-F.col("b.s")).alias("score"))
+
+
+def execution_gaps(cells: DataFrame, group: str, order: Sequence[str | Column], count: str) -> DataFrame:
+    """(group, non_increasing, first_offender, unexecuted_after_executed) of notebook cells: cells whose
+    execution count doesn't rise over that of the cell before, the place of the first of them, and
+    cells that were never executed behind executed ones."""
+    w = Window.partitionBy(group).orderBy(*order)
+    marked = cells.select(group, F.col(count).alias("_n"), F.row_number().over(w).alias("_at"), F.lag(count).over(w).alias("_prev"), F.max(count).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_top"))
+    falls, skipped = F.col("_n") <= F.col("_prev"), F.col("_n").isNull() & F.col("_top").isNotNull()
+    return marked.groupBy(group).agg(
+        F.count(F.when(falls, 1)).alias("non_increasing"), F.min(F.when(falls, F.col("_at"))).cast("long").alias("first_offender"), F.count(F.when(skipped, 1)).alias("unexecuted_after_executed")
+    )

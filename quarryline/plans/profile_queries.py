@@ -134,8 +134,7 @@ def integer_domain_linenumber(spark: SparkSession, sf_dir: str) -> DataFrame:
 ('l_linenumber', 'count-like'), ('l_extendedprice', 'continuous numeric'), ('l_tax', CASE WHEN (SELECT COUNT(DISTINCT l_tax) <= 10 AND COUNT(DISTINCT l_tax) / COUNT(*) <= 0.05 FROM lineitem) THEN 'low-cardinality numeric categorical' ELSE 'continuous numeric' END)) AS v("column", kind)""")
 def numeric_classes_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["l_quantity", "l_linenumber", "l_extendedprice", "l_tax"]
-    found = P.numeric_classes(table(spark, sf_dir, "lineitem"), columns)
-    return spark.createDataFrame([(r["column"], r["kind"]) for r in found], "column string, kind string")
+    return P.numeric_classes(table(spark, sf_dir, "lineitem"), columns).select("column", "kind")
 
 
 @query("""SELECT ROUND(QUANTILE_CONT(l_extendedprice::DOUBLE, 0.05), 4) AS p05, ROUND(QUANTILE_CONT(l_extendedprice::DOUBLE, 0.5), 4) AS p50, ROUND(QUANTILE_CONT(l_extendedprice::DOUBLE, 0.95), 4) AS p95 FROM lineitem""")

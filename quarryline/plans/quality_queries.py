@@ -10,6 +10,7 @@ from quarryline.functions import values as V
 from quarryline.operators import duplicates as D
 from quarryline.operators import profile as P
 from quarryline.operators import quality as Q
+from quarryline.plans.audit_sql import audit_sql
 from quarryline.plans.profile_queries import rounded
 from quarryline.plans.registry import query, table
 
@@ -147,12 +148,70 @@ def non_finite_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.where(F.col("x").isNotNull() & ~F.isnan("x") & V.finite(F.col("x")).isNull()).agg(F.count("*").alias("n"))
 
 
-@query()
+def _shown(found: DataFrame) -> DataFrame:
+    return rounded(found.drop("evidence"), "detected_rate", digits=6)
+
+
+@query(audit_sql(_DIRTY_SQL, ["c_custkey"], ["segment", "nation", "flag"], {"segment": ["BUILDING", "MACHINERY"]}))
 def audit_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All rules over a dirty customer table; tests hold single rules against plain Python."""
-    return Q.audit(dirty_customer(spark, sf_dir), {"segment": {"allowed_values": ["BUILDING", "MACHINERY"]}})
+    """All rules over a dirty customer table."""
+    return _shown(Q.audit(dirty_customer(spark, sf_dir), {"segment": {"allowed_values": ["BUILDING", "MACHINERY"]}}))
+
+
+@query(audit_sql(f"SELECT segment, nation, flag FROM ({_DIRTY_SQL})", [], ["segment", "nation", "flag"]))
+def audit_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rules over texts alone, many rows of which are equal."""
+    return _shown(Q.audit(dirty_customer(spark, sf_dir).drop("c_custkey")))
+
+
+_LINES = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
-@query()
+@query(audit_sql("SELECT * FROM lineitem", _LINES, ["l_returnflag", "l_linestatus", "l_shipdate"], bounds={"l_quantity": (2, 49), "l_tax": (0, None)}))
 def audit_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.audit(table(spark, sf_dir, "lineitem"), {"l_quantity": {"min": 2, "max": 49}, "l_tax": {"non_negative": True}})
+    return _shown(Q.audit(table(spark, sf_dir, "lineitem"), {"l_quantity": {"min": 2, "max": 49}, "l_tax": {"non_negative": True}}))
+
+
+#: A table in which most rules find something: missing and odd values, copies, an index, a target.
+_ODD_SQL = """SELECT CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_custkey END AS cust, NULL::DOUBLE AS nothing, 'x' AS fixed, CASE WHEN o_orderkey % 499 = 1 THEN 'b' ELSE 'a' END AS nearly, o_orderkey AS "index", CASE WHEN o_orderkey % 20 = 0 THEN 1 ELSE 0 END AS target,
+CASE WHEN o_orderkey % 7 = 0 THEN '12x' ELSE CAST(o_custkey AS VARCHAR) END AS amount_text, CASE WHEN o_orderkey % 2 = 0 THEN 'abc' ELSE CAST(o_custkey AS VARCHAR) END AS mixed, CASE WHEN o_orderkey % 9 = 0 THEN '2020-13-45' ELSE STRFTIME(o_orderdate, '%Y-%m-%d') END AS day,
+'K' || o_orderkey AS ticket, CASE WHEN o_orderkey % 151 = 0 THEN 'odd' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 3 = 0 THEN REPEAT('z', 10001) ELSE 'short' END AS note, CASE WHEN o_orderkey % 3 = 0 THEN 'K' ELSE '' END || o_orderkey AS code,
+CASE WHEN o_orderkey % 11 = 0 THEN -o_totalprice WHEN o_orderkey % 97 = 1 THEN o_totalprice * 1000 ELSE o_totalprice END AS price, CASE WHEN o_orderkey % 211 = 1 THEN 9 ELSE o_orderkey % 5 + 1 END AS grade, o_totalprice AS twin, o_totalprice AS copy FROM orders"""
+
+
+@query(audit_sql(_ODD_SQL, ["cust", "nothing", '"index"', "target", "price", "grade", "twin", "copy"], ["fixed", "nearly", "amount_text", "mixed", "day", "ticket", "status", "note", "code"]).replace("'\"index\"", "'index").replace("index\"'", "index'").replace('"index" /', "index /").replace('/ "index"', "/ index"))
+def audit_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rules over a table of orders that has much amiss."""
+    key, price = F.col("o_orderkey"), F.col("o_totalprice")
+    text = F.col("o_custkey").cast("string")
+    odd = table(spark, sf_dir, "orders").select(
+        F.when(key % 4 != 0, F.col("o_custkey")).alias("cust"),
+        F.lit(None).cast("double").alias("nothing"),
+        key.alias("index"),
+        F.when(key % 20 == 0, 1).otherwise(0).alias("target"),
+        F.when(key % 11 == 0, -price).when(key % 97 == 1, price * 1000).otherwise(price).alias("price"),
+        F.when(key % 211 == 1, 9).otherwise(key % 5 + 1).alias("grade"),
+        price.alias("twin"),
+        price.alias("copy"),
+        F.lit("x").alias("fixed"),
+        F.when(key % 499 == 1, "b").otherwise("a").alias("nearly"),
+        F.when(key % 7 == 0, "12x").otherwise(text).alias("amount_text"),
+        F.when(key % 2 == 0, "abc").otherwise(text).alias("mixed"),
+        F.when(key % 9 == 0, "2020-13-45").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("day"),
+        F.concat(F.lit("K"), key.cast("string")).alias("ticket"),
+        F.when(key % 151 == 0, "odd").otherwise(F.col("o_orderstatus")).alias("status"),
+        F.when(key % 3 == 0, F.repeat(F.lit("z"), 10001)).otherwise("short").alias("note"),
+        F.concat(F.when(key % 3 == 0, "K").otherwise(""), key.cast("string")).alias("code"),
+    )
+    return _shown(Q.audit(odd))
+
+
+@query(f"""WITH t AS (SELECT 'nation' AS "column", nation AS x FROM ({_DIRTY_SQL}) UNION ALL SELECT 'flag', flag FROM ({_DIRTY_SQL}) UNION ALL SELECT 'segment', REGEXP_REPLACE(segment, '^\\s+|\\s+$', '', 'g') FROM ({_DIRTY_SQL}))
+SELECT "column", STRING_AGG(DISTINCT kind, ',' ORDER BY kind) AS kinds, COUNT(*) AS n FROM (SELECT "column", CASE WHEN REGEXP_FULL_MATCH(x, '[+-]?\\d+') THEN 'whole number' ELSE 'text' END AS kind FROM t WHERE x <> '') GROUP BY 1""")
+def representations_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.representations(dirty_customer(spark, sf_dir), ["nation", "flag", "segment"])
+
+
+@query("""SELECT doc_id, CASE WHEN LENGTH(text) > 160 THEN SUBSTR(text, 1, 157) || '…' ELSE text END AS shown FROM documents""")
+def sample_texts_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", V.sample_text(F.col("text")).alias("shown"))

@@ -6,12 +6,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quarryline.operators import replay as R
+from quarryline.operators.review import execution_gaps
 from quarryline.plans.profile_queries import rounded
 from quarryline.plans.registry import query, table
-from quarryline.sources.csv_table import read_header, scan_csv
+from quarryline.sources.csv_table import preview, read_header, scan_csv
+from quarryline.sources.files import scan_folder, within_budget
+from quarryline.sources.texts import text_files
 from quarryline.sources.scratch import scratch_path
 
 
@@ -119,14 +121,71 @@ def csv_scan_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH t AS (SELECT conv_id, turn, role, CASE WHEN (conv_id + turn) % 5 > 0 THEN (turn * 7) % 4 END AS count FROM conversations),
-w AS (SELECT *, LAG(count) OVER (PARTITION BY conv_id ORDER BY turn, role, count) AS prev, MAX(count) OVER (PARTITION BY conv_id ORDER BY turn, role, count ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM t)
-SELECT conv_id, COUNT(*) FILTER (count <= prev) AS non_increasing, COUNT(*) FILTER (count IS NULL AND top IS NOT NULL) AS unexecuted_after_executed FROM w GROUP BY 1""")
+w AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn, role, count) AS place, LAG(count) OVER (PARTITION BY conv_id ORDER BY turn, role, count) AS prev, MAX(count) OVER (PARTITION BY conv_id ORDER BY turn, role, count ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM t)
+SELECT conv_id, COUNT(*) FILTER (count <= prev) AS non_increasing, MIN(place) FILTER (count <= prev) AS first_offender, COUNT(*) FILTER (count IS NULL AND top IS NOT NULL) AS unexecuted_after_executed FROM w GROUP BY 1""")
 def execution_gaps_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as notebook cells: execution counts that don't rise, and cells never executed behind
     executed ones."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.when((F.col("conv_id") + F.col("turn")) % 5 > 0, (F.col("turn") * 7) % 4).alias("count"))
-    w = Window.partitionBy("conv_id").orderBy("turn", "role", F.col("count").asc_nulls_last())
-    marked = turns.withColumns({"prev": F.lag("count").over(w), "top": F.max("count").over(w.rowsBetween(Window.unboundedPreceding, -1))})
-    return marked.groupBy("conv_id").agg(
-        F.count(F.when(F.col("count") <= F.col("prev"), 1)).alias("non_increasing"), F.count(F.when(F.col("count").isNull() & F.col("top").isNotNull(), 1)).alias("unexecuted_after_executed")
-    )
+    return execution_gaps(turns, "conv_id", ["turn", "role", F.col("count").asc_nulls_last()], "count")
+
+
+@query("""SELECT c_custkey::VARCHAR AS c_custkey, c_name, CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment END AS segment FROM customer ORDER BY customer.c_custkey LIMIT 10""")
+def csv_preview_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rows of a CSV file in GB18030, with fields that a preview shows as missing."""
+    path = f"{scratch_path(spark)}/csv-{uuid.uuid4().hex}"
+    segment = F.when(F.col("c_custkey") % 3 == 0, "NA").otherwise(F.col("c_mktsegment")).alias("segment")
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name", segment, F.lit("表").alias("mark"))
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # Spark writes this one only where asked to
+    try:
+        customer.orderBy("c_custkey").coalesce(1).write.option("header", True).option("encoding", "GB18030").csv(path)
+    finally:
+        spark.conf.unset("spark.sql.legacy.javaCharsets")
+    return preview(spark, path).where("mark = '表'").drop("mark")
+
+
+@query("""SELECT s_nationkey AS nation, sha256(STRING_AGG(s_name, chr(10) ORDER BY s_suppkey) || chr(10)) AS text_sha256, 'utf-8-sig' AS encoding FROM supplier GROUP BY 1""")
+def whole_texts_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text file for each nation, read whole."""
+    files = F.regexp_extract("path", "s_nationkey=([0-9]+)", 1).cast("int")
+    return text_files(spark, _supplier_files(spark, sf_dir)).select(files.cast("long").alias("nation"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "encoding")
+
+
+def _supplier_files(spark: SparkSession, sf_dir: str) -> str:
+    path = f"{scratch_path(spark)}/files-{uuid.uuid4().hex}"
+    lines = table(spark, sf_dir, "supplier").repartition("s_nationkey").sortWithinPartitions("s_nationkey", "s_suppkey").select("s_nationkey", "s_name")
+    lines.write.partitionBy("s_nationkey").csv(path)
+    return path
+
+
+@query("""SELECT COUNT(*) AS files, SUM(size)::BIGINT AS bytes, COUNT(*) <= 100 AND SUM(size) <= 104857600 AS accepted FROM (SELECT SUM(LENGTH(s_name) + 1) AS size FROM supplier GROUP BY s_nationkey)""")
+def folder_budget_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return within_budget(scan_folder(spark, _supplier_files(spark, sf_dir)))
+
+
+@query("""SELECT o_orderkey, CAST(o_orderstatus = 'O' AS DOUBLE) AS "s-O", CAST(o_orderstatus = 'P' AS DOUBLE) AS "s-P", 0.0::DOUBLE AS "s-nan" FROM orders""")
+def replay_get_dummies_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dummies with all options, and steps that leave a frame as it is."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias(R.ROW), "o_orderkey", F.col("o_orderstatus").alias("status"), "o_totalprice")
+    steps = [
+        {"operation": "load", "path": "o", "output": "raw"},
+        {"operation": "assign", "input": "raw", "output": "a"},
+        {"operation": "get_dummies", "input": "a", "output": "b", "columns": ["status"], "prefix": "s", "prefix_sep": "-", "drop_first": True, "dummy_na": True, "dtype": "float64", "input_columns": ["o_orderkey", "status"]},
+        {"operation": "preprocess_transform", "input": "b", "output": "c", "preprocessor": "MinMaxScaler", "columns": ["o_orderkey"]},
+        {"operation": "observe", "input": "c", "output": "d"},
+    ]
+    frame = R.replay(steps, {"o": orders}, ["c"])["c"]
+    if frame.partial != {"o_orderkey"}:
+        raise ValueError("the scaled column's values aren't known")
+    return frame.data.drop(R.ROW)
+
+
+@query("""SELECT c_nationkey, COUNT(*) AS n, ABS(COUNT(*) * 0.25 - k) < 1 AS proportional FROM customer JOIN (SELECT c_nationkey, COUNT(*) AS n, ROUND_EVEN(COUNT(*) * 0.25, 0) AS k FROM customer GROUP BY 1) USING (c_nationkey) GROUP BY c_nationkey, k""")
+def replay_stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A seeded split by nation: every nation's share of the test part is its share of the rows, to
+    one row; a test holds the members against plain Python."""
+    rows = _keyed(spark, sf_dir, "customer", "c_custkey")
+    train, test = R.random_split(R.load(rows), 0.25, 7, "c_nationkey")
+    both = train.data.select("c_nationkey", F.lit(0).alias("test")).unionByName(test.data.select("c_nationkey", F.lit(1).alias("test")))
+    per = both.groupBy("c_nationkey").agg(F.count("*").alias("n"), F.sum("test").alias("k"))
+    return per.select("c_nationkey", "n", (F.abs(F.col("n") * 0.25 - F.col("k")) < 1).alias("proportional"))

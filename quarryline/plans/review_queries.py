@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarryline.operators import overlap as V
 from quarryline.operators import profile as P
 from quarryline.operators import review as W
 from quarryline.plans.findings_queries import _ACTIVE, _FINDINGS, findings
@@ -49,14 +50,13 @@ def ranked_fragments_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.ranked_fragments(fragments, ["part", "steel", "tin"]).withColumn("score", F.col("score").cast("long"))
 
 
-@query("""WITH f AS (SELECT event_id AS id, event_type AS type, 'f' || (user_id % 5) || '.py' AS file FROM events), r AS (SELECT event_id AS position, event_type AS problem, 'f' || (value::BIGINT % 7) || '.py:' || event_id AS location FROM events WHERE event_id % 40 = 0)
-SELECT id, MIN(position) AS repair FROM f LEFT JOIN r ON problem = type AND STARTS_WITH(location, file) GROUP BY 1""")
+@query("""WITH f AS (SELECT event_id AS id, event_type AS type, 'f' || (user_id % 5) || '.py' AS file FROM events), r AS (SELECT event_type AS type, 'f' || (value::BIGINT % 7) || '.py' AS file, MIN(event_id) AS repair FROM events GROUP BY 1, 2)
+SELECT id, repair FROM f LEFT JOIN r USING (type, file)""")
 def repairs_of_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     found = events.select(F.col("event_id").alias("id"), F.col("event_type").alias("type"), F.concat(F.lit("f"), (F.col("user_id") % 5).cast("string"), F.lit(".py")).alias("file"))
     place = F.concat(F.lit("f"), (F.rint("value").cast("long") % 7).cast("string"), F.lit(".py:"), F.col("event_id").cast("string"))
-    repairs = events.where("event_id % 40 = 0").select(F.col("event_id").alias("position"), F.col("event_type").alias("problem"), place.alias("location"))
-    return W.repairs_of(found, repairs)
+    return W.repairs_of(found, events.select(F.col("event_id").alias("position"), F.col("event_type").alias("problem"), place.alias("location")))
 
 
 @query("""WITH p AS (SELECT event_id, event_id % 4 = 0 AS priority, event_id % 3 > 0 AND event_type <> (SELECT MIN(event_type) FROM events) AS done FROM events)
@@ -65,8 +65,8 @@ def review_coverage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     problems = events.select(F.col("event_id").alias("problem"), (F.col("event_id") % 4 == 0).alias("priority"))
     least = events.agg(F.min("event_type").alias("least"))  # one row
-    cause = F.when(F.col("event_type") == F.col("least"), "").otherwise("c")
-    notes = events.where("event_id % 3 > 0").crossJoin(F.broadcast(least)).select(F.col("event_id").alias("problem"), cause.alias("cause"), F.lit("i").alias("potential_impact"), F.lit("r").alias("recommendation"))
+    cause = F.when((F.col("event_type") == F.col("least")) | (F.col("event_id") % 3 == 0), "").otherwise("c")
+    notes = events.crossJoin(F.broadcast(least)).select(F.col("event_id").alias("problem"), cause.alias("cause"), F.lit("i").alias("potential_impact"), F.lit("r").alias("recommendation"))
     return W.coverage(problems, notes)
 
 
@@ -123,10 +123,14 @@ def comparable_pairs_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.comparable_pairs(d.select(F.concat("lang", F.lit("/"), "source").alias("file"), F.array(parent).alias("parents"), F.array(F.concat(F.lit("job"), (n % 4).cast("string"), "lang")).alias("consumers")))
 
 
-@query("""SELECT "column" FROM (VALUES ('c_custkey'), ('c_name')) v("column")""")
+_RATIOS = " UNION ALL ".join(f"""SELECT '{c}' AS "column", COUNT(DISTINCT {c}) AS k, COUNT(DISTINCT {c}) / COUNT({c}) AS ratio FROM customer""" for c in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"))
+
+
+@query(f"""SELECT "column" FROM ({_RATIOS}) WHERE NOT (k > 1 AND ratio < 0.98)""")
 def unused_columns_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = P.null_profile(table(spark, sf_dir, "customer")).select("column")
-    return W.unused_columns(columns, spark.createDataFrame([("c_acctbal",), ("c_nationkey",), ("c_mktsegment",)], "column string"))
+    """Features are the columns that vary and don't tell rows apart."""
+    found = P.cardinality(P.value_counts(table(spark, sf_dir, "customer"), table(spark, sf_dir, "customer").columns))
+    return W.unused_columns(found.select("column"), found.where("n_distinct > 1 and unique_ratio < 0.98").select("column"))
 
 
 _FILES = """SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'src/job' || doc_id || '.py' WHEN 1 THEN 'data/' || doc_id || '.CSV' WHEN 2 THEN '../up' || doc_id || '.py' WHEN 3 THEN '.git/c' || doc_id || '.py' WHEN 4 THEN 'bin/' || doc_id || '.exe' WHEN 5 THEN 'Note' || (doc_id // 18) || '.md'
@@ -144,7 +148,7 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH f AS ({_FILES}), g AS (SELECT LOWER(path) AS folded, MIN(path) AS first_path FROM f GROUP BY 1)
 SELECT doc_id, CASE WHEN doc_id % 9 IN (2, 8) THEN 'unsafe_path' WHEN doc_id % 9 = 3 THEN 'private' WHEN doc_id % 9 IN (4, 7) THEN 'unsupported' WHEN length = 0 THEN 'empty' WHEN length > 25000000 THEN 'too_large' WHEN path <> first_path THEN 'name_conflict' END AS refused,
-CASE WHEN doc_id % 9 IN (0, 2, 3) THEN 'code' WHEN doc_id % 9 = 1 THEN 'data' WHEN doc_id % 9 IN (5, 6, 8) THEN 'document' END AS kind FROM f JOIN g ON folded = LOWER(path)""")
+CASE WHEN doc_id % 9 IN (0, 2, 3) THEN 'code' WHEN doc_id % 9 = 1 THEN 'data' WHEN doc_id % 9 IN (5, 6) THEN 'document' END AS kind FROM f JOIN g ON folded = LOWER(path)""")
 def inspected_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.inspect_files(_files(spark, sf_dir)).select("doc_id", "refused", "kind")
 
@@ -166,19 +170,64 @@ def notebook_cells_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.groupBy("cell", "execution_count", F.sha2(F.col("source").cast("binary"), 256).alias("source_sha256")).agg(F.count("*").alias("n"))
 
 
-@query("""WITH a AS (SELECT event_id % 600 + CASE WHEN event_id % 50 = 0 THEN 10000000 ELSE 0 END AS id, event_id AS note FROM events WHERE event_id % 2 = 0 AND event_id < 700), c AS (SELECT id, COUNT(*) AS n FROM a GROUP BY 1)
+@query("""WITH a AS (SELECT CASE WHEN event_id % 50 = 0 THEN -event_id WHEN event_id % 7 = 0 THEN event_id - 1 ELSE event_id END AS id, event_id AS note FROM events), c AS (SELECT id, COUNT(*) AS n FROM a GROUP BY 1)
 SELECT note, CASE WHEN id NOT IN (SELECT event_id FROM events) THEN 'unknown' WHEN n > 1 THEN 'repeated' ELSE 'accepted' END AS verdict FROM a JOIN c USING (id)""")
 def judged_annotations_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event is a finding and an annotation: some of the latter of no finding, some of one
+    that has another."""
     events = table(spark, sf_dir, "events")
     key = F.col("event_id")
-    notes = events.where((key % 2 == 0) & (key < 700)).select((key % 600 + F.when(key % 50 == 0, 10_000_000).otherwise(0)).alias("id"), key.alias("note"))
+    notes = events.select(F.when(key % 50 == 0, -key).when(key % 7 == 0, key - 1).otherwise(key).alias("id"), key.alias("note"))
     return W.judged_annotations(events.select(key.alias("id")), notes).select("note", "verdict")
 
 
-@query("""WITH f AS (SELECT doc_id AS file, 'R' || (n_chars % 3) AS rule_id, REPLACE(SUBSTR(text, 1, 12), ' ', '') AS snippet, text FROM documents), g AS (SELECT file, MIN(file) OVER (PARTITION BY text) AS artifact FROM f)
-SELECT artifact, rule_id, snippet, MIN(file) AS file, COUNT(*) AS n FROM (SELECT f.file, rule_id, REGEXP_REPLACE(snippet, '[\\s\\x{A0}]+', '', 'g') AS snippet, artifact FROM f JOIN g USING (file)) GROUP BY ALL""")
+#: All white space of Unicode, as a class of SQL's patterns.
+_SPACES = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
+@query(f"""WITH f AS (SELECT doc_id AS file, 'R' || (n_chars % 3) AS rule_id, REGEXP_REPLACE(text, '{_SPACES}', '', 'g') AS snippet, MIN(doc_id) OVER (PARTITION BY text) AS artifact FROM documents)
+SELECT artifact, rule_id, sha256(snippet) AS snippet_sha256, MIN(file) AS file, COUNT(*) AS n FROM f GROUP BY artifact, rule_id, snippet""")
 def merged_findings_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = docs.select(F.col("doc_id").alias("file"), F.concat(F.lit("R"), (F.col("n_chars") % 3).cast("string")).alias("rule_id"), F.substring("text", 1, 12).alias("snippet"))
+    found = docs.select(F.col("doc_id").alias("file"), F.concat(F.lit("R"), (F.col("n_chars") % 3).cast("string")).alias("rule_id"), F.col("text").alias("snippet"))
     primary = docs.groupBy("text").agg(F.min("doc_id").alias("primary"), F.count("*").alias("n")).where("n > 1").select("text", "primary")
-    return W.merged_findings(found, docs.join(primary, "text").select(F.col("doc_id").alias("name"), "primary"))
+    merged = W.merged_findings(found, docs.join(primary, "text").select(F.col("doc_id").alias("name"), "primary"))
+    return merged.select("artifact", "rule_id", F.sha2(F.col("snippet").cast("binary"), 256).alias("snippet_sha256"), "file", "n")
+
+
+@query("""SELECT "column", null_rate FROM (SELECT 'l_tax' AS "column", ROUND(AVG(CASE WHEN l_orderkey % 10 = 0 THEN 1 ELSE 0 END), 6) AS null_rate FROM lineitem UNION ALL SELECT 'l_quantity', ROUND(AVG(CASE WHEN l_linenumber = 3 THEN 1 ELSE 0 END), 6) FROM lineitem UNION ALL SELECT 'l_orderkey', 0.0 FROM lineitem HAVING COUNT(*) < 0) WHERE null_rate > 0 ORDER BY 2 DESC, 1""")
+def missing_ranking_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dirty = table(spark, sf_dir, "lineitem").select("l_orderkey", F.when(F.col("l_linenumber") != 3, F.col("l_quantity")).alias("l_quantity"), F.when(F.col("l_orderkey") % 10 != 0, F.col("l_tax")).alias("l_tax"))
+    return W.missing_ranking(P.null_profile(dirty)).select("column", F.round("null_rate", 6).alias("null_rate"))
+
+
+@query("""SELECT MIN(place) AS place, user_id FROM (SELECT event_id AS place, user_id FROM events WHERE event_id % 4 <> 0 UNION ALL SELECT event_id + 1000000000, user_id FROM events WHERE event_id % 4 = 0) GROUP BY 2""")
+def union_in_order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The users of the train part in order, and behind them those that only the test part has."""
+    events = table(spark, sf_dir, "events")
+    parts = [events.where("event_id % 4 <> 0"), events.where("event_id % 4 = 0").withColumn("event_id", F.col("event_id") + 1_000_000_000)]
+    return W.union_in_order([p.select("event_id", "user_id") for p in parts], ["user_id"], "event_id").select(F.col("event_id").alias("place"), "user_id")
+
+
+@query("""WITH f AS (SELECT conv_id AS flow, COUNT(*) AS steps, COUNT(*) FILTER (role = 'user') AS score FROM conversations GROUP BY 1), b AS (SELECT role, MAX(n) AS n FROM (SELECT role, conv_id, COUNT(*) AS n FROM conversations GROUP BY 1, 2) GROUP BY 1)
+SELECT b.role AS view, MIN(c.conv_id) AS flow, b.n AS score FROM b JOIN (SELECT role, conv_id, COUNT(*) AS n FROM conversations GROUP BY 1, 2) c ON c.role = b.role AND c.n = b.n GROUP BY 1, 3""")
+def best_flows_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each role the conversation with most of its turns."""
+    flows = table(spark, sf_dir, "conversations").groupBy("role", "conv_id").agg(F.count("*").alias("score"))
+    return W.best_flow(flows.select(F.col("role").alias("view"), F.col("conv_id").alias("flow"), "score"))
+
+
+@query("""WITH s AS (SELECT event_id, user_id FROM events WHERE event_type <> (SELECT MAX(event_type) FROM events)), e AS (SELECT DISTINCT user_id % 40 AS k FROM events)
+SELECT 'train' AS part, COUNT(*) FILTER (event_id % 4 <> 0 AND event_id IN (SELECT event_id FROM s)) AS known, COUNT(*) FILTER (event_id % 4 <> 0 AND event_id NOT IN (SELECT event_id FROM s)) AS missing, COUNT(*) FILTER (event_id % 4 <> 0 AND event_id NOT IN (SELECT event_id FROM s)) = 0 AS quantifiable FROM events
+UNION ALL SELECT 'test', COUNT(*) FILTER (event_id % 4 = 0 AND event_id IN (SELECT event_id FROM s)), COUNT(*) FILTER (event_id % 4 = 0 AND event_id NOT IN (SELECT event_id FROM s)), COUNT(*) FILTER (event_id % 4 = 0 AND event_id NOT IN (SELECT event_id FROM s)) = 0 FROM events""")
+def split_restriction_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of a split by row ids, against a table in which one type of event is absent."""
+    events = table(spark, sf_dir, "events")
+    last = events.agg(F.max("event_type").alias("last"))  # one row
+    data = events.crossJoin(F.broadcast(last)).where("event_type <> last").select("event_id", "user_id")
+    parts = {"train": events.where("event_id % 4 <> 0").select("event_id"), "test": events.where("event_id % 4 = 0").select("event_id")}
+    out = None
+    for name, ids in parts.items():
+        one = V.restriction(data, ids, "event_id").select(F.lit(name).alias("part"), "known", "missing", "quantifiable")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -60,7 +60,7 @@ def best_identifier_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(V.best_candidate(V.identifier_candidates(table(spark, sf_dir, "events"))), "unique_ratio", "missing_rate", digits=6)
 
 
-@query()
+@query("""SELECT c_custkey, CASE WHEN ('0x' || SUBSTR(md5('0:' || c_custkey), 1, 8))::UBIGINT / 4294967296 < 0.2 THEN 'test' ELSE 'train' END AS part FROM customer""")
 def hash_split_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The native split: a row's part depends on its key alone."""
     return V.hash_split(table(spark, sf_dir, "customer"), "c_custkey", 0.2).select("c_custkey", "part")

@@ -6,16 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.functions.values import NUMBER_TEXT
+from quarryline.sources.texts import decodable, in_utf8  # noqa: F401
 
+#: Fields that a preview shows as missing; a scan keeps them.
+PREVIEW_MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
-def read_text_table(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as strings; only an empty field is null."""
-    return spark.read.csv(path, header=True, inferSchema=False, nullValue="", emptyValue="", multiLine=False, enforceSchema=False)
+
+def read_text_table(spark: SparkSession, path: str, quoted_lines: bool = False) -> DataFrame:
+    """All columns as strings; only an empty field is null.  Quotes inside quotes are doubled.  With
+    ``quoted_lines`` a quoted field may hold line ends, and a file is then read by one task."""
+    return spark.read.csv(path, header=True, inferSchema=False, nullValue="", emptyValue="", multiLine=quoted_lines, enforceSchema=False, escape='"', recursiveFileLookup=True)
 
 
 def read_header(spark: SparkSession, path: str) -> list[str]:
     """The raw header, before duplicate names are told apart."""
-    first = spark.read.csv(path, header=False, inferSchema=False).first()
+    first = spark.read.csv(path, header=False, inferSchema=False, escape='"', recursiveFileLookup=True).first()
     return ["" if x is None else x for x in first] if first else []
 
 
@@ -63,35 +68,21 @@ def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
     return marked.withColumns({"_p": part, "_place": place}).join(F.broadcast(first), "_p").withColumn(name, F.col("_start") + F.col("_place")).drop("_id", "_p", "_place", "_start")
 
 
-def scan_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A typed table with ``row_id``."""
-    return with_row_id(typed(read_text_table(spark, path)))
-
-
-def decodable(spark: SparkSession, path: str) -> DataFrame:
-    """(path, encoding): the first of UTF-8 and GB18030 that each file's bytes decode in, null for
-    neither.  A file is decoded piece by piece on the executor that reads it."""
-    import codecs
-    from collections.abc import Iterator
-
-    import pyarrow as pa
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for x in batch.column(1):
-                raw, name = x.as_buffer().to_pybytes(), None
-                for encoding in ("utf-8-sig", "gb18030"):
-                    try:
-                        decoder = codecs.getincrementaldecoder(encoding)()
-                        for at in range(0, len(raw), 1 << 20):
-                            decoder.decode(raw[at : at + (1 << 20)])
-                        decoder.decode(b"", True)
-                        name = encoding
-                        break
-                    except UnicodeDecodeError:
-                        continue
-                found.append(name)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["path", "encoding"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, encoding string")
+def has_quoted_lines(spark: SparkSession, path: str) -> bool:
+    """Does a line hold an odd number of quotes, as those do where a quoted field goes on?"""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    return not spark.read.option("recursiveFileLookup", "true").text(path).where(quotes % 2 == 1).isEmpty()
+
+
+def scan_csv(spark: SparkSession, path: str, encoding: str | None = None, quoted_lines: bool | None = None) -> DataFrame:
+    """A typed table with ``row_id``.  What isn't stated is found by a look at the files: whether they
+    are in UTF-8 (``encoding`` may say so) or have to be decoded first, and whether quoted fields hold
+    line ends; only then a file isn't split over tasks."""
+    path = path if (encoding or "").upper() == "UTF-8" else in_utf8(spark, path)
+    return with_row_id(typed(read_text_table(spark, path, has_quoted_lines(spark, path) if quoted_lines is None else quoted_lines)))
+
+
+def preview(spark: SparkSession, path: str, n: int = 10) -> DataFrame:
+    """The first ``n`` rows as a person would see them: NA, NaN and null read as missing too."""
+    text = read_text_table(spark, in_utf8(spark, path))
+    return text.limit(n).select(*(F.when(~F.col(c).isin(*PREVIEW_MISSING), F.col(c)).alias(c) for c in text.columns))

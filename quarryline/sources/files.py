@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Limits of one file and of a project.
-FILE_BYTES, PROJECT_FILES, PROJECT_BYTES = 25_000_000, 100, 100_000_000
+FILE_BYTES, PROJECT_FILES, PROJECT_BYTES = 25 << 20, 100, 100 << 20
 #: Endings that are read, and what each is read as.
-KINDS = {".py": "code", ".ipynb": "notebook", ".csv": "data", ".md": "document", ".txt": "document", ".toml": "manifest", ".json": "document"}
+KINDS = {".py": "code", ".ipynb": "notebook", ".csv": "data", ".md": "document"}
+#: Names of files, without an ending of these, that are read.
+BUILD_NAMES = ("makefile",)
 #: Folders that are never read.
-PRIVATE = (".git", ".venv", "venv", "node_modules", "__pycache__", ".ssh", ".aws")
+PRIVATE = (".git", ".venv", "venv", "__pycache__", "node_modules", "__macosx")
 
 
 def suffix(path: Column) -> Column:
@@ -31,16 +34,28 @@ def is_private(path: Column) -> Column:
     return F.exists(parts, lambda p: p.isin(*PRIVATE) | p.startswith(".env"))
 
 
+def composed(path: Column) -> Column:
+    """The path with plain slashes and composed characters (Unicode NFC); ASCII needs no change."""
+
+    @F.pandas_udf("string")
+    def nfc(texts: pd.Series) -> pd.Series:
+        return texts.str.normalize("NFC")
+
+    plain = F.replace(path, F.lit("\\"), F.lit("/"))
+    return F.when(plain.rlike(r"^[\x00-\x7F]*$"), plain).otherwise(nfc(plain))
+
+
 def kind_of(path: Column) -> Column:
     """What a file is read as, null where it isn't."""
-    ending = suffix(path)
-    return F.coalesce(*(F.when(ending == e, k) for e, k in KINDS.items()))
+    ending, name = suffix(path), F.lower(F.substring_index(F.replace(path, F.lit("\\"), F.lit("/")), "/", -1))
+    return F.coalesce(*(F.when(ending == e, k) for e, k in KINDS.items()), F.when(name.isin(*BUILD_NAMES), "build"))
 
 
 def inspect_files(files: DataFrame) -> DataFrame:
     """``files`` (path, length, content optional) with ``kind`` and ``refused``, the first reason
     not to read a file: unsafe_path, private, unsupported, empty, too_large, binary, name_conflict.
-    One file of names that differ in case only is read, the first in order."""
+    Names are composed first; one file of names that differ in case only is read, the first in order."""
+    files = files.withColumn("path", composed(F.col("path")))
     folded = files.groupBy(F.lower("path").alias("_folded")).agg(F.min("path").alias("_first"))
     binary = F.locate("00", F.regexp_replace(F.hex("content"), "(..)", "$1 ")) > 0 if "content" in files.columns else F.lit(False)
     reason = (

@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from quarryline.operators import replay as R
 
@@ -95,7 +96,7 @@ def test_unknown_steps_matter_only_where_they_are_needed(people):
     assert R.replay(steps, {"p": people}, ["x"])["x"].columns() == ["value"]
     with pytest.raises(R.Unreplayable):
         R.replay(steps, {"p": people}, ["odd"])
-    for wrong in ({"stratify": "target", "random_state": 1}, {}):
+    for wrong in ({"stratify": "colour", "random_state": 1}, {}):
         with pytest.raises(R.Unreplayable):
             R.replay([steps[0], {"operation": "train_test_split", "input": "df", "outputs": ["a", "b"], **wrong}], {"p": people}, ["a"])
 
@@ -108,3 +109,44 @@ def test_positions_are_those_of_the_order(spark):
     df = spark.range(0, 5000, 7).repartition(9)
     got = sorted((r.id, r._pos) for r in R.with_positions(df, "id").collect())
     assert got == [(x, i) for i, x in enumerate(range(0, 5000, 7))]
+
+
+def test_a_stratified_split_against_plain_numpy(spark):
+    """Each class permuted by itself, its first rows for training; whole shares first, then the largest rests."""
+    import numpy as np
+
+    kinds = ["a"] * 41 + ["b"] * 23 + ["c"] * 36
+    order = np.random.default_rng(3).permutation(100)
+    rows = [(i, kinds[k]) for i, k in enumerate(order.tolist())]
+    f = R.load(spark.createDataFrame(rows, "row_id long, kind string"))
+    train, test = R.random_split(f, 0.25, 11, "kind")
+    rng, n_test = np.random.RandomState(11), 25
+    members = {c: [i for i, k in rows if k == c] for c in "abc"}
+    exact = {c: len(m) * 75 / 100 for c, m in members.items()}  # 30.75, 17.25, 27
+    to_train = {c: int(x) for c, x in exact.items()}
+    rng.choice(np.array([0]), size=1, replace=False)  # the one that is missing goes to the largest rest, of a
+    to_train["a"] += 1
+    want = []
+    for c in "abc":
+        p = rng.permutation(len(members[c]))
+        want += [members[c][k] for k in p[to_train[c] :]]
+    assert len(want) == n_test and sorted(r.row_id for r in test.data.collect()) == sorted(want)
+    assert sorted(r.row_id for r in train.data.collect()) == sorted({i for i, _ in rows} - set(want))
+    for bad in (f.data.where("row_id < 3").withColumn("kind", F.col("row_id").cast("string")), f.data.withColumn("kind", F.lit(None).cast("string"))):
+        with pytest.raises(R.Unreplayable):
+            R.random_split(R.load(bad), 0.25, 11, "kind")
+
+
+def test_label_slices_with_a_step_and_dummy_options(spark):
+    f = R.load(spark.createDataFrame([(i, "xy"[i % 2], i) for i in range(20)], "row_id long, kind string, n int"))
+    assert [r.row_id for r in R.select_labels(f, slice(3, 15, 4)).data.orderBy("row_id").collect()] == [3, 7, 11, 15]
+    made = R.one_hot(f, ["kind"], prefix={"kind": "k"}, sep="=", dtype="bool", input_columns=["kind", "n"])
+    assert made.data.columns == ["row_id", "n", "k=x", "k=y"] and dict(made.data.dtypes)["k=x"] == "boolean"
+    assert made.sources["k=x"] == {"kind"}
+    assert R.one_hot(f, ["n"]).data.columns[2:5] == ["n_0", "n_1", "n_2"]  # in the order of numbers
+    assert R.one_hot_long(f, ["kind"]).count() == 20
+    with pytest.raises(R.Unreplayable):
+        R.one_hot(f, ["kind"], input_columns=["gone"])
+    assert R.preprocess(f, "RobustScaler", ["n"]).partial == {"n"}
+    with pytest.raises(R.Unreplayable):
+        R.preprocess(f, "Mystery", ["n"])

@@ -67,3 +67,61 @@ def test_payloads(spark):
 @pytest.mark.parametrize(("name", "role"), [("X_valid_test", "validation"), ("test_train", "test"), ("train", "train"), ("data", None)])
 def test_roles(spark, name, role):
     assert value(spark, W.split_role, name) == role
+
+
+def test_csv_files_in_other_encodings_and_with_quoted_lines(spark, tmp_path):
+    from quarryline.sources import csv_table
+
+    (tmp_path / "a.csv").write_bytes('id,name,note\n1,表一,"two\nlines"\n2,"say ""hi""",plain\n'.encode("gb18030"))
+    rows = csv_table.scan_csv(spark, str(tmp_path)).orderBy("id").collect()
+    assert [(r.id, r.name, r.note, r.row_id) for r in rows] == [(1, "表一", "two\nlines", 0), (2, 'say "hi"', "plain", 1)]
+    assert csv_table.preview(spark, str(tmp_path)).count() >= 2
+    other = tmp_path / "bad"
+    other.mkdir()
+    (other / "b.csv").write_bytes(b"id\n\xff\xfe\xff\n")
+    with pytest.raises(ValueError):
+        csv_table.scan_csv(spark, str(other))
+
+
+def test_paths_and_bindings(spark):
+    from pyspark.sql import functions as F
+
+    from quarryline.operators import lineage as L
+    from quarryline.sources import files as S
+
+    paths = ["a/./b", "a/../b", "../b", "/../b", "a\\b", "", "s3://x//y", ".", "a//b/"]
+    got = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "i int, p string").select("i", L.normal_path(F.col("p")).alias("n")).orderBy("i").collect()
+    assert [r.n for r in got] == ["a/b", "b", "../b", "/b", "a/b", None, "s3://x//y", ".", "a/b"]
+    files = spark.createDataFrame([("z.zip!/d/x.csv",), ("d/x.csv",)], "file string")
+    reads = spark.createDataFrame([("z.zip!/src/a.py", "../d/x.csv"), ("src/a.py", "./d/x.csv")], "code string, path string")
+    assert {(r.code, r.file, r.how) for r in L.resolve_paths(reads, files).collect()} == {("z.zip!/src/a.py", "z.zip!/d/x.csv", "explicit_path"), ("src/a.py", "d/x.csv", "explicit_path")}
+    named = S.inspect_files(spark.createDataFrame([("e\u0301.py", 3), ("x/Makefile", 3), ("__MACOSX/a.py", 3), ("a.txt", 3)], "path string, length long"))
+    assert {(r.path, r.kind, r.refused) for r in named.collect()} == {("\u00e9.py", "code", None), ("x/Makefile", "build", None), ("__MACOSX/a.py", "code", "private"), ("a.txt", None, "unsupported")}
+
+
+def test_a_split_with_missing_rows_is_not_quantified(spark):
+    from quarryline.operators import overlap as V
+
+    data = spark.range(5).withColumnRenamed("id", "row_id")
+    assert V.restrict(data, spark.createDataFrame([(1,), (3,)], "row_id long"), "row_id").count() == 2
+    assert V.restrict(data, spark.createDataFrame([(1,), (9,)], "row_id long"), "row_id") is None
+
+
+def test_names_of_identifiers():
+    from quarryline.operators.overlap import identifier_strength as strength
+
+    assert [strength(c) for c in ("userID", "user_id", "IDCard", "CustomerKey", "x identifier")] == ["strong", "strong", None, "strong", "strong"]
+    assert [strength(c) for c in ("TicketClass", "refCode", "PhoneNumber", "no", "order-no")] == ["weak"] * 5
+    assert [strength(c) for c in ("index_id", "Unnamed: 0", "rowKey", "paid", "user2id", "", "_")] == [None] * 7
+
+
+def test_sinks(spark, tmp_path):
+    from quarryline.operators import report
+
+    found = spark.createDataFrame([("R", "C", "x", "High", 3, 0.25, "Fix")], "rule_id string, category string, column string, severity string, detected_count long, detected_rate double, action string")
+    for form in ("parquet", "json", "csv"):
+        report.save(found, str(tmp_path / form), form)
+    assert spark.read.json(str(tmp_path / "json")).count() == 1
+    assert report.console(found) == "[High] R x: 3 (25.0%)"
+    with pytest.raises(ValueError):
+        report.save(found, str(tmp_path / "x"), "xml")
