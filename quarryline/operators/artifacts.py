@@ -5,16 +5,23 @@ from __future__ import annotations
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.operators.lineage import components
+from quarryline.sources.scratch import written
 
 #: Similarity of near-duplicates.
 SIMILAR = 0.95
-#: Min-hashes of word triples; near-duplicates mostly agree in one, but not where changes are spread.
-MINIMA = 8
+#: Characters of a shingle, bands of min-hashes, and min-hashes in each.  Where one character in twenty
+#: differs, spread evenly, shingle sets have a Jaccard index of 0.6, and share none of the bands with a
+#: probability of 0.003; changes that lie together leave a higher index.
+SHINGLE, BANDS, ROWS = 5, 24, 3
+
+_SEEDS = np.random.default_rng(17).integers(1, 2**63, size=BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+_POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 2**64) for k in range(SHINGLE)], np.uint64)
 
 
 def standard_lines(text: Column) -> Column:
@@ -27,35 +34,77 @@ def exact_groups(files: DataFrame, name: str, text: str) -> DataFrame:
     """(name, primary, size) of the artifacts that equal another one; the smallest name of each
     group is its primary.  Sizes and primaries are pre-aggregated by digest."""
     hashed = files.select(F.col(name).alias("name"), F.sha2(standard_lines(F.coalesce(F.col(text), F.lit(""))).cast("binary"), 256).alias("h"))
-    groups = hashed.groupBy("h").agg(F.min("name").alias("primary"), F.count("*").alias("size")).where("size > 1")
+    # digests are made once, and the groups written, so that a hot one can be split in the join
+    hashed = written(hashed, "digests")
+    groups = written(hashed.groupBy("h").agg(F.min("name").alias("primary"), F.count("*").alias("size")).where("size > 1"), "groups")
     return hashed.join(groups, "h").select("name", "primary", "size")
 
 
+def bands_of(body: str) -> np.ndarray:
+    """A number for each band of the min-hashes of a text's character shingles."""
+    points = np.frombuffer(body.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64) + np.uint64(1)
+    size = max(1, len(points) - SHINGLE + 1)
+    h = np.zeros(size, np.uint64)
+    for k in range(min(SHINGLE, len(points))):
+        h += points[k : k + size] * _POWERS[k]
+    h ^= h >> np.uint64(29)
+    h = np.unique(h * np.uint64(0xBF58476D1CE4E5B9))
+    least = np.array([((h ^ (h >> np.uint64(31))) * s).min() for s in _SEEDS], np.uint64).reshape(BANDS, ROWS)
+    out = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for k in range(ROWS):
+        out = (out + least[:, k]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out.view(np.int64)
+
+
 def near_pairs(files: DataFrame, name: str, text: str, threshold: float = SIMILAR) -> DataFrame:
-    """(a, b, similarity) of artifacts that aren't equal but similar, each against the smallest
-    name that shares a min-hash of word triples with it; similarity is twice the matching
-    characters over all characters, white space left out."""
-    rows = files.select(F.col(name).alias("name"), standard_lines(F.coalesce(F.col(text), F.lit(""))).alias("body"))
-    once = rows.groupBy("body").agg(F.min("name").alias("name")).where("body <> ''")
-    words = F.split(F.trim(F.regexp_replace("body", r"(?U)\s+", " ")), " ")
-    triples = F.transform(F.sequence(F.lit(0), F.greatest(F.size("words") - 3, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice("words", i + 1, 3), " ")))
-    minima = F.array(*(F.array_min(F.transform("triples", lambda h, k=k: F.xxhash64(F.lit(k), h))) for k in range(MINIMA)))
-    hashed = once.withColumn("words", words).withColumn("triples", triples).select("name", F.posexplode(minima).alias("k", "m"))
-    lead = hashed.groupBy("k", "m").agg(F.min("name").alias("a"), F.count("*").alias("n")).where("n > 1")
-    pairs = hashed.join(lead, ["k", "m"]).where("name <> a").select("a", F.col("name").alias("b")).distinct()
-    left, right = once.select(F.col("name").alias("a"), F.col("body").alias("x")), once.select(F.col("name").alias("b"), F.col("body").alias("y"))
+    """(a, b, similarity) of artifacts that aren't equal but similar: twice the matching characters over
+    all characters, white space left out.
+
+    Texts that share a band of min-hashes are a bucket.  Its smallest name is compared with the others,
+    and the links found make components.  In a bucket of several components the members outside the
+    largest are then compared with all members of other components, so no link between texts of one
+    bucket is lost that joins two components, and members of one group don't all meet one another.
+    Texts whose lengths rule the similarity out are not compared.
+    """
+    rows = files.select(F.col(name).alias("name"), F.regexp_replace(standard_lines(F.coalesce(F.col(text), F.lit(""))), r"(?U)\s+", "").alias("plain"))
+    once = written(rows.groupBy("plain").agg(F.min("name").alias("name")).where("plain <> ''").withColumn("n", F.length("plain")), "artifacts")
+    kind = dict(once.dtypes)["name"]
+
+    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [bands_of(x.as_py()) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.int64()))], ["name", "n", "bands"])
+
+    members = once.select("name", "plain", "n").mapInArrow(banded, f"name {kind}, n int, bands array<long>").select("name", "n", F.explode("bands").alias("band"))
+    left, right = once.select(F.col("name").alias("a"), F.col("plain").alias("x")), once.select(F.col("name").alias("b"), F.col("plain").alias("y"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for a, b, x, y in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                m = SequenceMatcher(None, "".join(x.split()), "".join(y.split()), autojunk=False)
+                m = SequenceMatcher(None, x, y, autojunk=False)
                 if m.real_quick_ratio() >= threshold and m.quick_ratio() >= threshold and (r := m.ratio()) >= threshold:
                     out.append((a, b, r))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], batch.column(0).type if i < 2 else pa.float64()) for i in range(3)], ["a", "b", "similarity"])
 
-    kind = dict(rows.dtypes)["name"]
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, f"a {kind}, b {kind}, similarity double")
+    def verified(pairs: DataFrame) -> DataFrame:
+        return written(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, f"a {kind}, b {kind}, similarity double"), "links")
+
+    fits = F.least("n", "other_n") >= F.lit(threshold / 2) * (F.col("n") + F.col("other_n"))
+    members = written(members, "bands")
+    lead = members.groupBy("band").agg(F.min(F.struct("name", "n")).alias("lead"), F.count("*").alias("many")).where("many > 1").select("band", F.col("lead.name").alias("a"), F.col("lead.n").alias("other_n"))
+    shared = written(members.join(written(lead, "leaders"), "band"), "buckets")
+    first = written(shared.where("name <> a").where(fits).select("a", F.col("name").alias("b")).distinct(), "pairs")
+    links = verified(first)
+    known = components(links, "a", "b").select(F.col("node").alias("name"), "component")
+    placed = written(shared.select("band", "name", "n").join(known, "name", "left").select("band", "name", "n", F.coalesce("component", "name").alias("comp")), "placed")
+    sizes = placed.groupBy("band", "comp").agg(F.count("*").alias("size")).groupBy("band").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.count("*").alias("comps"))
+    open_ = written(placed.join(sizes.where("comps > 1").select("band", "main"), "band"), "open")
+    outside = open_.where("comp <> main").select("band", F.col("name").alias("other"), F.col("n").alias("other_n"), F.col("comp").alias("other_comp"))
+    met = outside.join(open_.drop("main"), "band").where("comp <> other_comp").where(fits)
+    more = met.select(F.least("name", "other").alias("a"), F.greatest("name", "other").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    return links.unionByName(verified(written(more, "pairs")))
 
 
 def near_groups(pairs: DataFrame) -> DataFrame:

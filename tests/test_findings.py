@@ -181,3 +181,31 @@ def test_split_findings(spark):
 def test_encodings_of_booleans(spark):
     tokens = spark.createDataFrame([("a", "flag", ["0", "1"]), ("b", "Flag", ["yes", "no"]), ("b", "other", ["1"]), ("c", "flag", ["1"])], "file string, column string, tokens array<string>")
     assert [tuple(r) for r in S.compare_encodings(tokens, "a").collect()] == [("b", "DQ_CROSS_FILE_CATEGORY_ENCODING", "Flag", "0,1 / no,yes")]
+
+
+def test_near_artifacts_against_difflib_on_all_pairs(spark):
+    """Variants of a few texts, with changes spread over every word, and texts that only share a part."""
+    import random
+    from difflib import SequenceMatcher
+    from itertools import combinations
+
+    from quarryline.operators import artifacts as A
+
+    rnd, rows = random.Random(8), []
+    for g in range(6):
+        base = [rnd.choice("abcdefghijklmnop") for _ in range(400)]
+        for _ in range(9):
+            text = list(base)
+            for k in rnd.sample(range(400), rnd.choice([2, 8, 16, 24])):
+                text[k] = rnd.choice("qrstuvwxyz")
+            rows.append((len(rows), " ".join("".join(text[i : i + 7]) for i in range(0, 400, 7))))
+    rows += [(100 + g, rows[9 * g][1][:230] + "".join(rnd.choice("ABCDEFGH") for _ in range(220))) for g in range(6)]
+    plain = {d: "".join(t.split()) for d, t in rows}
+    links = {(a, b) for a, b in combinations(plain, 2) if SequenceMatcher(None, plain[a], plain[b], autojunk=False).ratio() >= 0.95}
+    up = {d: d for d in plain}
+    for _ in plain:
+        for a, b in links:
+            up[a] = up[b] = min(up[a], up[b])
+    got = {r.name: r.primary for r in A.near_groups(A.near_pairs(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")).collect()}
+    assert len(links) > 50 and got == {d: p for d, p in up.items() if any(d in link for link in links)}
+    assert A.near_pairs(spark.createDataFrame([(1, "one"), (2, None)], "doc_id long, text string"), "doc_id", "text").count() == 0
