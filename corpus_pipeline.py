@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it works on all rows that the
 stage before it kept, written as Parquet and read again.  All stages but the last return the
 columns of ``documents``.
+
+Rows with a null id, null, empty and blank texts are scored like any other and otherwise pass every
+stage; rows that repeat an id stay or go together, but for their own texts' scores and passages.
+Empty tables stay empty, a column that is missing is not made up, and further columns, whatever
+their names, are carried to the last stage, which has columns of its own.
 """
 
 from __future__ import annotations
@@ -22,9 +27,12 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def own_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, with the lines that a smaller document holds removed from its text."""
-    kept = line_dedup.drop_repeated_lines(docs)
-    return kept.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
+    """The documents without the lines that a smaller one holds; one of which nothing else is left
+    goes, as all of it is in others."""
+    kept = line_dedup.drop_repeated_lines(docs, drop_emptied=True)
+    if "n_chars" not in docs.columns:
+        return kept
+    return kept.withColumn("n_chars", F.coalesce(F.length("text"), F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,9 +10,10 @@ No bucket is expanded into all its pairs:
 1. documents with equal shingle sets become one class, its smallest id standing for it;
 2. in each bucket every member is compared with the bucket's smallest member only, and the
    confirmed links are joined into components;
-3. buckets that still hold several components are the rest.  Their members are compared in blocks
-   of bounded size by their whole signatures, and what may still be a link between different
-   components is confirmed exactly, too.
+3. buckets that still hold several components are the rest.  The members outside a bucket's
+   largest component are compared with all others in blocks of bounded size by their whole
+   signatures, and what may still be a link between different components is confirmed exactly,
+   too.  The members of the largest component never meet one another again.
 
 A confirmed link is never inferred, and the components are those of all links that share a band.
 With the constants below a pair of similarity 0.75 shares none of the bands with a probability of
@@ -31,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import connected_components, fresh, left_join_set, materialise, temporary_tables, utf8
-from quarryline.llm.shingles import shingle_set
+from quarryline.llm.common import connected_components, left_join_set, materialise, rows_without, temporary_tables, utf8, with_texts
+from quarryline.llm.shingles import shingles_of
 
 #: Positions that shingles are dealt to; the second permutation is of these.
 UNIVERSE = 1 << 22
@@ -43,7 +44,7 @@ LEAST_EQUAL = 0.675
 #: Members of a bucket that one block holds.
 BLOCK = 512
 #: Members that are confirmed against one copy of a bucket's smallest member.
-CHUNK = 200
+CHUNK = 64
 _BATCH = 4096
 
 
@@ -85,8 +86,7 @@ def sketches(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, fp, bands, sig = [], [], [], []
-            for x in batch.column(1):
-                found = shingle_set(x.as_py(), shingle_words)
+            for found in map(np.unique, shingles_of(batch.column(1), shingle_words)):
                 n.append(len(found))
                 if len(found):
                     coordinates = signature(found)
@@ -105,8 +105,8 @@ def sketches(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, fp binary, bands array<long>, sig binary")
 
 
-def confirm(pairs: DataFrame, bodies: DataFrame, percent: int, shingle_words: int) -> DataFrame:
-    """The rows (a, b) of ``pairs`` whose texts in ``bodies`` (id, raw) have shingle sets with
+def confirm(pairs: DataFrame, texts: DataFrame, percent: int, shingle_words: int) -> DataFrame:
+    """The rows (a, b) of ``pairs`` whose texts in ``texts`` (doc_id, raw) have shingle sets with
     100 * intersection >= percent * union.
 
     The pairs of one ``a`` are dealt into chunks; each chunk gets one copy of a's text, and its
@@ -115,25 +115,17 @@ def confirm(pairs: DataFrame, bodies: DataFrame, percent: int, shingle_words: in
     """
     pairs = pairs.select("a", "b")
     chunks = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    first = (
-        bodies.join(chunks, bodies["id"] == chunks["a"])
-        .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select("a", "chunk", F.lit(None).cast("long").alias("b"), "raw")
-    )
-    rest = (
-        pairs.join(chunks, "a")
-        .withColumn("chunk", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int"))
-        .select("a", "chunk", "b")
-        .join(bodies, F.col("b") == F.col("id"))
-        .select("a", "chunk", "b", "raw")
-    )
+    first = chunks.select("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(None).cast("long").alias("b"), F.col("a").alias("id"))
+    rest = pairs.join(chunks, "a").select("a", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"), "b", F.col("b").alias("id"))
+    wanted = materialise(first.unionByName(rest), "chunks")
+    dealt = with_texts(texts.withColumnRenamed("doc_id", "id"), "id", wanted).select("a", "chunk", "b", "raw")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, sets = None, []
         for batch in batches:
             left, right = [], []
-            for a, chunk, b, x in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
-                found = shingle_set(x.as_py(), shingle_words)
+            for a, chunk, b, s in zip(*(batch.column(i).to_pylist() for i in range(3)), shingles_of(batch.column(3), shingle_words), strict=True):
+                found = np.unique(s)
                 if (a, chunk) != key:
                     key, sets = (a, chunk), []
                 if b is None:
@@ -147,19 +139,23 @@ def confirm(pairs: DataFrame, bodies: DataFrame, percent: int, shingle_words: in
                         break
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
-    dealt = first.unionByName(rest).repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
+    dealt = dealt.repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def _rest_pairs(entries: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs (a, b) between different components of a bucket, for ``entries``
-    (band, rep, n, comp, sig, bands, members): blocks of a bucket are compared two by two.  A pair
-    that shares several of the buckets (``bands`` lists a member's) is made in the lowest only."""
-    blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
-    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
+    (band, rep, n, comp, sig, bands, main, in_main, outside): blocks of a bucket are compared two by
+    two.  The ``in_main`` members of the largest component ``main`` have blocks of their own, which
+    only meet blocks of the ``outside`` ones, so a large component with few strays is dealt out
+    about once.  A pair that shares several of the buckets (``bands`` lists a member's) is made in
+    the lowest only."""
+    of_outside, of_main = (F.ceil(F.col(c) / F.lit(BLOCK)).cast("int") for c in ("outside", "in_main"))
+    is_main = F.col("comp") == F.col("main")
+    own = F.when(is_main, of_outside + F.pmod(F.xxhash64("rep"), of_main)).otherwise(F.pmod(F.xxhash64("rep"), of_outside)).cast("int")
     dealt = (
         entries.withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.when(is_main, of_outside - 1).otherwise(of_outside + of_main - 1))))
         .select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "n", "comp", "sig", "bands")
         .repartition("band", "i", "j")
         .sortWithinPartitions("band", "i", "j")
@@ -211,9 +207,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle_words: int = 5,
     is the smallest id reachable, and ``kept`` says that it is the document's own.
 
     Null, empty and blank texts have no shingles and are linked with nothing.  A null id is linked
-    with nothing, has a null component and is kept.  Repeated rows are reported one by one; of an
-    id with several texts each row is judged by its own text.  Further columns are ignored; an
-    empty table gives none.
+    with nothing, has a null component and is kept.  Repeated rows are reported one by one; an id
+    with several texts is one node of the links, with those of each text, and every row counts its
+    own text's shingles.  Further columns are ignored; an empty table gives none.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("raw"))
     sketch = materialise(sketches(rows, shingle_words), "sketches")
@@ -222,25 +218,26 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle_words: int = 5,
     classes = materialise(classes.select("fp", F.col("r.doc_id").alias("rep"), "last", "r.n", "r.bands", "r.sig"), "classes")
 
     banded = classes.select(F.explode("bands").alias("band"), "rep", "n")
-    buckets = banded.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("low"), F.max("rep").alias("high"), F.count("*").alias("members"))
-    buckets = buckets.where("high > low.rep").select("band", F.col("low.rep").alias("leader"), F.col("low.n").alias("leader_n"), "members")
-    multi = materialise(banded.join(buckets, "band"), "buckets")
+    buckets = banded.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("low"), F.max("rep").alias("high"))
+    buckets = buckets.where("high > low.rep").select("band", F.col("low.rep").alias("leader"), F.col("low.n").alias("leader_n"))
+    # written, so that the join has shuffles of its own, in which a hot bucket can be split
+    multi = materialise(banded.join(materialise(buckets, "band-leaders"), "band"), "buckets")
 
     alike = F.least("n", "leader_n") * 100 >= F.greatest("n", "leader_n") * percent
     stars = materialise(multi.where("rep <> leader").where(alike).select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
-    candidates = multi.select(F.col("rep").alias("id")).distinct()
-    bodies = materialise(rows.withColumnRenamed("doc_id", "id").join(candidates, "id", "left_semi"), "bodies")
-    links = materialise(confirm(stars, bodies, percent, shingle_words), "links")
+    links = materialise(confirm(stars, rows, percent, shingle_words), "links")
     label = materialise(connected_components(links), "labels")
 
-    joined = multi.join(label, F.col("rep") == F.col("node"), "left").select("band", "rep", "members", F.coalesce("component", "rep").alias("comp"))
-    open_ = joined.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("band")
-    entries = materialise(joined.join(open_, "band", "left_semi"), "open")
+    joined = multi.join(label, F.col("rep") == F.col("node"), "left").select("band", "rep", F.coalesce("component", "rep").alias("comp"))
+    sizes = joined.groupBy("band", "comp").agg(F.count("*").alias("size"))
+    open_ = sizes.groupBy("band").agg(F.count("*").alias("comps"), F.max(F.struct("size", "comp")).alias("m"), F.sum("size").alias("members")).where("comps > 1")
+    open_ = materialise(open_.select("band", F.col("m.comp").alias("main"), F.col("m.size").alias("in_main"), (F.col("members") - F.col("m.size")).alias("outside")), "open-bands")
+    entries = materialise(joined.join(open_, "band"), "open")
     of_rep = entries.groupBy("rep").agg(F.array_sort(F.collect_set("band")).alias("bands"))  # BANDS at most
     entries = entries.join(of_rep, "rep").join(classes.select("rep", "n", "sig"), "rep")
     more = materialise(_rest_pairs(entries, percent).join(stars, ["a", "b"], "left_anti"), "rest")
     if not more.isEmpty():
-        links = links.unionByName(materialise(confirm(more, bodies, percent, shingle_words), "links"))
+        links = links.unionByName(materialise(confirm(more, rows, percent, shingle_words), "links"))
         label = materialise(connected_components(links), "labels")
 
     # only classes of several documents, or linked with another class, say more than the row itself
@@ -258,9 +255,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle_words: int = 5,
 
 
 def keep_one_of_each(docs: DataFrame, percent: int = 75, shingle_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with only the smallest id of each group of near-duplicates; all columns stay."""
-    key = fresh(docs, "_gone")
+    """``docs`` with only the smallest id of each group of near-duplicates; all columns stay.
+
+    Rows with a null id or a text without words stay, as do all rows of an id that is kept; an
+    empty table stays empty.  Only rows whose id may be one to drop are shuffled with their texts.
+    """
     with temporary_tables(docs.sparkSession):
-        gone = near_duplicates(docs, percent, shingle_words, id_col, text_col).where("not kept").select(F.col("doc_id").alias(key)).distinct()
+        gone = near_duplicates(docs, percent, shingle_words, id_col, text_col).where("not kept").select(F.col("doc_id").alias(id_col)).distinct()
         gone = materialise(gone, "gone", keep=True)
-    return docs.join(gone, F.col(id_col) == F.col(key), "left_anti")
+    return rows_without(docs, id_col, gone).select(docs.columns)
