@@ -26,18 +26,18 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import utf8
+from quarryline.llm.common import in_slices, utf8
 from quarryline.llm.token_counts import byte_symbols
 
 #: Fixed value: the pattern of the pieces that a vocabulary with word ends keeps.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Runs without white space remembered for each Python worker, once more as many of an older
 #: generation: what is met again while a generation fills is carried into it.
-CACHE_RUNS = 200_000
+CACHE_RUNS = 120_000
 #: Bytes above which a run's tokens are not remembered.
 CACHE_BYTES = 64
 #: Token pairs whose compatibility is remembered.
-CACHE_PAIRS = 400_000
+CACHE_PAIRS = 200_000
 #: Stands for the end of a word inside the automaton; above every byte.
 END = "Ā"
 
@@ -252,7 +252,7 @@ def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = codec(vocabulary)
-        for batch in batches:
+        for batch in in_slices(batches):
             sizes, spelled, decoded = [], [], []
             for x in batch.column(1):
                 ids = tables.encode(x.as_py().decode("utf-8", "replace"))

@@ -11,9 +11,12 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows whose texts a Python worker turns into objects at once.
+SLICE_ROWS = 512
 #: ASCII letters lower-cased, every other byte kept.
 ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: The six ASCII white-space bytes: space, tab, line feed, vertical tab, form feed, return.
@@ -92,6 +95,14 @@ def utf8(column: str | Column) -> Column:
     return F.coalesce(c, F.lit("")).cast("binary")
 
 
+def in_slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of few rows, not copied: what is made of their texts, and returned, stays
+    small, however many rows Spark sends at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def left_join_set(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
     """A left join in which the rows without a key, which may be many, take no part in the
     shuffle: hashed, they would all land in one task."""

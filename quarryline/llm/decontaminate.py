@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarryline.llm.common import ASCII_LOWER, fresh, materialise, rows_with, rows_without, utf8
+from quarryline.llm.common import ASCII_LOWER, fresh, in_slices, materialise, rows_with, rows_without, utf8
 
 #: Words are ASCII letters (lower-cased), digits and everything beyond ASCII.
 WORD_BYTES = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in ASCII_LOWER)
@@ -120,7 +120,7 @@ def _scan(rows: DataFrame, block: Broadcast, met_only: bool = False) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = scanner(block).scan
-        for batch in batches:
+        for batch in in_slices(batches):
             n_words, hits, items = [], [], []
             for x in batch.column(1):
                 words = words_of(x.as_py())
@@ -217,7 +217,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, mode: str
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = scanner(first).scan
-        for batch in batches:
+        for batch in in_slices(batches):
             hits = [find(words_of((t.as_py() or "").encode("utf-8", "replace")))[0] for t in batch.column(at)]
             yield cut(batch, hits) if spans else batch.filter(pa.array([not len(h) for h in hits], pa.bool_()))
 
@@ -231,7 +231,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, mode: str
         return others
 
     def clean_met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             yield cut(batch, [np.asarray(x.values) for x in batch.column(len(names))])
 
     met = rows_with(marked, mark, marks).join(found.select(F.col("mark").alias(mark), F.col("hits").alias(where)), mark)

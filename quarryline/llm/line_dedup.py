@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import ASCII_LOWER, ASCII_SPACE, delete_path, fresh, left_join_set, materialise, scratch_path, utf8
+from quarryline.llm.common import ASCII_LOWER, ASCII_SPACE, delete_path, fresh, in_slices, left_join_set, materialise, scratch_path, utf8
 
 #: Runs of one level that are compacted into one run of the next.
 FANOUT = 3
@@ -38,7 +38,7 @@ def line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
     """(h binary, doc_id): each document's distinct line hashes; rows without an id hold none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             ids, out = [], []
             for doc, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 found = {line_hash(line, min_chars) for line in x.as_py().translate(ASCII_LOWER).split(b"\n")}
@@ -163,7 +163,7 @@ def line_report(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = 4, i
     """
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_:
+        for batch in in_slices(batches_):
             n_lines, n_dropped, kept = [], [], []
             for x, gone in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
                 raw = x.as_py()
@@ -190,7 +190,7 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: in
     """
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_:
+        for batch in in_slices(batches_):
             texts = batch.column(at)
             kept, stay = [], []
             for t, gone in zip(texts.to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import utf8
+from quarryline.llm.common import in_slices, utf8
 from quarryline.llm.decontaminate import WORD_BYTES
 
 #: Buckets of hashed words.
@@ -34,7 +34,7 @@ MAX_TRAINING_ROWS = 4000
 #: Texts whose features a task holds at once.
 SLICE = 128
 #: Words whose bucket a Python worker remembers.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 
 STATISTICS = ("bytes", "words", "lines", "word_length", "upper", "digit", "symbol", "space", "distinct", "top_word", "repeated_next", "repeated_line", "marked_word", "wide", "stated", "misstated")
 
@@ -196,7 +196,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS,
     sample = ids.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             found = [features(x.as_py(), n) for x, n in zip(batch.column(1), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -231,7 +231,7 @@ def score(docs: DataFrame, machine: Machine, threshold: float = 0.3, id_col: str
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             scores = shared.value.score((x.as_py() for x in batch.column(2)), batch.column(3).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], ["doc_id", "held_out", "score"])
 
@@ -249,7 +249,7 @@ def keep_good(docs: DataFrame, machine: Machine, threshold: float = 0.3, text_co
     at, size = docs.columns.index(text_col), docs.columns.index(size_col) if size_col in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             stated = None if size is None else batch.column(size).to_pylist()
             scores = shared.value.score(((t.as_py() or "").encode("utf-8", "replace") for t in batch.column(at)), stated)
             yield batch.filter(pa.array(scores >= threshold, pa.bool_()))
