@@ -77,6 +77,58 @@ def test_near_vectors(spark, monkeypatch, block):
     assert len(twice) == 4 and sorted(r.n_links for r in twice) == [0, 0, 1, 1]
 
 
+@pytest.mark.parametrize("block", [1000, 40])
+def test_near_vectors_by_tables_of_cells(spark, monkeypatch, block):
+    """A label that is cut into cells: each link once, none below the threshold, 99 % of them found."""
+    import random
+
+    import numpy as np
+
+    rnd = random.Random(10)
+    monkeypatch.setattr(embedding_near_dedup, "BLOCK", block)
+    monkeypatch.setattr(embedding_near_dedup, "plan", lambda n, least: (5, 12))
+    rows = []
+    for i in range(150):
+        v = [rnd.gauss(0, 1) for _ in range(24)]
+        rows += [(100 * i + k, [x + rnd.gauss(0, 0.15) for x in v], 1) for k in range(4)]
+    rows.append((99_999, rows[0][1], 1))
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    cosine = x @ x.T
+    degree = {r[0]: int((cosine[k] >= 0.93).sum()) - 1 for k, r in enumerate(rows)}
+    got = {r.vec_id: r for r in embedding_near_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert all(got[d].n_links <= n for d, n in degree.items()) and sum(degree.values()) > 1000
+    assert sum(r.n_links for r in got.values()) >= 0.99 * sum(degree.values())
+    assert all(got[d].component_id // 100 == d // 100 or d == 99_999 for d in got)
+
+
+def test_plans_of_labels():
+    assert embedding_near_dedup.plan(5000, 0.93) == (0, 1)
+    depth, tables = embedding_near_dedup.plan(1_000_000, 0.93)
+    p = embedding_near_dedup.same_cell(embedding_near_dedup.CELL) ** depth
+    assert depth > 8 and (1 - p) ** tables <= embedding_near_dedup.LOST
+    # a hundred times the vectors are far less than a hundred times the copies
+    assert embedding_near_dedup.plan(100_000_000, 0.93)[1] < 4 * tables
+
+
+def test_a_stray_in_a_large_bucket(spark, monkeypatch):
+    """A bucket's largest component is dealt out about once, and still meets the strays."""
+    monkeypatch.setattr(minhash_near_dedup, "BLOCK", 16)
+    base = [f"b{i}" for i in range(200)]
+    rows = [(d, " ".join([*base[: d % 190], f"e{d}", *base[d % 190 + 1 :]])) for d in range(10, 130)]
+    rows += [(1, " ".join([*base[:120], *(f"x{i}" for i in range(80))])), (500, " ".join([*base[:162], *(f"y{i}" for i in range(38))]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert ordered(minhash_near_dedup.near_duplicates(df)) == sorted(brute.op7(rows))
+
+
+def test_a_long_text_of_secrets(spark):
+    """Places are summed up in runs: as many matches as there are words."""
+    text = " ".join(f"é {i:024x}" for i in range(3000)) + " token=abcdef12"
+    rows = [(1, text), (2, "x")]
+    got = sorted(tuple(r[:5]) for r in secret_scan.scan_secrets(spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, source string")).collect())
+    assert got == sorted(brute.op9_base(rows)) and got[0][3] == 3000
+
+
 def test_secrets(docs, odd_docs, no_docs):
     for df in (docs, odd_docs, no_docs):
         pairs = [(r.doc_id, r.text) for r in df.collect()]
@@ -144,6 +196,16 @@ def test_urls(spark):
     assert url_filter.judge_urls(pages.limit(0)).count() == 0
 
 
+def test_a_long_url_that_is_repeated(spark):
+    """As many token sets as subsets of 40 words, under one label and under two."""
+    words = "/".join(f"word{i}" for i in range(40))
+    rows = [f"http://a.example.com/en/{words}"] * 20 + [f"http://www.example.com/en/{words}/more"] * 20 + [f"http://x.org/{words}"] * 3 + ["http://x.org/more", "http://x.org/word7"]
+    got = {r.page_id: r for r in url_filter.judge_urls(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")).collect()}
+    assert got[0].verdict == "block" and got[20].verdict == "allow" and len(got) == len(rows)
+    # the words go with either label alike; what only one of them has decides
+    assert got[40].verdict == "allow" and got[43].verdict == "allow"
+
+
 def test_compact_windows_are_those_of_all_subsequences():
     import random
 

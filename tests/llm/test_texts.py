@@ -79,6 +79,28 @@ def test_decontaminate(docs, benchmark):
     assert cut[20] == "the  the big bad wolf today"
 
 
+@pytest.mark.parametrize("mode", ["documents", "spans"])
+def test_decontaminate_in_several_blocks(docs, odd_docs, no_docs, benchmark, monkeypatch, mode):
+    """The same rows and texts however many blocks there are: a cut never makes a new window."""
+    joined = docs.sparkSession.createDataFrame([(1, "one two quick brown fox three four five six"), (2, "quick brown quick brown fox fox jumps")], "doc_id long, text string")
+    more = benchmark.unionByName(docs.sparkSession.createDataFrame([(30, "two three four", "x"), (31, "brown fox fox", "x"), (32, "quick brown", "x")], benchmark.schema))
+    tables = (docs, odd_docs, no_docs, joined)
+    run = lambda: [ordered(decontaminate.decontaminate(d, more, mode=mode).select("doc_id", "text")) for d in tables]
+    whole = run()
+    monkeypatch.setattr(decontaminate, "BLOCK_WINDOWS", 4)
+    assert len(decontaminate.blocks_of(decontaminate.windows_of(more, 10))) > 2
+    assert run() == whole
+    assert decontaminate.decontaminate(docs, more, mode=mode).columns == docs.columns
+
+
+def test_a_window_that_many_items_hold(spark, docs, monkeypatch):
+    monkeypatch.setattr(decontaminate, "ROW_ITEMS", 5)
+    items = spark.createDataFrame([(i, "Quick, Brown: fox!", "x") for i in range(100)] + [(7, "dog and runs", "x")], "item_id long, text string, words string")
+    assert decontaminate.windows_of(items, 10).count() > 2
+    found = {r.doc_id: r["items"] for r in decontaminate.find_contamination(docs, items).collect()}
+    assert found[20] == list(range(100)) and found[5] == []
+
+
 @pytest.mark.parametrize("name", ["docs", "odd_docs", "no_docs"])
 def test_line_report(name, request):
     df = request.getfixturevalue(name)
@@ -91,6 +113,21 @@ def test_drop_repeated_lines_keeps_rows_and_columns(docs):
     assert {r.doc_id: r.text for r in kept.collect()} == brute.kept_lines(texts())
 
 
+def test_emptied_documents_may_go(docs, odd_docs):
+    left = {r.doc_id: r.text for r in line_dedup.drop_repeated_lines(docs, drop_emptied=True).collect()}
+    whole, before = brute.kept_lines(texts()), dict(texts())
+    assert left == {d: t for d, t in whole.items() if t == before[d] or t.strip()}
+    assert len(left) < len(whole) and left[3] == " \t\n "
+    assert sum(r.doc_id is None for r in line_dedup.drop_repeated_lines(odd_docs, drop_emptied=True).collect()) == 3
+
+
+def test_no_run_tables_are_left(spark, docs):
+    line_dedup.line_report(docs).collect()
+    with pytest.raises(Exception):  # noqa: B017
+        line_dedup.line_report(docs.withColumn("text", F.raise_error(F.lit("stop")))).collect()
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
+
+
 def test_line_runs_are_compacted(spark, docs):
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("raw"))
     runs = line_dedup.LineRuns(spark, 4)
@@ -116,6 +153,17 @@ def test_quality(spark, docs, odd_docs, no_docs):
     assert quality.keep_good(docs, machine).columns == docs.columns
 
 
+def test_a_labelled_id_that_is_repeated_is_one_example(spark):
+    rows = [(d, f"text number {d} of it", len(f"text number {d} of it")) for d in range(1, 12)]
+    many = rows + [(3, "text number 3 of it", 19)] * 300 + [(3, "t", 1)]
+    labels = spark.createDataFrame([(d, d % 2, 0) for d in range(1, 12)], "doc_id long, quality int, toxic int")
+    schema = "doc_id long, text string, n_chars long"
+    one, other = (quality.train(spark.createDataFrame(r, schema), labels) for r in (rows, many))
+    assert (one.weights == other.weights).all() and one.bias == other.bias
+    # stated sizes are a feature: a wrong one moves the score
+    assert one.score([rows[0][1].encode()], [rows[0][2]])[0] == one.score([rows[0][1].encode()])[0] != one.score([rows[0][1].encode()], [10_000])[0]
+
+
 def test_quality_without_labels(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in quality.score(docs, quality.train(docs, none)).collect()} == {0.5}
