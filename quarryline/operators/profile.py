@@ -16,7 +16,7 @@ from quarryline.functions.values import corrected_skewness, finite
 FUSED = 40
 #: Rows up to which exact percentiles are taken directly.  Their state grows with the distinct
 #: values, so a larger table first narrows each percentile down to a bracket.
-DIRECT_ROWS = 5_000_000
+DIRECT_ROWS = 100_000
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
