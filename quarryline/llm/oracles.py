@@ -1,7 +1,7 @@
 """The operators' results as DuckDB SQL, where SQL can express them.
 
-Encoders, trained classifiers and min-hash passages are beyond it; tests hold those against plain
-Python, the tokenizers library and held-out rows.
+Encoders, trained models, periodic runs and min-hash passages are beyond it, or too slow in it; tests
+hold those against plain Python, the tokenizers library and held-out rows.
 """
 
 from __future__ import annotations
@@ -126,6 +126,16 @@ SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0):
   coalesce(n_owned, 0)::BIGINT AS n_owned, coalesce(n_example, 0)::BIGINT AS n_example FROM docs LEFT JOIN per USING (row_no)
 """
 
+OP13 = """
+WITH whole AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT a.vec_id AS anchor_id, r.vec_id AS id, a.label = r.label AS same, list_inner_product(a.v, r.v)::BIGINT AS score FROM whole a JOIN whole r ON a.vec_id <> r.vec_id WHERE a.vec_id % 50 = 0),
+positives AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)::INT AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN scored s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score QUALIFY rank <= 3
+"""
+
 SQL = {
     "op1_decontamination": OP1,
     "op4_line_dedup": OP4,
@@ -133,4 +143,5 @@ SQL = {
     "op8_url_filter": OP8,
     "op9_secret_scan": OP9,
     "op10_embedding_near_dedup": OP10,
+    "op13_hard_negatives": OP13,
 }

@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import bpe, decontaminate, embedding_near_dedup, line_dedup, minhash_near_dedup, oracles, quality, secret_scan, substring_dedup, token_counts, url_filter
+from quarryline.llm import (
+    bpe,
+    decontaminate,
+    embedding_near_dedup,
+    hard_negatives,
+    line_dedup,
+    minhash_near_dedup,
+    oracles,
+    periodic_runs,
+    quality,
+    secret_scan,
+    substring_dedup,
+    token_counts,
+    url_filter,
+)
 from quarryline.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +78,44 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_near_dedup.near_vectors(read_table(spark, sf_dir, "embeddings"))
 
 
+def with_planted_period(docs: DataFrame) -> DataFrame:
+    """Of one document in ten, by the checksum of its id, the words from some place on repeat a period."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    g, n = F.floor(h / 10), F.size("words")
+    chosen = docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("words"), g.alias("g"))
+    placed = chosen.select("doc_id", "text", "words", "g", F.when(n > 0, F.col("g") % n).cast("int").alias("a"))
+    period = (1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8))).cast("int")
+    placed = placed.select("doc_id", "text", "words", "a", F.when(F.col("a").isNotNull(), period).alias("p"))
+    times = F.ceil((n - F.col("a")) / F.col("p")).cast("int")
+    repeated = F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), times))
+    planted = F.array_join(F.slice(F.concat(F.slice("words", F.lit(1), F.col("a")), repeated), F.lit(1), n), " ")
+    return placed.select("doc_id", F.when(F.col("a").isNotNull(), planted).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(with_planted_period(read_table(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    report = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("longest"), F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+    start, length, period = -F.col("longest.start"), F.col("longest.length"), -F.col("longest.period")
+    return report.select(
+        "doc_id",
+        "n_runs",
+        start.alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"),
+        "runs_sha256",
+        "collapsed_sha256",
+    )
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(read_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, label)
+
+
 QUERIES = (
     op1_decontamination,
     op2_bpe_round_trip,
@@ -75,6 +127,8 @@ QUERIES = (
     op8_url_filter,
     op9_secret_scan,
     op10_embedding_near_dedup,
+    op11_periodic_runs,
+    op13_hard_negatives,
 )
 
 
