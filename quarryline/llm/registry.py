@@ -14,6 +14,7 @@ from quarryline.llm import (
     embedding_near_dedup,
     hard_negatives,
     line_dedup,
+    lm_score,
     minhash_near_dedup,
     oracles,
     periodic_runs,
@@ -111,6 +112,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2, F.lit(True))
+    scored = lm_score.score_texts(read_table(spark, sf_dir, "documents"), train)
+    return scored.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.hard_negatives(read_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, label)
@@ -128,6 +135,7 @@ QUERIES = (
     op9_secret_scan,
     op10_embedding_near_dedup,
     op11_periodic_runs,
+    op12_lm_score,
     op13_hard_negatives,
 )
 

@@ -186,3 +186,117 @@ def kept_lines(docs, least=10):
     for doc, text in docs:
         report[doc] = text if text is None else "\n".join(x for x in text.split("\n") if len(key(x)) < least or first[key(x)] == doc)
     return report
+
+
+def runs(w, least=12):
+    """(start, length, period) of every run of a list of words, lag by lag."""
+    found = {}
+    for q in range(1, len(w) // 2 + 1):
+        i = 0
+        while i + q < len(w):
+            first = i
+            while i + q < len(w) and w[i] == w[i + q]:
+                i += 1
+            if i - first >= q and i - first + q >= least:
+                found.setdefault((first, i - first + q), q)
+            i += 1
+    return sorted(((s, n, q) for (s, n), q in found.items()), key=lambda r: (r[0], r[2]))
+
+
+def op11(docs):
+    import zlib
+
+    out = []
+    for doc, text in docs:
+        w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        if doc is not None and w and zlib.crc32(str(doc).encode()) % 10 == 0:
+            g, n = zlib.crc32(str(doc).encode()) // 10, len(w)
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            w = [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+        found = runs(w)
+        gone = {i for s, n, q in found for i in range(s + q, s + n)}
+        best = max(found, key=lambda r: (r[1], -r[0], -r[2]), default=None)
+        longest = (*best, 1000 * best[1] // best[2]) if best else (None,) * 4
+        out.append((doc, len(found), *longest, sha("".join(f"{s},{n},{q}\n" for s, n, q in found)), sha(" ".join(x for i, x in enumerate(w) if i not in gone))))
+    return out
+
+
+def op13(rows):
+    """Rows (vec_id, embedding, label); ids must be distinct."""
+    import math
+
+    whole = {}
+    for vec, v, label in rows:
+        if vec is not None and label is not None and v is not None and None not in v and all(map(math.isfinite, v)):
+            whole[vec] = ((label + 1) % 10 if vec % 7 == 0 else label, [math.floor(256 * x) for x in v])
+    out = []
+    for a in (i for i in whole if i % 50 == 0):
+        score = {i: sum(x * y for x, y in zip(whole[a][1], whole[i][1])) for i in whole if i != a}
+        by = sorted(score, key=lambda i: (-score[i], i))
+        for p in [i for i in by if whole[i][0] == whole[a][0]][:5]:
+            fit = [i for i in by if whole[i][0] != whole[a][0] and 50 * score[p] <= 100 * score[i] <= 95 * score[p]]
+            out += [(a, p, k + 1, i, score[p], score[i]) for k, i in enumerate(fit[:3])]
+    return out
+
+
+def lm(docs, train, deleted, order, start=0.5, rounds=200):
+    """(tokens, known, N, base, score) of each text by deleted interpolation, one token at a time."""
+    import math
+    from collections import Counter
+
+    texts = [[*re.findall(r"[^\x20\x09-\x0D]+", ascii_lower(text)), None] for _, text in docs]
+
+    def padded(w):
+        return ["<s>"] * (order - 1) + w
+
+    def count(which):
+        grams, contexts = Counter(), Counter()
+        for w, use in zip(texts, which):
+            w = padded(w) if use else []
+            for i in range(order - 1, len(w)):
+                for r in range(1, order + 1):
+                    grams[tuple(w[i - r + 1 : i + 1])] += 1
+                    contexts[(r, *w[i - r + 1 : i])] += 1
+        return grams, contexts, sum(1 for g in grams if len(g) == 1)
+
+    def events(w, upto, model, weights):
+        """(bucket, estimate, mixture below) of order ``upto`` at each token."""
+        grams, contexts, types = model
+        w = padded(w)
+        for i in range(order - 1, len(w)):
+            below = 1 / (types + 1)
+            for r in range(1, upto + 1):
+                n = contexts[(r, *w[i - r + 1 : i])]
+                f = grams[tuple(w[i - r + 1 : i + 1])] / max(n, 1)
+                last = (n.bit_length(), f, below)
+                x = weights[r].get(n.bit_length(), 0.0) if n else 0.0
+                below = x * f + (1 - x) * below
+            yield *last, below
+
+    kept, full = count([t and not d for t, d in zip(train, deleted)]), count(train)
+    weights = {}
+    for r in range(1, order + 1):
+        weights[r] = {}
+        seen = [e for w, t, d in zip(texts, train, deleted) if t and d for e in events(w, r, kept, weights)]
+        by = defaultdict(list)
+        for b, f, below, _ in seen:
+            if b:
+                by[b].append(f / below)
+        found = {}
+        for b, ratios in by.items():
+            x = start
+            for _ in range(rounds):
+                x = sum(x * q / (x * q + 1 - x) for q in ratios) / len(ratios)
+                x = min(max(x, 1e-6), 1 - 1e-6)
+            found[b] = x
+        for b in range(1, 65):
+            lower = [k for k in found if k <= b]
+            weights[r][b] = found[max(lower)] if lower else found[min(found)] if found else start
+    total = sum(n for g, n in full[0].items() if len(g) == 1)
+    out = []
+    for w in texts:
+        c = [full[0][(x,)] for x in w]
+        base = sum(math.log10((x + 1) / (total + full[2] + 1)) for x in c)
+        out.append((len(w), sum(x > 0 for x in c), total, base, sum(math.log10(e[3]) for e in events(w, order, full, weights))))
+    return out
