@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import io
+import tokenize
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -30,6 +32,33 @@ def standard_lines(text: Column) -> Column:
     return F.regexp_replace(F.array_join(lines, "\n"), r"^\n+|\n+$", "")
 
 
+def comment_free(code: str) -> str:
+    """Python source without its comments; ``#`` inside strings stays.  Source that can't be split
+    into tokens only loses the lines that begin with ``#``."""
+    lines = code.splitlines(keepends=True)
+    try:
+        comments = [t.start for t in tokenize.generate_tokens(io.StringIO(code).readline) if t.type == tokenize.COMMENT]
+    except (tokenize.TokenError, SyntaxError):
+        return "".join(line for line in lines if not line.lstrip().startswith("#"))
+    # a comment reaches to the end of its line, so a line has one at most; the tokenizer ends lines at \n only
+    lines = code.split("\n")
+    for row, column in comments:
+        lines[row - 1] = lines[row - 1][:column]
+    return "\n".join(lines)
+
+
+def without_comments(files: DataFrame, text: str) -> DataFrame:
+    """``files`` with the comments of the Python sources in a column left out, null as null."""
+
+    def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k = batch.schema.get_field_index(text)
+            plain = pa.array([None if x is None else comment_free(x) for x in batch.column(k).to_pylist()], batch.column(k).type)
+            yield pa.RecordBatch.from_arrays([plain if i == k else c for i, c in enumerate(batch.columns)], batch.schema.names)
+
+    return files.mapInArrow(strip, files.schema)
+
+
 def exact_groups(files: DataFrame, name: str, text: str) -> DataFrame:
     """(name, primary, size) of the artifacts that equal another one; the smallest name of each
     group is its primary.  Sizes and primaries are pre-aggregated by digest."""
@@ -57,9 +86,9 @@ def bands_of(body: str) -> np.ndarray:
     return out.view(np.int64)
 
 
-def near_pairs(files: DataFrame, name: str, text: str, threshold: float = SIMILAR) -> DataFrame:
+def near_pairs(files: DataFrame, name: str, text: str, threshold: float = SIMILAR, code: bool = False) -> DataFrame:
     """(a, b, similarity) of artifacts that aren't equal but similar: twice the matching characters over
-    all characters, white space left out.
+    all characters, white space left out, and with ``code`` the comments of Python sources.
 
     Texts that share a band of min-hashes are a bucket.  Its smallest name is compared with the others,
     and the links found make components.  In a bucket of several components the members outside the
@@ -67,7 +96,8 @@ def near_pairs(files: DataFrame, name: str, text: str, threshold: float = SIMILA
     bucket is lost that joins two components, and members of one group don't all meet one another.
     Texts whose lengths rule the similarity out are not compared.
     """
-    rows = files.select(F.col(name).alias("name"), F.regexp_replace(standard_lines(F.coalesce(F.col(text), F.lit(""))), r"(?U)\s+", "").alias("plain"))
+    rows = files.select(F.col(name).alias("name"), standard_lines(F.coalesce(F.col(text), F.lit(""))).alias("plain"))
+    rows = (without_comments(rows, "plain") if code else rows).withColumn("plain", F.regexp_replace("plain", r"(?U)\s+", ""))
     once = written(rows.groupBy("plain").agg(F.min("name").alias("name")).where("plain <> ''").withColumn("n", F.length("plain")), "artifacts")
     kind = dict(once.dtypes)["name"]
 

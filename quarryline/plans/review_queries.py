@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarryline.operators import artifacts as A
+from quarryline.operators import merging as M
 from quarryline.operators import overlap as V
 from quarryline.operators import profile as P
 from quarryline.operators import review as W
@@ -231,3 +233,35 @@ def split_restriction_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         one = V.restriction(data, ids, "event_id").select(F.lit(name).alias("part"), "known", "missing", "quantifiable")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+_MERGING = """SELECT event_id AS id, user_id AS file, user_id // 10 AS block, 'R' || (event_id % 3) AS rule_id, event_type AS kind, event_id % 3 AS tail FROM events"""
+
+
+@query(f"""WITH f AS ({_MERGING}), g AS (SELECT DISTINCT block, MIN(file) OVER (PARTITION BY block) AS first_file, block % 2 = 0 AS exact FROM f WHERE block % 5 > 0),
+s AS (SELECT f.*, g.first_file, COALESCE(g.exact, FALSE) AS exact, CASE WHEN g.block IS NULL THEN 'alone' || id WHEN exact THEN kind || tail ELSE kind END AS means FROM f LEFT JOIN g USING (block)),
+r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY block, rule_id, means, file ORDER BY id) AS turn FROM s)
+SELECT MIN_BY(id, (file, id)) AS id, CASE WHEN exact THEN first_file ELSE MIN(file) END AS file, rule_id, COUNT(*) AS n, LIST_SORT(LIST(DISTINCT file)) AS files FROM r GROUP BY block, rule_id, means, turn, exact, first_file""")
+def similar_findings_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as files, ten of them copies of one another, exact and near ones by turns; what an event
+    says is similar where its type is the same, and equal where its tail is too."""
+    key = F.col("event_id")
+    events = table(spark, sf_dir, "events")
+    block = F.floor(F.col("user_id") / 10)
+    said = F.concat(F.lit("f["), F.repeat("event_type", 8), F.lit("] "), F.element_at(F.array(*map(F.lit, ("", "a", "B b"))), (key % 3 + 1).cast("int")))
+    found = events.select(key.alias("id"), F.col("user_id").alias("file"), key.alias("position"), F.concat(F.lit("R"), (key % 3).cast("string")).alias("rule_id"), F.col("event_type").alias("type"), F.concat(F.lit("cause"), key.cast("string"), F.lit(":7")).alias("root"), said.alias("snippet"), F.lit(None).cast("int").alias("cell"))
+    groups = events.where(block % 5 > 0).groupBy(block.alias("block")).agg(F.min("user_id").alias("primary"))
+    named = events.select(F.col("user_id").alias("name"), block.alias("block")).distinct().join(groups, "block").select("name", "primary", (F.col("block") % 2 == 0).alias("exact"))
+    return M.merged_by_similarity(found, named).select("id", "file", "rule_id", "n", "files")
+
+
+@query(r"""SELECT p_partkey, sha256('x=''#' || p_name || '''y=' || REPEAT('"', 3) || 'a#' || p_brand || '"b\"#' || REPEAT('"', 3) || 'z=f(1,' || p_size || ')' || CASE p_partkey % 3 WHEN 0 THEN 'broken=''a#nocomment' WHEN 1 THEN 'print(r''\#'',x)' ELSE 'w=x' END) AS plain_sha256
+FROM (SELECT p_partkey, REPLACE(p_name, ' ', '') AS p_name, p_brand, p_size FROM part)""")
+def comment_free_code_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as sources, with comments, strings that look like comments, and some that don't parse."""
+    name, brand, size = F.col("p_name"), F.col("p_brand"), F.col("p_size").cast("string")
+    last = F.when(F.col("p_partkey") % 3 == 0, "broken = 'a # no comment\n").when(F.col("p_partkey") % 3 == 1, "print(r'\\#', x)  # the last\n").otherwise("w = x#\n")
+    note = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("  # "), name, F.lit("'s\n"))).otherwise(F.concat(F.lit("# it's "), brand, F.lit("\n")))
+    code = F.concat(note, F.lit("x = '# "), name, F.lit("'\ny = \"\"\"a#"), brand, F.lit("\n\"b\\\"#\"\"\"\nz = f(1,\n  # "), name, F.lit("\n  "), size, F.lit(")\n"), last)
+    plain = A.without_comments(table(spark, sf_dir, "part").select("p_partkey", code.alias("code")), "code")
+    return plain.select("p_partkey", F.sha2(F.regexp_replace("code", r"\s+", "").cast("binary"), 256).alias("plain_sha256"))
