@@ -49,6 +49,18 @@ def is_missing_token(stripped: Column) -> Column:
     return F.lower(stripped).isin(*MISSING_TOKENS)
 
 
+def case_fold(text: Column) -> Column:
+    """The text with full case folding: ß as ss, all sigmas as σ, ligatures as their letters.
+
+    Upper case spells out what lower case keeps apart; before it ẞ becomes ß, and dotless ı, which
+    has no case to fold, is put aside.  What stands between the two also keeps the optimizer from
+    taking them for one.
+    """
+    aside = "\uffff"
+    upper = F.upper(F.translate(F.lower(text), "ı", aside))
+    return F.translate(F.lower(F.translate(upper, aside, "ı")), "ς", "σ")
+
+
 def corrected_skewness(x: Column) -> Column:
     """Bias-corrected sample skewness, null for under three values or no spread."""
     n = F.count(x).cast("double")

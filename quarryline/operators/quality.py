@@ -91,6 +91,28 @@ def representations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return found.groupBy("column").agg(F.array_join(F.array_sort(F.collect_list("kind")), ",").alias("kinds"), F.sum("n").alias("n"))
 
 
+#: The kinds of values in a VARIANT column, by the beginnings of their types.
+VARIANT_KINDS = {"BIGINT": "int", "DECIMAL": "float", "DOUBLE": "float", "FLOAT": "float", "BOOLEAN": "bool", "STRING": "str", "OBJECT": "dict", "ARRAY": "list", "DATE": "date", "TIMESTAMP": "datetime", "BINARY": "bytes"}
+
+
+def variant_columns(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema if f.dataType.typeName() == "variant"]
+
+
+def value_types(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, types, n): the different types of the values of VARIANT columns, sorted, and how many
+    values there are; nulls, and nulls of JSON, are no values.  The type is each value's own, not
+    what its text may spell."""
+
+    def kind(c: str):  # noqa: ANN202
+        schema = F.schema_of_variant(c)
+        return F.when(F.col(c).isNotNull() & ~F.is_variant_null(c), F.coalesce(*(F.when(schema.startswith(t), k) for t, k in VARIANT_KINDS.items()), schema))
+
+    cells = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), kind(c).alias("kind")) for c in columns)))
+    found = df.select(cells.alias("c")).select("c.*").where("kind is not null").groupBy("column", "kind").agg(F.count("*").alias("n"))
+    return found.groupBy("column").agg(F.sort_array(F.collect_list("kind")).alias("types"), F.sum("n").alias("n"))
+
+
 def stripped_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Value counts of the stripped texts."""
     return P.value_counts(df.select(*(V.strip(F.col(c).cast("string")).alias(c) for c in columns)), columns)
@@ -103,7 +125,7 @@ def missing_tokens(counts: DataFrame) -> DataFrame:
 
 def case_variants(counts: DataFrame) -> DataFrame:
     """(column, folded, spellings): texts that occur in several spellings of upper and lower case."""
-    return counts.groupBy("column", F.lower("value").alias("folded")).agg(F.count("*").alias("spellings")).where("spellings > 1")
+    return counts.groupBy("column", V.case_fold(F.col("value")).alias("folded")).agg(F.count("*").alias("spellings")).where("spellings > 1")
 
 
 def rare_values(counts: DataFrame, rows: int, share: float = RARE_SHARE) -> DataFrame:
@@ -143,10 +165,14 @@ def audit(df: DataFrame, constraints: Mapping[str, Mapping] | None = None, flow:
     """The findings of all rules over one table.
 
     ``constraints``: column -> {min, max, non_negative, allowed_values or categories}.  ``row_id``
-    names a column of 0-based positions, which is itself not audited.
+    names a column of 0-based positions, which is itself not audited.  The values of VARIANT columns
+    may be of mixed types, which is a finding; all other rules take them as texts.
     """
     spark = df.sparkSession
     data = df.drop(row_id) if row_id else df
+    variants = variant_columns(data)
+    types = value_types(data, variants).where(F.size("types") > 1).collect() if variants else []  # one row a column
+    data = data.withColumns({c: F.col(c).cast("string") for c in variants}) if variants else data
     constraints = {c: ({"min": 0} if r.get("non_negative") and r.get("min") is None else {}) | dict(r) for c, r in (constraints or {}).items()}
     out: list[tuple] = []
     rows = data.count()
@@ -156,6 +182,8 @@ def audit(df: DataFrame, constraints: Mapping[str, Mapping] | None = None, flow:
         out.append(_finding("DQ_VERY_SMALL_DATASET", "Structure", None, "Low", "High", rows, len(data.columns) / rows))
     out += [_finding("DQ_DUPLICATE_COLUMN_NAME", "Structure", name, "Medium", "High", n) for name, n in header_duplicates(header or [])]
 
+    for r in types:
+        out.append(_finding("DQ_MIXED_PYTHON_TYPES", "Type Consistency", r["column"], "Medium", "High", len(r["types"]), evidence=",".join(r["types"])))
     numeric = P.numeric_columns(data)
     booleans = {f.name for f in data.schema if f.dataType.typeName() == "boolean"}
     texts = [c for c in data.columns if c not in set(numeric) | booleans]

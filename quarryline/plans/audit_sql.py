@@ -25,9 +25,10 @@ def _by(rate: str, medium: float, high: float | None = None) -> str:
 _INFO = {"action": "'Informational'", "impact": "0.0"}
 
 
-def audit_sql(source: str, numeric: Sequence[str], texts: Sequence[str], allowed: Mapping[str, Sequence[str]] | None = None, bounds: Mapping[str, tuple[float | None, float | None]] | None = None) -> str:
+def audit_sql(source: str, numeric: Sequence[str], texts: Sequence[str], allowed: Mapping[str, Sequence[str]] | None = None, bounds: Mapping[str, tuple[float | None, float | None]] | None = None, mixed: Mapping[str, str] | None = None) -> str:
     """All findings of the table that ``source`` selects, but for their evidence; ``numeric`` and
-    ``texts`` are its columns."""
+    ``texts`` are its columns.  ``mixed`` has an expression of each value's type for columns of texts
+    that stand for values of any type."""
     columns = [*numeric, *texts]
     each = lambda form, of: " UNION ALL ".join(form.format(c=c) for c in of)
     no_facts = "SELECT NULL AS c, 0 AS n, 0 AS k, 0.0 AS low, false AS whole, false AS zero_one, 0.0 AS skew, 0.0 AS q1, 0.0 AS q2, 0.0 AS q3, 0 AS negative LIMIT 0"
@@ -102,6 +103,8 @@ WHEN k <= 10 AND k / n <= 0.05 THEN 'low-cardinality numeric categorical' WHEN w
     for c, values in (allowed or {}).items():
         quoted = ", ".join(f"'{x}'" for x in values)
         parts.append(_rule("DQ_CONSTRAINT_VIOLATION", "Invalid Values", f"(SELECT '{c}' AS c, COUNT(*) FILTER ({c} NOT IN ({quoted})) AS k, COUNT({c}) AS n FROM t)", "k > 0", "CASE WHEN k / n >= 0.10 THEN 'High' ELSE 'Medium' END", "k", "k / n", action="'Fix'", nature="Rule Violation"))
+    for c, kind in (mixed or {}).items():
+        parts.append(_rule("DQ_MIXED_PYTHON_TYPES", "Type Consistency", f"(SELECT '{c}' AS c, COUNT(DISTINCT {kind}) AS k FROM t WHERE {c} IS NOT NULL)", "k > 1", "'Medium'", "k", "NULL::DOUBLE"))
     for of in (numeric, texts):
         for a, b in combinations(of, 2):
             parts.append(_rule("DQ_IDENTICAL_COLUMNS", "Feature Quality", f"(SELECT '{a} / {b}' AS c, COUNT(*) AS n FROM t HAVING TYPEOF(ANY_VALUE({a})) = TYPEOF(ANY_VALUE({b})) AND COUNT(*) FILTER ({a} IS DISTINCT FROM {b}) = 0)", "true", "'Medium'", "n", "1.0"))

@@ -206,6 +206,27 @@ def audit_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(Q.audit(odd))
 
 
+#: Events whose values are of several types, as texts, beside those of one type.
+_VARIANT_SQL = """SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'text ' || (event_id % 4) WHEN 1 THEN 'true' WHEN 2 THEN '[1]' WHEN 3 THEN NULL ELSE CAST(user_id AS VARCHAR) END AS anything, CAST(user_id AS VARCHAR) AS whole,
+CASE event_id % 6 WHEN 0 THEN 'str' WHEN 1 THEN 'bool' WHEN 2 THEN 'list' ELSE 'int' END AS kind FROM events"""
+
+
+@query(audit_sql(_VARIANT_SQL, ["event_id"], ["anything", "whole"], mixed={"anything": "kind"}))
+def audit_variants_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rules over a table with columns of any type, as JSON gives them."""
+    key, user = F.col("event_id"), F.col("user_id").cast("string")
+    anything = F.when(key % 6 == 0, F.concat(F.lit('"text '), (key % 4).cast("string"), F.lit('"'))).when(key % 6 == 1, "true").when(key % 6 == 2, "[1]").when(key % 6 == 3, F.when(key % 4 == 1, "null")).otherwise(user)
+    return _shown(Q.audit(table(spark, sf_dir, "events").select("event_id", F.parse_json(anything).alias("anything"), F.parse_json(user).alias("whole"))))
+
+
+@query("""WITH t AS (SELECT CASE p_partkey % 8 WHEN 0 THEN 'Straße ' WHEN 1 THEN 'STRASSE ' WHEN 2 THEN 'strasse ' WHEN 3 THEN 'ΟΔΟΣ ' WHEN 4 THEN 'οδος ' WHEN 5 THEN 'ﬁn ' WHEN 6 THEN 'Fin ' ELSE 'ısı ' END || p_brand AS x, CASE p_partkey % 8 WHEN 0 THEN 'strasse ' WHEN 1 THEN 'strasse ' WHEN 2 THEN 'strasse ' WHEN 3 THEN 'οδοσ ' WHEN 4 THEN 'οδοσ ' WHEN 5 THEN 'fin ' WHEN 6 THEN 'fin ' ELSE 'ısı ' END || LOWER(p_brand) AS folded FROM part)
+SELECT 'name' AS "column", folded, COUNT(DISTINCT x) AS spellings FROM t GROUP BY folded HAVING COUNT(DISTINCT x) > 1""")
+def folded_variants_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spellings that only full case folding takes for one."""
+    words = F.element_at(F.array(*map(F.lit, ("Straße ", "STRASSE ", "strasse ", "ΟΔΟΣ ", "οδος ", "ﬁn ", "Fin ", "ısı "))), (F.col("p_partkey") % 8 + 1).cast("int"))
+    return Q.case_variants(Q.stripped_counts(table(spark, sf_dir, "part").select(F.concat(words, "p_brand").alias("name")), ["name"]))
+
+
 @query(f"""WITH t AS (SELECT 'nation' AS "column", nation AS x FROM ({_DIRTY_SQL}) UNION ALL SELECT 'flag', flag FROM ({_DIRTY_SQL}) UNION ALL SELECT 'segment', REGEXP_REPLACE(segment, '^\\s+|\\s+$', '', 'g') FROM ({_DIRTY_SQL}))
 SELECT "column", STRING_AGG(DISTINCT kind, ',' ORDER BY kind) AS kinds, COUNT(*) AS n FROM (SELECT "column", CASE WHEN REGEXP_FULL_MATCH(x, '[+-]?\\d+') THEN 'whole number' ELSE 'text' END AS kind FROM t WHERE x <> '') GROUP BY 1""")
 def representations_customer(spark: SparkSession, sf_dir: str) -> DataFrame:

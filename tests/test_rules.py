@@ -194,3 +194,30 @@ def test_hash_split_does_not_depend_on_partitions(spark):
     df = spark.range(2000)
     a, b = (sorted(map(tuple, V.hash_split(d, "id", 0.2).collect())) for d in (df.repartition(3), df.repartition(11)))
     assert a == b and 300 < sum(p == "test" for _, p in a) < 500
+
+
+def test_case_folding_equals_that_of_python_for_every_character(spark):
+    import unicodedata
+
+    from quarryline.functions import values as V
+
+    chars = [chr(i) for i in range(1, 0x30000) if not 0xD800 <= i < 0xE000 and unicodedata.category(chr(i)) != "Cn"]
+    rows = [(f"a{c}b",) for c in chars] + [("",), (None,), ("Weiß ẞ ΑΣ ΑΣα İı ﬃ",)]
+    got = {r.x: r.f for r in spark.createDataFrame(rows, "x string").select("x", V.case_fold(F.col("x")).alias("f")).collect()}
+    # folded texts may be spelled otherwise, but the same texts have to be one
+    ours, pythons = {}, {}
+    for x, f in got.items():
+        if x is not None:
+            ours.setdefault(f, set()).add(x)
+            pythons.setdefault(x.casefold(), set()).add(x)
+    assert got[None] is None and got["Weiß ẞ ΑΣ ΑΣα İı ﬃ"] == "weiss ss ασ ασα i̇ı ffi"
+    assert {frozenset(v) for v in ours.values()} == {frozenset(v) for v in pythons.values()}
+
+
+def test_mixed_types_of_variants(spark):
+    rows = [(1, "1", "1"), (2, '"a"', "2"), (3, "null", "null"), (4, None, None), (5, "1.5", "3"), (6, '{"k": [1]}', "4"), (7, "true", "5")]
+    df = spark.createDataFrame(rows, "i int, j string, k string").select("i", F.parse_json("j").alias("any"), F.parse_json("k").alias("one"))
+    assert {r.column: (list(r.types), r.n) for r in Q.value_types(df, ["any", "one"]).collect()} == {"any": (["bool", "dict", "float", "int", "str"], 5), "one": (["int"], 5)}
+    found = {(r.rule_id, r.column): r for r in Q.audit(df).collect()}
+    assert found["DQ_MIXED_PYTHON_TYPES", "any"].detected_count == 5 and ("DQ_MIXED_PYTHON_TYPES", "one") not in found
+    assert found["DQ_MISSING_VALUES", "any"].detected_count == 2
