@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quarryline.operators import artifacts as A
 from quarryline.operators import merging as M
 from quarryline.operators import overlap as V
+from quarryline.operators import packing as K
 from quarryline.operators import profile as P
 from quarryline.operators import review as W
 from quarryline.plans.findings_queries import _ACTIVE, _FINDINGS, findings
@@ -265,3 +266,17 @@ def comment_free_code_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = F.concat(note, F.lit("x = '# "), name, F.lit("'\ny = \"\"\"a#"), brand, F.lit("\n\"b\\\"#\"\"\"\nz = f(1,\n  # "), name, F.lit("\n  "), size, F.lit(")\n"), last)
     plain = A.without_comments(table(spark, sf_dir, "part").select("p_partkey", code.alias("code")), "code")
     return plain.select("p_partkey", F.sha2(F.regexp_replace("code", r"\s+", "").cast("binary"), 256).alias("plain_sha256"))
+
+
+_FITS = " + ".join(f"CASE WHEN pos + {k} < n AND SUM(size) OVER (ORDER BY pos ROWS BETWEEN CURRENT ROW AND {k} FOLLOWING) <= 4000 THEN 1 ELSE 0 END" for k in range(1, 8))
+
+
+@query(f"""WITH RECURSIVE o AS (SELECT event_id AS id, 100 + (event_id * 7919) % 1301 AS size, ROW_NUMBER() OVER (ORDER BY event_type <> 'error', event_id) - 1 AS pos, COUNT(*) OVER () AS n FROM events),
+e AS (SELECT pos, pos + 1 + {_FITS} AS until FROM o),
+b AS (SELECT 0::BIGINT AS batch, pos, until FROM e WHERE pos = 0 UNION ALL SELECT b.batch + 1, e.pos, e.until FROM b JOIN e ON e.pos = b.until)
+SELECT o.id, b.batch, (o.pos - b.pos)::BIGINT AS place FROM o ASOF JOIN b ON o.pos >= b.pos""")
+def packed_findings_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as findings, errors first, in batches of eight and of a size of 4000 at most."""
+    key = F.col("event_id")
+    found = table(spark, sf_dir, "events").select(key.alias("id"), (100 + (key * 7919) % 1301).alias("size"), "event_type")
+    return K.pack(found, 8, 4000, F.col("event_type") == "error")
