@@ -16,6 +16,7 @@ from quarryline.operators import review as W
 from quarryline.plans.findings_queries import _ACTIVE, _FINDINGS, findings
 from quarryline.plans.registry import query, table
 from quarryline.sources import files as S
+from quarryline.sources.quarantine import scan_with_refusals
 from quarryline.sources.scratch import scratch_path
 
 
@@ -280,3 +281,20 @@ def packed_findings_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("event_id")
     found = table(spark, sf_dir, "events").select(key.alias("id"), (100 + (key * 7919) % 1301).alias("size"), "event_type")
     return K.pack(found, 8, 4000, F.col("event_type") == "error")
+
+
+@query("""WITH c AS (SELECT c_custkey AS k, c_custkey // 50 AS part FROM customer), f AS (SELECT part, CASE part % 5 WHEN 3 THEN 'undecodable' WHEN 4 THEN 'other_header' END AS refused FROM (SELECT DISTINCT part FROM c)),
+r AS (SELECT CASE WHEN k % 13 = 0 THEN 'too_many_fields' WHEN k % 17 = 0 THEN 'too_few_fields' ELSE 'good' END AS reason, COUNT(*) AS n FROM c JOIN f USING (part) WHERE refused IS NULL GROUP BY 1)
+SELECT * FROM r UNION ALL SELECT refused, COUNT(*) FROM f WHERE refused IS NOT NULL GROUP BY 1""")
+def refused_rows_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as CSV files of fifty rows, some of which can't be decoded or have another header,
+    and some rows of which have a field too many or too few."""
+    path = f"{scratch_path(spark)}/csv-{uuid.uuid4().hex}"
+    key, part = F.col("c_custkey"), F.floor(F.col("c_custkey") / 50)
+    line = F.concat_ws(",", key.cast("string"), F.concat(F.lit('"'), "c_name", F.lit(', Ltd"')), F.when(key % 13 == 0, F.lit("a,b")).when(key % 17 == 0, F.lit(None)).otherwise("a"))
+    header = F.when(F.col("part") % 5 == 4, "id,title,kind\n").otherwise("id,name,kind\n")
+    odd = F.when(F.col("part") % 5 == 3, F.lit(b"\n1,\xff\x80,a").cast("string")).otherwise("")
+    files = table(spark, sf_dir, "customer").groupBy(part.alias("part")).agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("lines"))
+    files.select("part", F.concat(header, "lines", odd).alias("text")).write.partitionBy("part").text(path)
+    rows, refused = scan_with_refusals(spark, path, short_rows=True)
+    return rows.select(F.lit("good").alias("reason")).unionByName(refused.select("reason")).groupBy("reason").agg(F.count("*").alias("n"))

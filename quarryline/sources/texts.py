@@ -13,6 +13,17 @@ from pyspark.sql import functions as F
 from quarryline.sources.scratch import scratch_path
 
 
+def first_look(spark: SparkSession, path: str) -> DataFrame:
+    """(file, header, utf8, quoted_lines): the first line of each file, whether all its lines are
+    UTF-8, and whether one holds an odd number of quotes, as where a quoted field goes on.  Files are
+    read in splits, so they may have any size."""
+    lines = spark.read.option("recursiveFileLookup", "true").text(path)
+    lines = lines.select(F.col("_metadata.file_path").alias("file"), "_metadata.file_block_start", "value", F.monotonically_increasing_id().alias("at"))
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    first = F.min_by(F.regexp_replace("value", "^\ufeff", ""), F.struct("file_block_start", "at"))
+    return lines.groupBy("file").agg(first.alias("header"), F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.bool_or(quotes % 2 == 1).alias("quoted_lines"))
+
+
 def decodable(spark: SparkSession, path: str) -> DataFrame:
     """(path, encoding): the first of UTF-8 and GB18030 that each file's bytes decode in, null for
     neither.  A file is decoded piece by piece on the executor that reads it."""
@@ -51,7 +62,11 @@ def text_files(spark: SparkSession, path: str) -> DataFrame:
 
 def in_utf8(spark: SparkSession, path: str) -> str:
     """The files below a folder, in the shared folder and in UTF-8, one for each; where they are in
-    UTF-8 already, the folder itself.  A file that is neither is an error."""
+    UTF-8 already, the folder itself.  A file that is neither is an error.  Files in UTF-8 may have any
+    size; one that has to be decoded, 2 GB at most."""
+    lines = spark.read.option("recursiveFileLookup", "true").text(path)
+    if lines.where(~F.is_valid_utf8("value")).isEmpty():
+        return path
     found = {r["encoding"] for r in decodable(spark, path).select("encoding").distinct().collect()}  # three at most
     if None in found:
         raise ValueError(f"{path} is neither UTF-8 nor GB18030")
