@@ -29,7 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from quarryline.plans import findings_queries, profile_queries, quality_queries, replay_queries, review_queries, split_queries  # noqa: F401
+    from quarryline.plans import findings_queries, profile_queries, projection_queries, quality_queries, replay_queries, review_queries, split_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
