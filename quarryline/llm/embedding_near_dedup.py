@@ -14,7 +14,7 @@ cosine shares none of the tables with a probability of LOST at most, and that un
 meet.  The work of a label then grows far slower than the square of its size.
 
 Groups are cut into blocks of bounded size, a task compares two blocks, and it returns only each
-vector's number of links and a spanning forest of them, never all pairs.  A pair that shares several
+vector's number of links and the components among its vectors, never all pairs.  A pair that shares several
 tables counts in the first of them.  Equal vectors are one class throughout.
 """
 
@@ -42,8 +42,11 @@ MISS = 1e-6
 BLOCK = 1000
 #: Width of a cell, in standard deviations of the projected difference of a pair at the least cosine.
 CELL = 6.0
-#: Probability with which a pair at the least cosine may share none of its label's tables.
-LOST = 1e-3
+#: Probability with which a pair at the least cosine may share none of its label's tables; as small
+#: as that of the count, so that a large label loses no more than a small one.
+LOST = 1e-6
+#: Bytes of vectors, or cells, that are copied at once to verify pairs.
+SLICE = 16 << 20
 #: Projections that a table has at most, and comparisons that take as long as dealing out a copy.
 DEEPEST, COPY = 32, 1000
 
@@ -119,62 +122,85 @@ def collisions(a: np.ndarray, b: np.ndarray, half: float) -> np.ndarray:
     return counts
 
 
-def linked(a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of the pairs with cosine >= least, by counting and verification."""
-    unit_a, unit_b = a / np.linalg.norm(a, axis=1, keepdims=True), b / np.linalg.norm(b, axis=1, keepdims=True)
-    along = directions(a.shape[1])
-    half = WINDOW * math.sqrt(2 - 2 * least)
-    i, j = np.nonzero(collisions(unit_a @ along, unit_b @ along, half) >= least_count())
-    cosine = np.einsum("ij,ij->i", a[i], b[j]) / (np.linalg.norm(a[i], axis=1) * np.linalg.norm(b[j], axis=1))
-    return i[cosine >= least], j[cosine >= least]
-
-
-def _forest(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    up: dict[int, int] = {}
-    out = []
-    for a, b in links:
-        x, y = a, b
-        while up.get(x, x) != x:
-            up[x] = up.get(up[x], up[x])
-            x = up[x]
-        while up.get(y, y) != y:
-            up[y] = up.get(up[y], up[y])
-            y = up[y]
-        if x != y:
-            up[max(x, y)] = min(x, y)
-            out.append((a, b))
-    return out
-
-
-def _compare(table: int, depth: int, tables: int, rows: list[tuple[int, int, int, bytes]], least: float) -> Iterator[tuple[int, int | None, int | None]]:
+def _slices(pairs: int, width: int) -> Iterator[slice]:
+    """The pairs in slices for which ``width`` numbers a pair take SLICE bytes at most."""
+    step = max(1, SLICE // (8 * max(1, width)))
+    for at in range(0, pairs, step):
+        yield slice(at, at + step)
+
+
+def linked(a: np.ndarray, b: np.ndarray, least: float, exact: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of the pairs with cosine >= least, by counting and verification; ``exact`` verifies
+    all pairs.  However many pairs are near, only a slice of their vectors is copied at once."""
+    size_a, size_b = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
+    if exact:
+        i, j = np.divmod(np.arange(len(a) * len(b)), len(b))
+    else:
+        along = directions(a.shape[1])
+        half = WINDOW * math.sqrt(2 - 2 * least)
+        i, j = np.nonzero(collisions(a / size_a[:, None] @ along, b / size_b[:, None] @ along, half) >= least_count())
+    near = np.zeros(len(i), bool)
+    for part in _slices(len(i), 2 * a.shape[1]):
+        x, y = i[part], j[part]
+        near[part] = np.einsum("ij,ij->i", a[x], b[y]) / (size_a[x] * size_b[y]) >= least
+    return i[near], j[near]
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root): each node of the links but the roots with the smallest node that it reaches."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[x], root[y])
+        new = root.copy()
+        np.minimum.at(new, root[x], low)
+        np.minimum.at(new, root[y], low)
+        while (new != (up := new[new])).any():
+            new = up
+        if (new == root).all():
+            break
+        root = new
+    other = root != np.arange(len(nodes))
+    return nodes[other], nodes[root[other]]
+
+
+def _compare(table: int, depth: int, tables: int, rows: list[tuple[int, int, int, bytes]], least: float, exact: bool) -> Iterator[tuple[int, int | None, int | None]]:
     """Rows (side, rep, members, vector) of one or two blocks of a table's cell -> (rep, None,
-    linked vectors) and (rep, rep, None) of a spanning forest, for pairs that meet here first."""
+    linked vectors) and (rep, rep, None) of a forest with their components, for pairs that meet here first."""
     sides = [[r for r in rows if r[0] == s] for s in (0, 1)]
     own = not sides[1]
     left, right = sides[0], sides[0] if own else sides[1]
     if not left or not right:
         return
     a, b = (np.array([np.frombuffer(r[3], np.float64) for r in side]) for side in (left, right))
-    i, j = linked(a, b, least)
+    i, j = linked(a, b, least, exact)
     if own:
         i, j = i[i < j], j[i < j]
     if table and len(i):
         at, other = np.unique(i), np.unique(j)
         cells = [cells_of(x / np.linalg.norm(x, axis=1, keepdims=True), depth, tables, least)[:, :table] for x in (a[at], b[other])]
-        first = np.array([not (cells[0][p] == cells[1][q]).any() for p, q in zip(np.searchsorted(at, i), np.searchsorted(other, j), strict=True)], bool)
+        p, q, first = np.searchsorted(at, i), np.searchsorted(other, j), np.zeros(len(i), bool)
+        for part in _slices(len(i), 2 * table):
+            first[part] = (cells[0][p[part]] != cells[1][q[part]]).all(axis=1)
         i, j = i[first], j[first]
-    for at, other, who, whom in ((i, j, left, right), (j, i, right, left)):
+    reps = [np.array([r[1] for r in side], np.int64) for side in (left, right)]
+    members = [np.array([r[2] for r in side], np.float64) for side in (left, right)]
+    for at, other, who, whom in ((i, j, 0, 1), (j, i, 1, 0)):
         if len(at):
-            total = np.bincount(at, np.array([whom[k][2] for k in other], np.float64), len(who))
+            total = np.bincount(at, members[whom][other], len(reps[who]))
             for k in np.flatnonzero(total):
-                yield who[k][1], None, int(total[k])
-    for x, y in _forest([(left[x][1], right[y][1]) for x, y in zip(i.tolist(), j.tolist(), strict=True)]):
+                yield int(reps[who][k]), None, int(total[k])
+    for x, y in zip(*(z.tolist() for z in _forest(reps[0][i], reps[1][j])), strict=True):
         yield x, y, None
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", exact: bool = False) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors``.
 
+    With ``exact`` all vectors of a label are compared, in blocks, and every pair is verified: no link
+    is lost, at the price of work with the square of a label.
+
     Rows are compared when their labels are equal and not null and their vectors as long; they are
     linked at cosine >= ``least``, in double precision.  A null or zero vector, or one with a null
     or non-finite component, links with nothing; so does a row with a null id, whose component is
@@ -204,7 +230,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id"
 
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [plan(n, least) for n in batch.column(2).to_pylist()]
+            found = [(0, 1) if exact else plan(n, least) for n in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([f[k] for f in found], pa.int32()) for k in (0, 1))], ["label", "dim", "depth", "tables"])
 
     plans = materialise(classes.groupBy("label", "dim").agg(F.count("*").alias("n")).mapInArrow(sized, "label long, dim int, depth int, tables int"), "plans")
@@ -244,11 +270,11 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id"
             for row in zip(*(batch.column(k).to_pylist() for k in range(12)), strict=True):
                 if row[:8] != current:
                     if held:
-                        yield out(list(_compare(current[2], *current[6:], held, least)))
+                        yield out(list(_compare(current[2], *current[6:], held, least, exact)))
                     current, held = row[:8], []
                 held.append(row[8:])
         if held:
-            yield out(list(_compare(current[2], *current[6:], held, least)))
+            yield out(list(_compare(current[2], *current[6:], held, least, exact)))
 
     found = materialise(dealt.mapInArrow(compare, "a long, b long, links long"), "links")
     component = connected_components(found.where("b is not null").select("a", "b"))

@@ -352,3 +352,48 @@ def test_a_passage_whose_min_hashes_have_smaller_holders_elsewhere(spark):
     got = in_classes(spark.createDataFrame(rows, "doc_id long, text string"))
     assert set(got) == {1000, 1001, 1002}
     assert {(r.class_id, r.passages, r.n_repeated) for r in got.values()} == {(1000, "60:120", 60)}
+
+
+@pytest.mark.parametrize("dim", [64, 256])
+def test_vectors_that_are_all_near_one_another_take_bounded_memory(spark, dim):
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(20)
+    near = rng.normal(size=dim) + rng.normal(size=(1000, dim)) * 0.1
+    tracemalloc.start()
+    i, j = embedding_near_dedup.linked(near, near, 0.93)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    unit = near / np.linalg.norm(near, axis=1, keepdims=True)
+    assert len(i) == (unit @ unit.T >= 0.93).sum() == 1_000_000 and peak < 150 << 20
+    if dim == 64:
+        rows = [(k, (near[k % 1000] * (1 + 1e-3 * k)).tolist(), 1) for k in range(2000)]
+        got = embedding_near_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+        assert {(r.n_links, r.component_id) for r in got} == {(1999, 0)}
+
+
+def test_the_exact_way_loses_nothing(spark, monkeypatch):
+    """Where counting asks for more collisions than there are projections, all are still found."""
+    import numpy as np
+
+    df = spark.createDataFrame(vectors(), "vec_id long, embedding array<double>, label int")
+    assert ordered(embedding_near_dedup.near_vectors(df, exact=True)) == sorted(brute.op10(vectors()))
+    monkeypatch.setattr(embedding_near_dedup, "least_count", lambda: 65)
+    x = np.random.default_rng(3).normal(size=(40, 5))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    i, j = embedding_near_dedup.linked(x, x, 0.93, exact=True)
+    assert set(zip(i.tolist(), j.tolist())) == set(zip(*(z.tolist() for z in np.nonzero(unit @ unit.T >= 0.93))))
+    assert not len(embedding_near_dedup.linked(x, x, 0.93)[0])
+
+
+def test_components_of_links():
+    import numpy as np
+
+    a, b = np.array([5, 9, 3, 8, 20, 7, 7]), np.array([9, 3, 11, 8, 21, 7, 6])
+    node, root = embedding_near_dedup._forest(a, b)
+    assert dict(zip(node.tolist(), root.tolist())) == {5: 3, 9: 3, 11: 3, 21: 20, 7: 6}
+    chain = np.arange(1, 5000)
+    node, root = embedding_near_dedup._forest(chain, chain - 1)
+    assert len(node) == 4999 and not root.any()
