@@ -10,6 +10,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,18 +53,22 @@ def delete_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-_SCOPES: list[list[str]] = []
+#: The innermost block's tables; each thread of a driver has its own.
+_SCOPE: ContextVar[list[str] | None] = ContextVar("temporary_tables", default=None)
 
 
 @contextmanager
 def temporary_tables(spark: SparkSession) -> Iterator[None]:
     """Deletes, at its end, the tables that were written inside, but for those written with
-    ``keep``.  What leaves the block may depend on kept tables only."""
-    _SCOPES.append([])
+    ``keep``.  What leaves the block may depend on kept tables only.  Blocks may be in one another,
+    and several threads of a driver may each have theirs."""
+    written: list[str] = []
+    outer = _SCOPE.set(written)
     try:
         yield
     finally:
-        for path in _SCOPES.pop():
+        _SCOPE.reset(outer)
+        for path in written:
             delete_path(spark, path)
 
 
@@ -72,8 +77,9 @@ def materialise(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     the loss of any executor."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    if _SCOPES and not keep:
-        _SCOPES[-1].append(path)
+    scope = _SCOPE.get()
+    if scope is not None and not keep:
+        scope.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

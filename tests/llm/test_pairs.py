@@ -397,3 +397,78 @@ def test_components_of_links():
     chain = np.arange(1, 5000)
     node, root = embedding_near_dedup._forest(chain, chain - 1)
     assert len(node) == 4999 and not root.any()
+
+
+def test_diagonals_are_all_maximal_runs():
+    import numpy as np
+
+    def plain(a, b):
+        out = []
+        for d in range(1 - len(a), len(b)):
+            i = max(0, -d)
+            while i < len(a) and i + d < len(b):
+                first = i
+                while i < len(a) and i + d < len(b) and a[i] == b[i + d]:
+                    i += 1
+                if i > first:
+                    out.append((d, first, i - 1))
+                i += 1
+        return sorted(out)
+
+    rng = np.random.default_rng(9)
+    for _ in range(200):
+        k = int(rng.integers(1, 5))
+        a, b = rng.integers(0, k + 1, rng.integers(1, 40)).astype(np.uint64), rng.integers(0, k, rng.integers(1, 40)).astype(np.uint64)
+        assert sorted(map(tuple, substring_dedup.diagonals(a, substring_dedup.Indexed(b)).tolist())) == plain(a, b)
+
+
+def test_long_texts_of_repeated_words(spark):
+    """The work doesn't grow with the square of a repetition; each place is in the result."""
+    import time
+
+    lines = [" ".join(["again"] * 20_000), " ".join(["again"] * 19_000), " ".join(f"w{i % 9}" for i in range(20_000)), " ".join(f"w{i % 9}" for i in range(5, 18_000))]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: (r.class_id, r.n_partners, r.n_repeated) for r in substring_dedup.passage_classes(df).collect()}
+    assert got == {0: (0, 1, 20_000), 1: (0, 1, 19_000), 2: (2, 1, 20_000), 3: (2, 1, 17_995)} and time.time() - began < 120
+
+
+def test_a_line_that_the_smallest_document_repeats(spark):
+    """All its places and all its holders are told, not each place with each holder."""
+    many = " ".join(f"{PASSAGE} " + " ".join(f"gap{i}x{k}" for k in range(20)) for i in range(12))
+    rows = [(0, many), *((d, f"{' '.join(f's{d}x{k}' for k in range(30))} {PASSAGE}") for d in range(1, 9))]
+    got = {r.doc_id: r for r in substring_dedup.passage_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(r.class_id == 0 for r in got.values()) and got[0].n_partners == 8 and got[0].n_repeated == 12 * 60
+    assert all(got[d].passages == "30:90" for d in range(1, 9))
+
+
+def test_temporary_tables_of_two_threads(spark, tmp_path):
+    """A block that ends deletes its own tables only, not those of another thread or of an outer block."""
+    import threading
+
+    from quarryline.llm.common import materialise, temporary_tables
+
+    ready, done, seen = threading.Event(), threading.Event(), {}
+
+    def other():
+        with temporary_tables(spark):
+            seen["df"] = materialise(spark.range(5), "other")
+            ready.set()
+            done.wait(60)
+            seen["n"] = seen["df"].count()
+
+    thread = threading.Thread(target=other)
+    with temporary_tables(spark):
+        outer = materialise(spark.range(3), "outer")
+        thread.start()
+        ready.wait(60)
+        with temporary_tables(spark):
+            inner, kept = materialise(spark.range(4), "inner"), materialise(spark.range(6), "kept", keep=True)
+        assert outer.count() == 3 and kept.count() == 6
+        with pytest.raises(Exception, match="(?i)path|file"):
+            inner.count()
+    done.set()
+    thread.join()
+    assert seen["n"] == 5
+    with pytest.raises(Exception, match="(?i)path|file"):
+        outer.count()
