@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import ASCII_LOWER, ASCII_SPACE, delete_path, fresh, in_slices, left_join_set, materialise, scratch_path, utf8
+from quarryline.llm.common import ASCII_LOWER, ASCII_SPACE, delete_path, fresh, in_slices, left_join_set, materialise, rows_without, scratch_path, utf8, with_texts
 
 #: Runs of one level that are compacted into one run of the next.
 FANOUT = 3
@@ -203,5 +203,8 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: in
     names = docs.columns
     at = names.index(text_col)
     drops = line_drops(docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("raw")), min_chars, batches)
-    key, gone = fresh(docs, "_doc"), fresh(docs, "_dropped")
-    return left_join_set(docs, drops.toDF(key, gone), id_col, key).drop(key).mapInArrow(run, docs.schema)
+    gone = fresh(docs, "_dropped")
+    drops = materialise(drops.select(F.col("_doc").cast(docs.schema[id_col].dataType).alias(id_col), F.col("_dropped").alias(gone)), "dropped-lines")
+    # texts that lose no line stay where they are
+    cut = with_texts(docs, id_col, drops).select(*names, gone).mapInArrow(run, docs.schema)
+    return rows_without(docs, id_col, drops.select(id_col)).select(names).unionByName(cut)
