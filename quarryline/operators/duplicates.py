@@ -43,19 +43,30 @@ def keep_first(df: DataFrame, row_id: str, columns: Sequence[str]) -> DataFrame:
     return df.join(first.select(row_id), row_id, "left_semi")
 
 
-def identical_columns(df: DataFrame, most: int = 200) -> DataFrame:
+#: Columns whose fingerprints, and pairs whose values, are one aggregate.
+FUSED = 200
+
+
+def identical_columns(df: DataFrame) -> DataFrame:
     """(left, right) pairs of columns of one type that agree in every row, nulls included.  Columns
-    with different fingerprints are ruled out in one pass; the rest is compared value by value."""
+    with different fingerprints are ruled out in one pass for each FUSED of them; the rest is
+    compared value by value."""
     kinds = dict(df.dtypes)
-    if not 2 <= len(df.columns) <= most:
+    if len(df.columns) < 2:
         return df.sparkSession.createDataFrame([], "left string, right string")
-    prints = df.agg(*(F.sum(F.xxhash64(F.col(c).isNull(), F.col(c)).cast("decimal(38,0)")).alias(f"h{i}") for i, c in enumerate(df.columns))).first()
+    prints: dict = {}
+    for at in range(0, len(df.columns), FUSED):
+        part = list(enumerate(df.columns))[at : at + FUSED]
+        prints |= df.agg(*(F.sum(F.xxhash64(F.col(c).isNull(), F.col(c)).cast("decimal(38,0)")).alias(f"h{i}") for i, c in part)).first().asDict()
     alike: dict[tuple, list[str]] = {}
     for i, c in enumerate(df.columns):
         alike.setdefault((kinds[c], prints[f"h{i}"]), []).append(c)
     pairs = [p for same in alike.values() for p in combinations(same, 2)]
     if not pairs:
         return df.sparkSession.createDataFrame([], "left string, right string")
-    row = df.agg(*(F.coalesce(F.bool_and(F.col(a).eqNullSafe(F.col(b))), F.lit(True)).alias(f"s{k}") for k, (a, b) in enumerate(pairs)))
-    cells = F.array(*(F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(f"s{k}").alias("same")) for k, (a, b) in enumerate(pairs)))
-    return row.select(F.explode(cells).alias("c")).select("c.*").where("same").select("left", "right")
+    same = []
+    for at in range(0, len(pairs), FUSED):
+        part = pairs[at : at + FUSED]
+        row = df.agg(*(F.coalesce(F.bool_and(F.col(a).eqNullSafe(F.col(b))), F.lit(True)).alias(f"s{k}") for k, (a, b) in enumerate(part))).first()
+        same += [p for k, p in enumerate(part) if row[f"s{k}"]]
+    return df.sparkSession.createDataFrame(same, "left string, right string")

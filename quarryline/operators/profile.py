@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,11 +73,60 @@ def cardinality(counts: DataFrame) -> DataFrame:
     return table.withColumns({"unique_ratio": F.col("n_distinct") / F.col("non_null"), "dominant_rate": F.col("top_count") / F.col("non_null")})
 
 
-def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], rows: int | None = None) -> dict[str, list[float | None]]:
+#: Different values up to which those of a column are counted one by one; approximate numbers of
+#: them, good to a twentieth, tell the columns.
+FEW_VALUES = 64
+#: Share of the rows that a value has to have to be told as a column's dominant one.
+VARIED = 0.98
+
+
+def few_valued(df: DataFrame, columns: Sequence[str]) -> list[str]:
+    """The columns with about FEW_VALUES different values at most, certainly those with half as many."""
+    if not columns:
+        return []
+    row = df.agg(*(F.approx_count_distinct(c).alias(f"k{i}") for i, c in enumerate(columns))).first()
+    return [c for i, c in enumerate(columns) if row[f"k{i}"] <= FEW_VALUES]
+
+
+def dominance(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, non_null, constant, top_count): how many values each column has, whether they are all
+    equal, and how often the one in the middle occurs when hashes of values are sorted.
+
+    A value that most rows have is always that one, so its share is exact; two passes, without a
+    shuffle of values, tell it of columns of any number of different values.  A column of so many that
+    no value can have VARIED of the rows isn't looked at closer; its ``top_count`` is null.
+    """
+    columns = list(columns)
+    sizes = df.agg(*(m for i, c in enumerate(columns) for m in (F.count(c).alias(f"n{i}"), F.approx_count_distinct(c).alias(f"k{i}")))).first()
+    closer = [c for i, c in enumerate(columns) if sizes[f"n{i}"] and sizes[f"k{i}"] <= max(FEW_VALUES, 2 * (1 - VARIED) * sizes[f"n{i}"])]
+    out = [(c, sizes[f"n{i}"], False, None) for i, c in enumerate(columns) if sizes[f"n{i}"] and c not in closer]
+    # 52 bits, which approximate quantiles keep
+    h = [F.when(F.col(c).isNotNull(), F.shiftrightunsigned(F.xxhash64(c), 12)) for c in closer]
+    if closer:
+        row = df.agg(*(F.percentile_approx(x, 0.5, F.lit(100)).alias(f"m{i}") for i, x in enumerate(h))).first()
+        found = df.agg(*(m for i, x in enumerate(h) for m in ((F.min(x) == F.max(x)).alias(f"same{i}"), F.count(F.when(x == F.lit(row[f"m{i}"]), 1)).alias(f"top{i}")))).first()
+        out += [(c, sizes[f"n{columns.index(c)}"], found[f"same{i}"], found[f"top{i}"]) for i, c in enumerate(closer)]
+    return df.sparkSession.createDataFrame(out, "column string, non_null long, constant boolean, top_count long")
+
+
+#: Share of the rows on either side of a quantile that its bracket takes in, and the accuracy of
+#: the approximate quantiles that are its ends.
+SLACK, ACCURACY = 0.002, 2000
+
+
+def bracket_ends(column: str, probs: Sequence[float]) -> Column:
+    """The approximate quantiles around each of ``probs``, low and high by turns."""
+    wide = [x for p in probs for x in (max(0.0, p - SLACK), min(1.0, p + SLACK))]
+    return F.percentile_approx(column, F.array(*map(F.lit, wide)), F.lit(ACCURACY))
+
+
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], rows: int | None = None, ends: Mapping[str, tuple] | None = None) -> dict[str, list[float | None]]:
     """Linear-interpolated quantiles of the finite values, exact at every size.
 
     Beyond DIRECT_ROWS a first pass brackets each quantile by approximate ones, a second counts
-    what lies below, and a third takes the exact order statistics inside the brackets only.
+    what lies below, and a third takes the exact order statistics inside the brackets only.  A
+    caller that has passed over the table may give the number of rows, and for each column the
+    number of its finite values and their :func:`bracket_ends`.
     """
     columns, probs = list(columns), list(probs)
     if not columns:
@@ -86,9 +136,10 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     if n <= DIRECT_ROWS:
         row = values.agg(*(F.percentile(F.col(str(i)), F.array(*map(F.lit, probs))).alias(str(i)) for i in range(len(columns)))).first()
         return {c: list(row[str(i)] or [None] * len(probs)) for i, c in enumerate(columns)}
-    slack = 0.002
-    wide = [x for p in probs for x in (max(0.0, p - slack), min(1.0, p + slack))]
-    first = values.agg(*(m for i in range(len(columns)) for m in (F.count(str(i)).alias(f"n{i}"), F.percentile_approx(str(i), F.array(*map(F.lit, wide)), F.lit(2000)).alias(f"q{i}")))).first()
+    if ends is None:
+        first = values.agg(*(m for i in range(len(columns)) for m in (F.count(str(i)).alias(f"n{i}"), bracket_ends(str(i), probs).alias(f"q{i}")))).first()
+    else:
+        first = {f"{k}{i}": x for i, c in enumerate(columns) for k, x in zip("nq", ends[c], strict=True)}
     brackets = {(i, k): (first[f"q{i}"][2 * k], first[f"q{i}"][2 * k + 1]) for i in range(len(columns)) for k in range(len(probs)) if first[f"q{i}"]}
     second = values.agg(
         *(
@@ -109,10 +160,13 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     return {c: [last[f"v{i}_{k}"] if (i, k) in brackets else None for k in range(len(probs))] for i, c in enumerate(columns)}
 
 
+QUARTILES = (0.25, 0.5, 0.75)
+
+
 def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column, count, missing, mean, std, min, q1, median, q3, max, skewness) of finite values.
-    The moments are one pass; the quartiles come from :func:`exact_quantiles`, whose state is
-    bounded on large tables."""
+    The moments and the brackets of the quartiles are one pass; the quartiles come from
+    :func:`exact_quantiles`, whose state is bounded on large tables."""
     columns = list(columns or numeric_columns(df))
     prepared = df.select(*(finite(F.col(c)).alias(c) for c in columns), *(F.when(F.col(c).isNull() | F.isnan(F.col(c).cast("double")), 1).alias(f"_missing_{c}") for c in columns))
     moments = _chunked(
@@ -126,11 +180,15 @@ def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None) -> Data
             "min": lambda c: F.min(F.col(c)),
             "max": lambda c: F.max(F.col(c)),
             "skewness": lambda c: corrected_skewness(F.col(c)),
+            "rows": lambda c: F.count("*"),
+            "ends": lambda c: bracket_ends(c, QUARTILES),
         },
-    )
-    quartiles = exact_quantiles(df, columns, [0.25, 0.5, 0.75])
-    known = df.sparkSession.createDataFrame([(c, *quartiles[c]) for c in columns], "column string, q1 double, median double, q3 double")  # a row a column
-    return moments.join(F.broadcast(known), "column").select("column", "count", "missing", "mean", "std", "min", "q1", "median", "q3", "max", "skewness")
+    ).collect()  # a row a column
+    rows = max((m["rows"] for m in moments), default=0)
+    quartiles = exact_quantiles(df, columns, QUARTILES, rows, {m["column"]: (m["count"], m["ends"]) for m in moments})
+    names = ("column", "count", "missing", "mean", "std", "min", "q1", "median", "q3", "max", "skewness")
+    out = [tuple(({**m.asDict(), **dict(zip(("q1", "median", "q3"), quartiles[m["column"]], strict=True))})[k] for k in names) for m in moments]
+    return df.sparkSession.createDataFrame(out, ", ".join(f"{n} {'string' if n == 'column' else 'long' if n in ('count', 'missing') else 'double'}" for n in names))
 
 
 def skewness(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -139,16 +197,32 @@ def skewness(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return _chunked(prepared, list(columns), {"skewness": lambda c: corrected_skewness(F.col(c))})
 
 
+#: Columns whose correlations are one aggregate of built-in functions.
+FEW_CORRELATED = 6
+
+
 def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(feature_a, feature_b, r) for the pairs of columns in order.
 
-    A task adds up, for a batch of rows at a time, the matrices of products of all columns, less
+    The pairs of a few columns are built-in aggregates.  Of more columns a task adds up, for a batch of rows at a time, the matrices of products of all columns, less
     the columns' means, over the rows in which both are set; a few matrices a task reach the sum,
     whatever the number of rows.  Columns without a mean have no correlations.
     """
     columns = list(columns or numeric_columns(df))
     names = [f"c{i}" for i in range(len(columns))]
     prepared = df.select(*(finite(F.col(c)).alias(n) for c, n in zip(columns, names, strict=True)))
+    if len(columns) <= FEW_CORRELATED:
+        pairs = list(combinations(range(len(columns)), 2))
+        if not pairs:
+            return df.sparkSession.createDataFrame([], "feature_a string, feature_b string, r double")
+
+        def correlation(x: Column, y: Column) -> Column:
+            both = x.isNotNull() & y.isNotNull()
+            return F.try_divide(F.covar_pop(x, y), F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y)))
+
+        row = prepared.agg(*(correlation(F.col(names[i]), F.col(names[j])).alias(f"r{i}_{j}") for i, j in pairs))
+        cells = F.array(*(F.struct(F.lit(columns[i]).alias("feature_a"), F.lit(columns[j]).alias("feature_b"), F.col(f"r{i}_{j}").alias("r")) for i, j in pairs))
+        return row.select(F.explode(cells).alias("c")).select("c.*")
     means = prepared.agg(*(F.coalesce(F.avg(n), F.lit(0.0)).alias(n) for n in names)).first()
     centre = np.array([means[n] for n in names])
     kinds = ("n", "xy", "x", "xx")
@@ -185,10 +259,10 @@ KINDS = {"binary": (2, 1.0), "count-like": (20, 0.10), "low-cardinality numeric
 
 def with_kind(facts: DataFrame) -> DataFrame:
     """``facts`` (column, n, n_distinct, low, integer_like, zero_one) with ``kind``, how a numeric
-    column is read before outliers are judged."""
+    column is read before outliers are judged; a null number of different values means many."""
     share = F.col("n_distinct") / F.greatest(F.col("n"), F.lit(1))
-    few = {kind: (F.col("n_distinct") <= most) & (share <= of) for kind, (most, of) in KINDS.items()}
-    counted = F.regexp_replace(F.lower("column"), "[^a-z0-9]+", "_").rlike(COUNT_NAME) & (F.col("n_distinct") <= KINDS["count-like"][0])
+    few = {kind: F.coalesce((F.col("n_distinct") <= most) & (share <= of), F.lit(False)) for kind, (most, of) in KINDS.items()}
+    counted = F.regexp_replace(F.lower("column"), "[^a-z0-9]+", "_").rlike(COUNT_NAME) & F.coalesce(F.col("n_distinct") <= KINDS["count-like"][0], F.lit(False))
     holds = {
         "binary": F.col("zero_one") & few["binary"],
         "count-like": F.col("integer_like") & (F.col("low") >= 0) & (counted | few["count-like"]),
@@ -198,9 +272,11 @@ def with_kind(facts: DataFrame) -> DataFrame:
     return facts.withColumn("kind", F.coalesce(*(F.when(holds[kind], kind) for kind in KINDS), F.lit("continuous numeric")))
 
 
-def numeric_classes(df: DataFrame, columns: Sequence[str] | None = None, counts: DataFrame | None = None) -> DataFrame:
+def numeric_classes(df: DataFrame, columns: Sequence[str] | None = None, counts: DataFrame | None = None, many: Sequence[str] = ()) -> DataFrame:
     """(position, column, n, n_distinct, low, integer_like, zero_one, kind), a row for each numeric
-    column.  ``counts`` may give the value counts of the finite values, where they are known."""
+    column.  ``counts`` may give the value counts of the finite values, where they are known; of the
+    columns in ``many`` it needn't, as they are known to have more than any kind asks for, and their
+    number of different values is told as null."""
     columns = list(columns or numeric_columns(df))
     prepared = df.select(*(finite(F.col(c)).alias(c) for c in columns))
     facts = _chunked(
@@ -215,4 +291,5 @@ def numeric_classes(df: DataFrame, columns: Sequence[str] | None = None, counts:
         },
     )
     distinct = cardinality(value_counts(prepared, columns) if counts is None else counts).select("column", "n_distinct")
-    return with_kind(facts.join(distinct, "column", "left").fillna(0, ["n_distinct"]))
+    of = F.when(F.col("column").isin(*many), F.lit(None)).otherwise(F.coalesce("n_distinct", F.lit(0)))
+    return with_kind(facts.join(distinct, "column", "left").withColumn("n_distinct", of))

@@ -26,7 +26,7 @@ from quarryline.sources.scratch import written
 FINDINGS = "rule_id string, category string, column string, severity string, confidence string, detected_count bigint, detected_rate double, action string, score_impact double, issue_nature string, evidence string"
 
 #: Limits of the rules.
-SMALL_ROWS, NEAR_CONSTANT, HIGH_CORRELATION, MOST_CORRELATED = 20, 0.99, 0.95, 100
+SMALL_ROWS, NEAR_CONSTANT, HIGH_CORRELATION = 20, 0.99, 0.95
 HIGH_CARDINALITY, POTENTIAL_ID, RARE_SHARE, RARE_ROWS, RARE_KINDS = 0.90, 0.98, 0.01, 100, 100
 PARSED, MIXED, LONG_TEXT, SKEWED = 0.80, 0.20, 10_000, 3
 
@@ -51,6 +51,21 @@ def normal_name(column: str) -> str:
     return re.sub(r"[^a-z0-9]+", "_", column.strip().casefold()).strip("_")
 
 
+def _is_index(column: str) -> bool:
+    name = column.strip().casefold()
+    return name == "index" or name.startswith("unnamed:")
+
+
+#: Fixed value: names of models to which columns that go together are a problem.
+COLLINEAR_MODELS = r"(?i)(?:linear|logistic|ridge|lasso|elastic|svm|svc|svr)"
+
+
+def correlation_matters(a: str, b: str, flow: Mapping | None) -> bool:
+    """Do both columns go into the model, and is one of the recorded models sensitive to it?"""
+    models = [m if isinstance(m, str) else m.get("type") or "" for m in (flow or {}).get("models", [])]
+    return {model_status(a, flow), model_status(b, flow)} == {"Included"} and any(re.search(COLLINEAR_MODELS, m) for m in models)
+
+
 def text_metrics(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, n, blank, meaningful, numeric, dated, parsed_dates, spaced, long): counts over the
     text of each non-numeric column, all in one pass."""
@@ -81,6 +96,28 @@ def text_metrics(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+def text_metrics_of(counts: DataFrame) -> DataFrame:
+    """:func:`text_metrics` of the value counts (column, value, n) of texts as they are: what is asked of
+    a text is asked once, however often it occurs."""
+    x = F.col("value")
+    s = V.strip(x)
+    marked = counts.select("column", "value", "n", s.alias("s"), ((s != "") & ~V.is_missing_token(s)).alias("real"))
+
+    def count_if(condition):  # noqa: ANN001, ANN202
+        return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
+
+    return marked.groupBy("column").agg(
+        F.sum("n").alias("n"),
+        count_if(F.col("s") == "").alias("blank"),
+        count_if(F.col("real")).alias("meaningful"),
+        count_if(F.col("real") & V.number_in(F.col("s")).isNotNull()).alias("numeric"),
+        count_if(F.col("real") & x.rlike(V.DATE_PATTERN)).alias("dated"),
+        count_if(F.col("real") & V.date_in(F.col("s")).isNotNull()).alias("parsed_dates"),
+        count_if(x != F.col("s")).alias("spaced"),
+        count_if(F.char_length("value") > LONG_TEXT).alias("long"),
+    )
+
+
 def representations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, kinds): what the texts of each column spell, as far as they do: whole number, number,
     boolean, date or text.  A column of more than one kind holds values of mixed types."""
@@ -197,14 +234,18 @@ def audit(df: DataFrame, constraints: Mapping[str, Mapping] | None = None, flow:
             out.append(_finding("DQ_ALL_NULL_COLUMN", "Feature Quality", c, "Medium", "High", rows, 1.0))
 
     plain = data.select(*(F.when(~F.isnan(F.col(c)), F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in data.dtypes))
-    kinds = {r["column"]: r for r in P.cardinality(P.value_counts(plain, data.columns)).collect()}
-    for c, r in kinds.items():
-        if r["n_distinct"] == 1:
+    for r in P.dominance(plain, data.columns).collect():  # a row a column
+        c, share = r["column"], (r["top_count"] or 0) / r["non_null"]
+        if r["constant"]:
             out.append(_finding("DQ_CONSTANT_COLUMN", "Feature Quality", c, "Low", "High", r["non_null"], 1.0))
-        elif r["dominant_rate"] >= NEAR_CONSTANT:
-            out.append(_finding("DQ_NEAR_CONSTANT_COLUMN", "Feature Quality", c, "Low", "High", r["top_count"], r["dominant_rate"]))
+        elif share >= NEAR_CONSTANT:
+            out.append(_finding("DQ_NEAR_CONSTANT_COLUMN", "Feature Quality", c, "Low", "High", r["top_count"], share))
+    # the values themselves are only counted in columns whose names ask for it
+    named = [c for c in data.columns if _is_index(c) or c.strip().casefold() in V.TARGET_NAMES]
+    kinds = {r["column"]: r for r in P.cardinality(P.value_counts(plain, named)).collect()} if named else {}
+    for c, r in kinds.items():
         name = c.strip().casefold()
-        if name == "index" or name.startswith("unnamed:"):
+        if _is_index(c):
             ordered = bool(row_id) and sequential(df, c, row_id).first()["sequential"]
             if ordered or r["unique_ratio"] >= POTENTIAL_ID:
                 out.append(_finding("DQ_POTENTIAL_INDEX_COLUMN", "Structure", c, "Low", "High" if ordered else "Medium", r["n_distinct"], r["unique_ratio"], info=model_status(c, flow) == "Excluded", nature="Potential Identifier"))
@@ -227,13 +268,14 @@ def audit(df: DataFrame, constraints: Mapping[str, Mapping] | None = None, flow:
         out.append(_finding("DQ_IDENTICAL_COLUMNS", "Feature Quality", f"{r['left']} / {r['right']}", "Medium", "High", rows, 1.0))
 
     out += _text_rules(data, texts, rows, flow) if texts else []
-    out += _numeric_rules(data, numeric, rows, constraints) if numeric else []
+    out += _numeric_rules(data, numeric, rows, constraints, flow) if numeric else []
     return spark.createDataFrame(out, FINDINGS)
 
 
 def _text_rules(data: DataFrame, texts: list[str], rows: int, flow: Mapping | None) -> list[tuple]:
     out = []
-    counts = written(stripped_counts(data, texts), "value-counts")
+    raw = written(P.value_counts(data, texts), "value-counts")
+    counts = written(raw.groupBy("column", V.strip(F.col("value")).alias("value")).agg(F.sum("n").alias("n")), "stripped-counts")
     meaningful = {r["column"]: r["k"] for r in counts.where((F.col("value") != "") & ~V.is_missing_token(F.col("value"))).groupBy("column").agg(F.count("*").alias("k")).collect()}
     kinds = {r["column"]: r for r in P.cardinality(counts).collect()}
     for r in missing_tokens(counts).collect():
@@ -243,7 +285,7 @@ def _text_rules(data: DataFrame, texts: list[str], rows: int, flow: Mapping | No
     for r in boolean_encodings(counts).collect():
         out.append(_finding("DQ_BOOLEAN_ENCODING", "Type Consistency", r["column"], "Low", "Medium", len(r["tokens"]), evidence=",".join(r["tokens"])))
     rare = {r["column"]: r["n"] for r in rare_values(counts, rows).groupBy("column").agg(F.sum("n").alias("n")).collect()}
-    for r in text_metrics(data, texts).collect():
+    for r in text_metrics_of(raw).collect():  # a row a column
         c, n, m = r["column"], r["n"], r["meaningful"]
         if not n:
             continue
@@ -276,11 +318,13 @@ def _text_rules(data: DataFrame, texts: list[str], rows: int, flow: Mapping | No
     return out
 
 
-def _numeric_rules(data: DataFrame, numeric: list[str], rows: int, constraints: Mapping) -> list[tuple]:
+def _numeric_rules(data: DataFrame, numeric: list[str], rows: int, constraints: Mapping, flow: Mapping | None = None) -> list[tuple]:
     out = []
     prepared = data.select(*(V.finite(F.col(c)).alias(c) for c in numeric))
-    values = written(P.value_counts(prepared, numeric), "value-counts")
-    facts = {r["column"]: r for r in P.numeric_classes(data, numeric, values).collect()}
+    # no rule asks for the number of different values where there are more than a few
+    few = P.few_valued(prepared, numeric)
+    values = written(P.value_counts(prepared, few) if few else data.sparkSession.createDataFrame([], "column string, value string, n long"), "value-counts")
+    facts = {r["column"]: r for r in P.numeric_classes(data, numeric, values, many=[c for c in numeric if c not in few]).collect()}
     rare_integers = {r["column"]: r["n"] for r in integer_domains(values.withColumn("value", F.col("value").cast("double"))).groupBy("column").agg(F.sum("n").alias("n")).collect()}
     skew = {r["column"]: r["skewness"] for r in P.skewness(data, numeric).collect()}
     bounds = fences_of(data, {c: facts[c]["n"] for c in numeric})
@@ -309,7 +353,7 @@ def _numeric_rules(data: DataFrame, numeric: list[str], rows: int, constraints:
         odd, far, bad, negative = (counts[f"{k}{i}"] for k in ("odd", "far", "bad", "neg"))
         if odd:
             out.append(_finding("DQ_NON_FINITE_NUMERIC", "Invalid Values", c, "High" if odd / rows >= 0.05 else "Medium", "High", odd, odd / rows, "Fix", nature="Confirmed Invalid"))
-        if rule.get("allowed_values", rule.get("categories")) is None and n >= 50 and f["integer_like"] and 4 <= f["n_distinct"] <= 20:
+        if rule.get("allowed_values", rule.get("categories")) is None and n >= 50 and f["integer_like"] and 4 <= (f["n_distinct"] or 0) <= 20:
             rare = rare_integers.get(c)
             if rare:
                 out.append(_finding("DQ_POTENTIAL_CATEGORICAL_DOMAIN_VIOLATION", "Categorical Quality", c, "Medium", "Medium", rare, rare / n, info=True, nature="Distribution Review"))
@@ -325,8 +369,9 @@ def _numeric_rules(data: DataFrame, numeric: list[str], rows: int, constraints:
         if negative and not stated and re.search(V.NON_NEGATIVE_NAME, c.strip().casefold().replace(" ", "_")):
             out.append(_finding("DQ_POTENTIAL_NON_NEGATIVE_VIOLATION", "Business Rules", c, "Medium", "Medium", negative, negative / n, nature="Potential Business Rule"))
     if len(numeric) > 1:
-        for r in P.correlations(data, numeric[:MOST_CORRELATED]).where(F.abs("r") >= HIGH_CORRELATION).collect():
-            out.append(_finding("DQ_HIGH_CORRELATION", "Correlation", f"{r['feature_a']} / {r['feature_b']}", "Low", "High", rate=abs(r["r"]), info=True))
+        for r in P.correlations(data, numeric).where(F.abs("r") >= HIGH_CORRELATION).collect():
+            matters = correlation_matters(r["feature_a"], r["feature_b"], flow)
+            out.append(_finding("DQ_HIGH_CORRELATION", "Correlation", f"{r['feature_a']} / {r['feature_b']}", "Low", "High", rate=abs(r["r"]), info=not matters))
     return out
 
 

@@ -221,3 +221,29 @@ def test_mixed_types_of_variants(spark):
     found = {(r.rule_id, r.column): r for r in Q.audit(df).collect()}
     assert found["DQ_MIXED_PYTHON_TYPES", "any"].detected_count == 5 and ("DQ_MIXED_PYTHON_TYPES", "one") not in found
     assert found["DQ_MISSING_VALUES", "any"].detected_count == 2
+
+
+def test_correlation_is_to_be_reviewed_where_a_model_minds_it(spark):
+    df = spark.range(50).select(F.col("id").cast("double").alias("a"), (F.col("id") * 2.0).alias("b"), (F.col("id") % 7).alias("c"))
+    flow = {"model_features": ["a", "b"], "models": [{"type": "LogisticRegression"}]}
+    cases = ((None, "Informational"), (flow, "Review"), (flow | {"models": ["RandomForest"]}, "Informational"), (flow | {"model_features": ["a"]}, "Informational"))
+    for known, action in cases:
+        assert rules(df, flow=known)["DQ_HIGH_CORRELATION", "a / b"].action == action
+
+
+def test_wide_tables_are_compared_whole(spark):
+    """Identical columns and correlations of more columns than one aggregate takes."""
+    df = spark.range(30).select(*((F.col("id") * (k + 2) % 31 + k).alias(f"c{k}") for k in range(203)), (F.col("id") * 2 % 31).alias("again"))
+    assert [tuple(r) for r in D.identical_columns(df).collect()] == [("c0", "again")]
+    some = [f"c{k}" for k in range(5)]
+    few, many = ({(r.feature_a, r.feature_b): r.r for r in P.correlations(df, c).collect()} for c in (some, [*some, *(f"c{k}" for k in range(5, 12))]))
+    assert len(few) == 10 and all(many[k] == pytest.approx(r, abs=1e-12) for k, r in few.items())
+
+
+def test_dominant_values(spark):
+    rows = [(None if i % 3 == 0 else 7, "a" if i > 3 else f"b{i}", i, None, float(i % 2), -(2**62) + i) for i in range(500)]
+    df = spark.createDataFrame(rows, "half long, near string, many long, none string, two double, big long")
+    got = {r.column: (r.non_null, r.constant, r.top_count) for r in P.dominance(df, df.columns).collect()}
+    assert got["half"] == (333, True, 333) and got["near"] == (500, False, 496) and "none" not in got
+    assert got["many"] == (500, False, None) == got["big"] and got["two"] == (500, False, 250)
+    assert P.few_valued(df, ["half", "near", "many", "two"]) == ["half", "near", "two"]
