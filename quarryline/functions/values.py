@@ -23,8 +23,9 @@ TIME_FORMAT = "[ H:m[:s]]"
 
 
 def strip(text: Column) -> Column:
-    """The text without white space of any script at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """The text without white space of any script at both ends.  A run inside the text is passed once:
+    what follows white space doesn't begin another match."""
+    return F.regexp_replace(text, r"(?U)^\s+|(?<!\s)\s+$", "")
 
 
 def finite(value: Column) -> Column:

@@ -28,7 +28,7 @@ _POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 2**64) for k in range(SHINGLE)],
 
 def standard_lines(text: Column) -> Column:
     """The text with plain line ends, no white space at line ends, no empty lines at both ends."""
-    lines = F.split(F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), r"(?U)[\s&&[^\n]]+(?=\n|$)", ""), "\n")
+    lines = F.split(F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), r"(?U)(?<![\s&&[^\n]])[\s&&[^\n]]+(?=\n|$)", ""), "\n")
     return F.regexp_replace(F.array_join(lines, "\n"), r"^\n+|\n+$", "")
 
 

@@ -109,9 +109,11 @@ def evaluate(findings: DataFrame, truth: DataFrame) -> DataFrame:
     fits = (F.col("t.verification_status") == F.col("f.verification_status")) & F.array_contains("t.severities", F.col("f.severity")) & F.contains("f.evidence", "t.evidence")
     judged = at.select("t.truth_id", F.col("f.id").alias("id"), F.coalesce(fits, F.lit(False)).alias("fits"))
     # of truths that one finding would meet, the first gets it
-    ranked = judged.withColumn("k", F.row_number().over(Window.partitionBy("id", "fits").orderBy("truth_id")))
-    per = ranked.groupBy("truth_id").agg(F.count(F.when(F.col("fits"), 1)).alias("n"), F.max(F.when(F.col("fits"), F.col("k"))).alias("k"), F.collect_set("id").alias("ids"))
-    met = per.withColumn("met", (F.col("n") == 1) & (F.col("k") == 1))
+    hits = judged.where("fits").select("truth_id", "id")
+    first = hits.groupBy(F.col("id").alias("_id")).agg(F.min("truth_id").alias("first"))
+    good = hits.join(first, F.col("id") == F.col("_id")).groupBy("truth_id").agg(F.count("*").alias("n"), F.bool_and(F.col("truth_id") == F.col("first")).alias("is_first"))
+    per = judged.groupBy("truth_id").agg(F.collect_set("id").alias("ids")).join(good, "truth_id", "left")
+    met = per.withColumn("met", F.coalesce((F.col("n") == 1) & F.col("is_first"), F.lit(False)))
     wrong = met.where("not met").select(F.explode("ids").alias("id")).distinct()
     table = met.agg(F.count(F.when(F.col("met"), 1)).alias("tp"), F.count(F.when(~F.col("met"), 1)).alias("fn")).crossJoin(wrong.agg(F.count("*").alias("fp")))  # one row each
     return table.select("tp", "fp", "fn", F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"))

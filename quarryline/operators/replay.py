@@ -79,6 +79,10 @@ def cast(f: Frame, types: Mapping[str, str] | str) -> Frame:
     return f.having(f.data.withColumns({c: F.col(c).try_cast(TYPES[t]) for c, t in types.items() if c in f.columns()}))
 
 
+#: Columns that one_hot makes at most, unless the caller allows more, and classes of a stratified split.
+MOST_DUMMIES, MOST_CLASSES = 10_000, 1_000_000
+
+
 def one_hot(
     f: Frame,
     columns: Sequence[str] | None = None,
@@ -88,10 +92,11 @@ def one_hot(
     prefix: str | Sequence[str] | Mapping[str, str] | None = None,
     dtype: str = "int32",
     input_columns: Sequence[str] | None = None,
+    most: int = MOST_DUMMIES,
 ) -> Frame:
     """A column for each value of each column, values in order, behind the columns that aren't
-    encoded.  The values are found by one distinct aggregate; as each becomes a column, a column of
-    very many values is better told by :func:`one_hot_long`.
+    encoded.  The values are found by one distinct aggregate, and counted first: as each becomes a
+    column, more than ``most`` are refused, and better told by :func:`one_hot_long`.
 
     ``prefix`` and ``sep`` are one for all columns, one for each in their order, or by column;
     ``dtype`` is the type of the new columns.  With ``input_columns`` only these are taken; one that
@@ -113,8 +118,13 @@ def one_hot(
         return dict(option) if isinstance(option, Mapping) else dict(zip(columns, option, strict=True))
 
     prefixes, seps = of_column(prefix), of_column(sep)
-    listed = one_hot_long(f, columns).select("column", "value").distinct().groupBy("column").agg(F.array_sort(F.collect_list("value")).alias("values"))
-    found = {r["column"]: r["values"] for r in listed.collect()}  # one cell for each column to be made
+    listed = written(one_hot_long(f, columns).select("column", "value").distinct(), "dummies")
+    many = listed.count()
+    if many > most:
+        raise Unreplayable(f"{many} values would each become a column; one_hot_long tells them as rows")
+    found: dict[str, list[str]] = {}
+    for r in listed.orderBy("column", "value").collect():  # one row for each column to be made
+        found.setdefault(r["column"], []).append(r["value"])
     kinds, new, sources = dict(f.data.dtypes), {}, dict(f.sources)
     for c in columns:
         name = prefixes.get(c, c) + seps.get(c, "_")
@@ -297,9 +307,11 @@ def random_split(f: Frame, test_size: float | int = 0.25, random_state: int | No
     if stratify is None:
         n, placed = f.data.count(), with_positions(f.data)
     else:
-        # one row a class, in order
-        found = f.data.groupBy(stratify).agg(F.count("*").alias("n")).orderBy(stratify).collect()
-        classes, n = [r["n"] for r in found], sum(r["n"] for r in found)
+        sizes = written(f.data.groupBy(stratify).agg(F.count("*").alias("_rows")), "classes")
+        if sizes.count() > MOST_CLASSES:
+            raise Unreplayable(f"more than {MOST_CLASSES} classes to stratify by")
+        found = sizes.orderBy(stratify).collect()  # one row a class, in order
+        classes, n = [r["_rows"] for r in found], sum(r["_rows"] for r in found)
         if any(r[stratify] is None for r in found) or min(classes, default=2) < 2:
             raise Unreplayable("a stratified split needs classes of two rows or more, and no row without one")
         placed = with_positions(f.data.withColumn("_class", F.struct(stratify, ROW)), "_class").drop("_class")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarryline.operators.findings import actionable
+from quarryline.operators.profile import numeric_columns
 from quarryline.operators.replay import with_positions
 
 #: Names of secrets in assignments.
@@ -102,6 +103,55 @@ def overall_missing(null_profile: DataFrame) -> DataFrame:
     return null_profile.agg(F.coalesce(F.avg("null_rate"), F.lit(0.0)).alias("missing_rate"))
 
 
+def overview(null_profile: DataFrame, findings: DataFrame) -> DataFrame:
+    """One row (rows, columns, missing_rate, outliers) of a table's null profile and findings: the
+    figures above its tables.  ``outliers`` are the values that any finding of outliers counts."""
+    table = null_profile.agg(F.max("rows").alias("rows"), F.count("*").alias("columns"), F.coalesce(F.avg("null_rate"), F.lit(0.0)).alias("missing_rate"))
+    far = findings.agg(F.coalesce(F.sum(F.when(F.col("category") == "Outliers", F.col("detected_count"))), F.lit(0)).alias("outliers"))
+    return table.crossJoin(far)  # one row each
+
+
+def missing_table(null_profile: DataFrame) -> DataFrame:
+    """(Column, Missing): all columns as shown, the highest share first, in percent with two digits."""
+    shown = null_profile.select(F.col("column").alias("Column"), F.format_string("%.2f%%", F.col("null_rate") * 100).alias("Missing"), "null_rate")
+    return shown.orderBy(F.desc("null_rate"), "Column").drop("null_rate")
+
+
+def type_table(df: DataFrame) -> DataFrame:
+    """(Column, Type, Kind): the columns in order with their type, numeric or categorical."""
+    numeric = set(numeric_columns(df))
+    return df.sparkSession.createDataFrame([(c, t, "numeric" if c in numeric else "categorical") for c, t in df.dtypes], "Column string, Type string, Kind string")
+
+
+def statistics_table(profile: DataFrame, digits: int = 4) -> DataFrame:
+    """A numeric profile as shown: numbers rounded, columns by name."""
+    rounded = [F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in profile.dtypes]
+    return profile.select(*rounded).orderBy("column")
+
+
+def merged_flows(events: DataFrame, order: Sequence[str]) -> DataFrame:
+    """(project, kind, place, file, label): the recorded events of all files of a project as one
+    flow.  ``events`` (project, file, kind, label, and the columns of ``order``, which are a file's
+    place in the project and an event's place in the file); ``place`` counts the events of a kind
+    from 1, file by file."""
+    w = Window.partitionBy("project", "kind").orderBy(*order)
+    return events.select("project", "kind", F.row_number().over(w).alias("place"), "file", "label")
+
+
+def flow_summary(events: DataFrame, order: Sequence[str], roles: Sequence[str] = ("train", "validation", "test")) -> DataFrame:
+    """(project, files, primary, <role> arrays, evaluation_detected) of the merged flow: the file with the most
+    different kinds of events, of equal ones the first; the different labels of each role's events
+    in the order in which they first come; and whether anything is evaluated."""
+    place = F.struct(*order)
+    files = events.groupBy("project", "file").agg(F.count_distinct("kind").alias("kinds"), F.min(place).alias("at"))
+    best = files.groupBy("project").agg(F.count("*").alias("files"), F.min_by("file", F.struct((-F.col("kinds")).alias("k"), "at")).alias("primary"))
+    firsts = events.where(F.col("kind").isin(*roles)).groupBy("project", "kind", "label").agg(F.min(place).alias("at"))
+    named = firsts.groupBy("project").agg(*(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == r, F.struct("at", "label")))), lambda x: x["label"]).alias(r) for r in roles))
+    metrics = events.groupBy("project").agg(F.bool_or(F.col("kind") == "metric").alias("evaluation_detected"))
+    out = best.join(metrics, "project").join(named, "project", "left")
+    return out.select("project", "files", "primary", *(F.coalesce(r, F.array().cast("array<string>")).alias(r) for r in roles), "evaluation_detected")
+
+
 def test_sample(rows: Column, test_size: Column) -> Column:
     """struct(test_rows, test_ratio, insufficient): the test part that a split size means; fewer
     than 20 rows or 5 % are insufficient."""

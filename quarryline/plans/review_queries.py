@@ -12,7 +12,9 @@ from quarryline.operators import merging as M
 from quarryline.operators import overlap as V
 from quarryline.operators import packing as K
 from quarryline.operators import profile as P
+from quarryline.operators import quality as Q
 from quarryline.operators import review as W
+from quarryline.plans.audit_sql import audit_sql
 from quarryline.plans.findings_queries import _ACTIVE, _FINDINGS, findings
 from quarryline.plans.registry import query, table
 from quarryline.sources import files as S
@@ -298,3 +300,42 @@ def refused_rows_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     files.select("part", F.concat(header, "lines", odd).alias("text")).write.partitionBy("part").text(path)
     rows, refused = scan_with_refusals(spark, path, short_rows=True)
     return rows.select(F.lit("good").alias("reason")).unionByName(refused.select("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+_SPREAD = "SELECT event_id, CASE WHEN event_id % 97 = 1 THEN value * 1000 WHEN event_id % 10 = 0 THEN NULL ELSE value END AS value FROM events"
+
+
+@query(f"""SELECT (SELECT COUNT(*) FROM events) AS rows, 2::BIGINT AS columns, (SELECT ROUND(AVG(CASE WHEN value IS NULL THEN 1 ELSE 0 END) / 2, 6) FROM ({_SPREAD})) AS missing_rate, COALESCE(SUM(detected_count) FILTER (category = 'Outliers'), 0)::BIGINT AS outliers FROM ({audit_sql(_SPREAD, ["event_id", "value"], [])})""")
+def overview_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("event_id")
+    spread = table(spark, sf_dir, "events").select("event_id", F.when(key % 97 == 1, F.col("value") * 1000).when(key % 10 != 0, F.col("value")).alias("value"))
+    return W.overview(P.null_profile(spread), Q.audit(spread)).withColumn("missing_rate", F.round("missing_rate", 6))
+
+
+@query("""SELECT 'l_quantity' AS "Column", PRINTF('%.2f%%', AVG(CASE WHEN l_linenumber = 3 THEN 1 ELSE 0 END) * 100) AS "Missing" FROM lineitem UNION ALL SELECT 'l_tax', PRINTF('%.2f%%', AVG(CASE WHEN l_orderkey % 10 = 0 THEN 1 ELSE 0 END) * 100) FROM lineitem UNION ALL SELECT 'l_orderkey', '0.00%'""")
+def missing_table_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dirty = table(spark, sf_dir, "lineitem").select("l_orderkey", F.when(F.col("l_linenumber") != 3, F.col("l_quantity")).alias("l_quantity"), F.when(F.col("l_orderkey") % 10 != 0, F.col("l_tax")).alias("l_tax"))
+    return W.missing_table(P.null_profile(dirty))
+
+
+_FLOW_KINDS = "CASE event_id % 7 WHEN 0 THEN 'train' WHEN 1 THEN 'test' WHEN 2 THEN 'fit' WHEN 3 THEN 'metric' WHEN 4 THEN 'validation' ELSE 'source' END"
+
+
+@query(f"""SELECT user_id % 20 AS project, {_FLOW_KINDS} AS kind, ROW_NUMBER() OVER (PARTITION BY user_id % 20, {_FLOW_KINDS} ORDER BY user_id, event_id) AS place, user_id AS file, event_type AS label FROM events""")
+def merged_flows_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as files of twenty projects, their events as what the files do, in order."""
+    return W.merged_flows(_flow_events(spark, sf_dir), ["file", "event_id"]).withColumn("place", F.col("place").cast("long"))
+
+
+def _flow_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.element_at(F.array(*map(F.lit, ("train", "test", "fit", "metric", "validation", "source", "source"))), (F.col("event_id") % 7 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("project"), F.col("user_id").alias("file"), kind.alias("kind"), F.col("event_type").alias("label"), "event_id")
+
+
+@query(f"""WITH e AS (SELECT user_id % 20 AS project, user_id AS file, event_id, {_FLOW_KINDS} AS kind, event_type AS label FROM events), k AS (SELECT project, file, COUNT(DISTINCT kind) AS n FROM e GROUP BY 1, 2),
+f AS (SELECT project, kind, label, MIN((file, event_id)) AS first_at FROM e GROUP BY 1, 2, 3)
+SELECT project, (SELECT COUNT(*) FROM k WHERE k.project = p.project) AS files, (SELECT file FROM k WHERE k.project = p.project ORDER BY n DESC, file LIMIT 1) AS "primary", {", ".join(f"(SELECT COALESCE(STRING_AGG(label, ',' ORDER BY first_at), '') FROM f WHERE f.project = p.project AND kind = '{r}') AS {r}" for r in ("train", "validation", "test"))},
+BOOL_OR(kind = 'metric') AS evaluation_detected FROM e p GROUP BY project""")
+def flow_summary_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = W.flow_summary(_flow_events(spark, sf_dir), ["file", "event_id"])
+    return found.select("project", "files", "primary", *(F.array_join(r, ",").alias(r) for r in ("train", "validation", "test")), "evaluation_detected")

@@ -57,7 +57,7 @@ def inspect_files(files: DataFrame) -> DataFrame:
     Names are composed first; one file of names that differ in case only is read, the first in order."""
     files = files.withColumn("path", composed(F.col("path")))
     folded = files.groupBy(F.lower("path").alias("_folded")).agg(F.min("path").alias("_first"))
-    binary = F.locate("00", F.regexp_replace(F.hex("content"), "(..)", "$1 ")) > 0 if "content" in files.columns else F.lit(False)
+    binary = F.contains("content", F.lit(b"\x00")) if "content" in files.columns else F.lit(False)
     reason = (
         F.when(~is_safe(F.col("path")), "unsafe_path")
         .when(is_private(F.col("path")), "private")

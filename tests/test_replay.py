@@ -150,3 +150,13 @@ def test_label_slices_with_a_step_and_dummy_options(spark):
     assert R.preprocess(f, "RobustScaler", ["n"]).partial == {"n"}
     with pytest.raises(R.Unreplayable):
         R.preprocess(f, "Mystery", ["n"])
+
+
+def test_more_values_than_may_become_columns_are_refused(spark, monkeypatch):
+    f = R.load(spark.range(60).select(F.col("id").alias("row_id"), F.concat(F.lit("v"), F.col("id").cast("string")).alias("kind"), (F.col("id") % 30).alias("n")))
+    with pytest.raises(R.Unreplayable, match="60 values"):
+        R.one_hot(f, ["kind"], most=50)
+    assert len(R.one_hot(f, ["kind"], most=60).data.columns) == 62
+    monkeypatch.setattr(R, "MOST_CLASSES", 10)
+    with pytest.raises(R.Unreplayable, match="classes"):
+        R.random_split(f, 0.5, 1, stratify="n")

@@ -125,3 +125,52 @@ def test_sinks(spark, tmp_path):
     assert report.console(found) == "[High] R x: 3 (25.0%)"
     with pytest.raises(ValueError):
         report.save(found, str(tmp_path / "x"), "xml")
+
+
+def test_overview_and_shown_tables(spark):
+    from quarryline.operators import profile as P
+    from quarryline.operators import quality as Q
+
+    df = spark.createDataFrame([(i, None if i % 4 == 0 else float(i % 9), "x") for i in range(96)] + [(96, 9e6, "x"), (97, 8e6, "y")], "id long, value double, kind string")
+    nulls = P.null_profile(df)
+    found = Q.audit(df)
+    far = sum(r.detected_count for r in found.where("category = 'Outliers'").collect())
+    assert tuple(W.overview(nulls, found).first()) == (98, 3, pytest.approx(24 / 98 / 3), far) and far >= 2
+    assert [tuple(r) for r in W.missing_table(nulls).collect()] == [("value", "24.49%"), ("id", "0.00%"), ("kind", "0.00%")]
+    assert [tuple(r) for r in W.type_table(df).collect()] == [("id", "bigint", "numeric"), ("value", "double", "numeric"), ("kind", "string", "categorical")]
+    shown = W.statistics_table(P.numeric_profile(df), 1).collect()
+    assert [r.column for r in shown] == ["id", "value"] and shown[0]["mean"] == 48.5
+
+
+def test_flows_of_several_files_are_one(spark):
+    rows = [("p", "a.py", "train", "x", 1, 2), ("p", "a.py", "fit", "m", 1, 1), ("p", "b.py", "train", "y", 2, 1), ("p", "b.py", "train", "x", 2, 2), ("p", "b.py", "metric", "f1", 2, 3), ("p", "b.py", "fit", "n", 2, 4), ("q", "c.py", "source", "s", 1, 1)]
+    events = spark.createDataFrame(rows, "project string, file string, kind string, label string, at_file int, at int")
+    got = sorted(tuple(r) for r in W.merged_flows(events, ["at_file", "at"]).collect() if r.kind == "train")
+    assert got == [("p", "train", 1, "a.py", "x"), ("p", "train", 2, "b.py", "y"), ("p", "train", 3, "b.py", "x")]
+    summary = {r.project: r for r in W.flow_summary(events, ["at_file", "at"]).collect()}
+    assert (summary["p"].files, summary["p"].primary, summary["p"].train, summary["p"].test, summary["p"].evaluation_detected) == (2, "b.py", ["x", "y"], [], True)
+    assert (summary["q"].train, summary["q"].evaluation_detected) == ([], False)
+
+
+def test_truths_that_no_finding_meets(spark):
+    """They are counted without standing together; of two truths that one finding meets the first gets it."""
+    from quarryline.operators import findings as N
+
+    found = spark.createDataFrame([(1, "R", "a", "s", "High", "says so"), (2, "R", "b", "s", "Low", "says so"), (3, "R", "c", "s", "High", "no")], "id long, rule_id string, location string, verification_status string, severity string, evidence string")
+    truth = [(k, "Q", f"z{k}", "s", ["High"], "so") for k in range(100, 140)] + [(1, "R", "a", "s", ["High"], "so"), (2, "R", "a", "s", ["High", "Low"], "says"), (3, "R", "b", "s", ["High"], "so"), (4, "R", None, "s", ["High"], "so")]
+    row = N.evaluate(found, spark.createDataFrame(truth, "truth_id long, rule_id string, location string, verification_status string, severities array<string>, evidence string")).first()
+    assert (row.tp, row.fn, row.fp) == (1, 43, 2) and row.precision == pytest.approx(1 / 3)
+
+
+def test_white_space_inside_a_text_is_passed_once(spark):
+    import time
+
+    from quarryline.functions import values as V
+    from quarryline.operators.artifacts import standard_lines
+
+    long = "a" + " " * 200_000 + "b  "
+    began = time.time()
+    assert value(spark, V.strip, long) == long[:-2] and value(spark, standard_lines, long) == long[:-2]
+    assert time.time() - began < 20
+    assert [value(spark, V.strip, x) for x in ("  ", "　x\t", "", "x", " x y ")] == ["", "x", "", "x", "x y"]
+    assert value(spark, standard_lines, "\r\n a \t\r b \n\n") == " a\n b"
