@@ -85,3 +85,34 @@ _SCOPES = (("DQ_CROSS_SPLIT_FEATURE_COMBINATIONS", "Low", "user_id, event_type")
 def split_findings_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = (part.select("event_id", "user_id", "event_type") for part in _events(spark, sf_dir))
     return Q.audit_split(train, test, ["user_id", "event_type"], ["user_id"]).select("rule_id", "column", "severity", "detected_count")
+
+
+_LEAKS = (("DQ_CROSS_SPLIT_DUPLICATES", "High", "High", "Confirmed Record Duplication", "order_key, event_type"), ("DQ_CROSS_SPLIT_CANDIDATE_ID_OVERLAP", "Medium", "Medium", "Candidate Entity Overlap", "order_key"))
+
+
+@query(
+    "WITH e AS (SELECT event_id // 2 AS order_key, event_type, event_id % 4 = 0 AS test FROM events) "
+    + " UNION ALL ".join(
+        f"""SELECT '{rule}' AS rule_id, '{fields}' AS "column", '{severity}' AS severity, '{confidence}' AS confidence, '{nature}' AS issue_nature, SUM(tr + te)::BIGINT AS detected_count, ROUND(SUM(tr + te) / (SELECT COUNT(*) FROM e), 6) AS detected_rate, 'groups=' || COUNT(*) AS evidence
+FROM (SELECT {fields}, COUNT(*) FILTER (NOT test) AS tr, COUNT(*) FILTER (test) AS te FROM e GROUP BY {fields}) WHERE tr > 0 AND te > 0 HAVING COUNT(*) > 0"""
+        for rule, severity, confidence, nature, fields in _LEAKS
+    )
+)
+def leak_findings_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole rows, and the column that looks most like an identifier, on both sides of a split."""
+    events = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 2).alias("order_key"), "event_type", (F.col("event_id") % 4 == 0).alias("test"))
+    found = Q.audit_split(events.where("not test").drop("test"), events.where("test").drop("test"))
+    return rounded(found.select("rule_id", "column", "severity", "confidence", "issue_nature", "detected_count", "detected_rate", "evidence"), "detected_rate", digits=6)
+
+
+@query("""SELECT 'DQ_NON_FINITE_NUMERIC' AS rule_id, 'value' AS "column", CASE WHEN COUNT(*) FILTER (event_id % 40 = 0) / COUNT(*) >= 0.05 THEN 'High' ELSE 'Medium' END AS severity, COUNT(*) FILTER (event_id % 40 = 0) AS detected_count, ROUND(COUNT(*) FILTER (event_id % 40 = 0) / COUNT(*), 6) AS detected_rate FROM events
+UNION ALL SELECT 'DQ_MISSING_VALUES', 'value', 'Low', COUNT(*) FILTER (event_id % 40 = 1), ROUND(COUNT(*) FILTER (event_id % 40 = 1) / COUNT(*), 6) FROM events
+UNION ALL SELECT 'DQ_DUPLICATE_COLUMN_NAME', 'value', 'Medium', 2, NULL UNION ALL SELECT 'DQ_EMPTY_DATASET', NULL, 'High', 0, 1.0""")
+def odd_findings_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that are infinite or no number, a header that names a column twice, and a table without rows."""
+    key = F.col("event_id")
+    odd = F.when(key % 40 == 0, F.when(key % 80 == 0, float("inf")).otherwise(float("-inf"))).when(key % 40 == 1, float("nan")).otherwise(F.col("value"))
+    events = table(spark, sf_dir, "events").select("event_id", odd.alias("value"))
+    rules = ("DQ_NON_FINITE_NUMERIC", "DQ_MISSING_VALUES", "DQ_DUPLICATE_COLUMN_NAME", "DQ_EMPTY_DATASET")
+    found = Q.audit(events, header=["event_id", "value", "value"]).unionByName(Q.audit(events.where("event_id < 0")))
+    return rounded(found.where(F.col("rule_id").isin(*rules)).select("rule_id", "column", "severity", "detected_count", "detected_rate"), "detected_rate", digits=6)
