@@ -21,6 +21,9 @@ SIMILAR = 0.95
 #: differs, spread evenly, shingle sets have a Jaccard index of 0.6, and share none of the bands with a
 #: probability of 0.003; changes that lie together leave a higher index.
 SHINGLE, BANDS, ROWS = 5, 24, 3
+#: Min-hashes, of all, that a pair has to agree in to be compared: at a Jaccard index of 0.6 fewer agree
+#: with a probability of 1e-6.
+LEAST_AGREED = 23
 
 _SEEDS = np.random.default_rng(17).integers(1, 2**63, size=BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 2**64) for k in range(SHINGLE)], np.uint64)
@@ -69,8 +72,9 @@ def exact_groups(files: DataFrame, name: str, text: str) -> DataFrame:
     return hashed.join(groups, "h").select("name", "primary", "size")
 
 
-def bands_of(body: str) -> np.ndarray:
-    """A number for each band of the min-hashes of a text's character shingles."""
+def bands_of(body: str) -> tuple[np.ndarray, bytes]:
+    """A number for each band of the min-hashes of a text's character shingles, and a byte of each of
+    these hashes."""
     points = np.frombuffer(body.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64) + np.uint64(1)
     size = max(1, len(points) - SHINGLE + 1)
     h = np.zeros(size, np.uint64)
@@ -83,7 +87,7 @@ def bands_of(body: str) -> np.ndarray:
     for k in range(ROWS):
         out = (out + least[:, k]) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(29)
-    return out.view(np.int64)
+    return out.view(np.int64), least.astype(np.uint8).tobytes()
 
 
 def near_pairs(files: DataFrame, name: str, text: str, threshold: float = SIMILAR, code: bool = False) -> DataFrame:
@@ -94,7 +98,8 @@ def near_pairs(files: DataFrame, name: str, text: str, threshold: float = SIMILA
     and the links found make components.  In a bucket of several components the members outside the
     largest are then compared with all members of other components, so no link between texts of one
     bucket is lost that joins two components, and members of one group don't all meet one another.
-    Texts whose lengths rule the similarity out are not compared.
+    Texts whose lengths rule the similarity out are not compared, and neither are those that agree in
+    fewer than LEAST_AGREED of their min-hashes, so whole texts only travel for likely pairs.
     """
     rows = files.select(F.col(name).alias("name"), standard_lines(F.coalesce(F.col(text), F.lit(""))).alias("plain"))
     rows = (without_comments(rows, "plain") if code else rows).withColumn("plain", F.regexp_replace("plain", r"(?U)\s+", ""))
@@ -104,9 +109,10 @@ def near_pairs(files: DataFrame, name: str, text: str, threshold: float = SIMILA
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [bands_of(x.as_py()) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.int64()))], ["name", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.binary())], ["name", "n", "bands", "sig"])
 
-    members = once.select("name", "plain", "n").mapInArrow(banded, f"name {kind}, n int, bands array<long>").select("name", "n", F.explode("bands").alias("band"))
+    sketches = written(once.select("name", "plain", "n").mapInArrow(banded, f"name {kind}, n int, bands array<long>, sig binary"), "sketches")
+    members = sketches.select("name", "n", F.explode("bands").alias("band"))
     left, right = once.select(F.col("name").alias("a"), F.col("plain").alias("x")), once.select(F.col("name").alias("b"), F.col("plain").alias("y"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +124,14 @@ def near_pairs(files: DataFrame, name: str, text: str, threshold: float = SIMILA
                     out.append((a, b, r))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], batch.column(0).type if i < 2 else pa.float64()) for i in range(3)], ["a", "b", "similarity"])
 
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS) for k in (2, 3))
+            yield pa.RecordBatch.from_arrays(list(batch.columns[:2]), ["a", "b"]).filter(pa.array((x == y).sum(1) >= LEAST_AGREED))
+
     def verified(pairs: DataFrame) -> DataFrame:
+        one, other = sketches.select(F.col("name").alias("a"), F.col("sig").alias("x")), sketches.select(F.col("name").alias("b"), F.col("sig").alias("y"))
+        pairs = written(pairs.join(one, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(likely, f"a {kind}, b {kind}"), "likely")
         return written(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, f"a {kind}, b {kind}, similarity double"), "links")
 
     fits = F.least("n", "other_n") >= F.lit(threshold / 2) * (F.col("n") + F.col("other_n"))

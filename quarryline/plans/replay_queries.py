@@ -54,6 +54,18 @@ def replay_select_drop_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.replay(steps, {"part.csv": _keyed(spark, sf_dir, "part", "p_partkey")}, ["d"])["d"].data.drop(R.ROW)
 
 
+@query("""SELECT p_partkey, p_size::DOUBLE AS p_size, CASE WHEN p_partkey % 6 > 0 THEN TRY_CAST(p_name AS BIGINT) ELSE p_partkey END AS p_name FROM part""")
+def replay_astype_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single columns in another type; texts that spell no number become null."""
+    part = _keyed(spark, sf_dir, "part", "p_partkey").select(R.ROW, "p_partkey", "p_size", F.when(F.col("p_partkey") % 6 > 0, F.col("p_name")).otherwise(F.col("p_partkey").cast("string")).alias("p_name"))
+    steps = [
+        {"operation": "load", "path": "part.csv", "output": "raw"},
+        {"operation": "astype_column", "input": "raw", "output": "a", "column": "p_size", "dtype": "float64"},
+        {"operation": "astype_column", "input": "a", "output": "b", "column": "p_name", "dtype": "int64"},
+    ]
+    return R.replay(steps, {"part.csv": part}, ["b"])["b"].data.drop(R.ROW)
+
+
 _POS = "SELECT *, ROW_NUMBER() OVER (ORDER BY c_custkey) - 1 AS pos FROM customer"
 
 
@@ -136,11 +148,13 @@ def csv_preview_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{scratch_path(spark)}/csv-{uuid.uuid4().hex}"
     segment = F.when(F.col("c_custkey") % 3 == 0, "NA").otherwise(F.col("c_mktsegment")).alias("segment")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name", segment, F.lit("表").alias("mark"))
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # Spark writes this one only where asked to
+    setting = "spark.sql.legacy.javaCharsets"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, "true")  # Spark writes this one only where asked to
     try:
         customer.orderBy("c_custkey").coalesce(1).write.option("header", True).option("encoding", "GB18030").csv(path)
     finally:
-        spark.conf.unset("spark.sql.legacy.javaCharsets")
+        spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
     return preview(spark, path).where("mark = '表'").drop("mark")
 
 
