@@ -472,3 +472,22 @@ def test_temporary_tables_of_two_threads(spark, tmp_path):
     assert seen["n"] == 5
     with pytest.raises(Exception, match="(?i)path|file"):
         outer.count()
+
+
+@pytest.mark.parametrize("members", [50_000, 1_000_000])
+def test_pairs_at_the_threshold_share_a_table_of_a_large_label(members):
+    """With the plans that large labels have, and the count that all have."""
+    import math
+
+    import numpy as np
+
+    rng, dim = np.random.default_rng(6), 64
+    x, z = rng.normal(size=(2, 3000, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(1, keepdims=True) * x
+    y = 0.93 * x + math.sqrt(1 - 0.93**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    plan = embedding_near_dedup.plan(members, 0.93)
+    assert plan[0] > 5 and (embedding_near_dedup.cells_of(x, *plan, 0.93) == embedding_near_dedup.cells_of(y, *plan, 0.93)).any(1).all()
+    along = embedding_near_dedup.directions(dim)
+    half = embedding_near_dedup.WINDOW * math.sqrt(2 - 2 * 0.93)
+    assert ((np.abs(x @ along - y @ along) <= half).sum(1) >= embedding_near_dedup.least_count()).all()
