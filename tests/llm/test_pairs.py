@@ -354,6 +354,50 @@ def test_a_passage_whose_min_hashes_have_smaller_holders_elsewhere(spark):
     assert {(r.class_id, r.passages, r.n_repeated) for r in got.values()} == {(1000, "60:120", 60)}
 
 
+def test_similar_passages_whose_min_hashes_have_smaller_holders_elsewhere(spark):
+    """As above, but of the passage's two holders one has changed a word, so that no 50 words are equal."""
+    words, rows = [f"sim{i}ilar" for i in range(70)], []
+    for i in range(66 * 6):
+        rows.append((i, " ".join([*(f"l{i}x{k}" for k in range(48)), *words[i // 6 : i // 6 + 5], *(f"r{i}x{k}" for k in range(48))])))
+    for d, own in ((1000, words), (1001, [*words[:35], "changed", *words[36:]])):
+        rows.append((d, " ".join([*(f"l{d}x{k}" for k in range(60)), *own, *(f"r{d}x{k}" for k in range(60))])))
+    got = in_classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {d: (r.class_id, r.n_partners, r.passages) for d, r in got.items()} == {1000: (1000, 1, "60:130"), 1001: (1000, 1, "60:130")}
+
+
+@pytest.mark.parametrize("one_by_one", [12, 0])
+def test_passages_are_those_of_all_ranges(monkeypatch, one_by_one):
+    """Against all pairs of ranges that begin alike and end alike: changed, inserted and moved parts,
+    repeated shingles, passages next to parts that are less alike."""
+    import numpy as np
+
+    def brute(a, b, least, percent):
+        for i, x in zip(*np.nonzero(a[:, None] == b)):
+            for j, y in zip(*np.nonzero(a[i + least - 1 :, None] == b[x + least - 1 :])):
+                left, right = a[i : i + least + j], b[x : x + least + y]
+                if substring_dedup.alike(left, right, percent):
+                    yield i, i + least - 1 + j, x, x + least - 1 + y
+
+    monkeypatch.setattr(substring_dedup, "ONE_BY_ONE", one_by_one)
+    rng, met = np.random.default_rng(3), 0
+    for n in range(120):
+        base = rng.integers(0, 1000 if n % 3 else 6, 30)
+        a, b = base.copy(), base.copy()
+        for z in (a, b):
+            z[rng.integers(0, 30, rng.integers(0, 6))] = rng.integers(1000, 2000)
+        if n % 3 == 2:
+            k, m = rng.integers(1, 29, 2)
+            b = np.concatenate([b[k:], b[:k]])
+            b = np.concatenate([b[:m], rng.integers(3000, 4000, rng.integers(0, 6)), b[m:]])
+        a, b = a.astype(np.uint64), b.astype(np.uint64)
+        got, want = substring_dedup.common_passages(a, b, 8, 75), list(brute(a, b, 8, 75))
+        met += bool(want)
+        assert set(got) <= set(want) if n % 3 else bool(got) == bool(want)
+        for k in (0, 2):
+            assert {z for w in want for z in range(w[k], w[k + 1] + 1)} <= {z for g in got for z in range(g[k], g[k + 1] + 1)}
+    assert met > 40
+
+
 @pytest.mark.parametrize("dim", [64, 256])
 def test_vectors_that_are_all_near_one_another_take_bounded_memory(spark, dim):
     import tracemalloc
