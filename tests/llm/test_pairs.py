@@ -1,6 +1,10 @@
 """Operators that compare documents, vectors, URLs and values, against plain Python."""
 
+import os
+
 import brute
+import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import PASSAGE, ordered, texts
 from pyspark.sql import functions as F
@@ -535,3 +539,61 @@ def test_pairs_at_the_threshold_share_a_table_of_a_large_label(members):
     along = embedding_near_dedup.directions(dim)
     half = embedding_near_dedup.WINDOW * math.sqrt(2 - 2 * 0.93)
     assert ((np.abs(x @ along - y @ along) <= half).sum(1) >= embedding_near_dedup.least_count()).all()
+
+
+def test_what_passages_leave_on_disk_while_they_are_found(spark, docs, monkeypatch):
+    """A query's shuffle files go when it ends, and the largest tables as soon as they are read."""
+    kept, folder, write = [], common.scratch_dir(spark).removeprefix("file://"), common.materialise
+
+    def shuffles():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for k in range(found.size()) if (name := found.apply(k).getName()).startswith("shuffle_")}
+
+    def seen(df, label, keep=False):
+        out = write(df, label, keep)
+        kept.append((label, {x.rpartition("-")[0] for x in set(os.listdir(folder)) - others}, len(shuffles() - before)))
+        return out
+
+    others, before = set(os.listdir(folder)) if os.path.isdir(folder) else set(), shuffles()
+    monkeypatch.setattr(substring_dedup, "materialise", seen)
+    assert substring_dedup.passage_classes(docs).count() == len({r.doc_id for r in docs.select("doc_id").collect()})
+    at = {label: tables for label, tables, _ in kept}
+    assert {"shared-parts", "texts-of-parts", "open-pairs", "passage-classes"} <= set(at)
+    assert not at["texts-of-parts"] & {"nodes", "windows", "leaders", "runs"} and "seeds" not in at["passages"]
+    assert all(n == 0 for _, _, n in kept), kept
+    assert spark.conf.get(common.CLEANUP, None) is None
+    spark.conf.set(common.CLEANUP, "false")
+    try:
+        with common.shuffles_cleaned(spark):
+            assert spark.conf.get(common.CLEANUP) == "false"
+        assert spark.conf.get(common.CLEANUP) == "false"
+    finally:
+        spark.conf.unset(common.CLEANUP)
+
+
+def test_ranges_that_all_functions_cover():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        ranges, marks = [], []
+        for _ in range(3):
+            low = rng.integers(0, 40, rng.integers(0, 6))
+            high = low + rng.integers(0, 15, len(low))
+            ranges.append(substring_dedup.union(low, high))
+            marks.append({x for i, j in zip(low.tolist(), high.tolist(), strict=True) for x in range(i, j + 1)})
+            assert marks[-1] == {x for i, j in zip(*(r.tolist() for r in ranges[-1]), strict=True) for x in range(i, j + 1)}
+            assert all(np.diff(ranges[-1][0]) > 1)
+        low, high = (r.tolist() for r in substring_dedup.in_all(ranges))
+        assert set.intersection(*marks) == {x for i, j in zip(low, high, strict=True) for x in range(i, j + 1)}
+
+
+def test_groups_are_whole():
+    rng = np.random.default_rng(6)
+    a, b = np.sort(rng.integers(0, 9, 200)), rng.integers(0, 3, 200)
+    b = b[np.lexsort((b, a))]
+    cuts = [0, 0, 7, 8, 120, 121, 200]
+    batches = [pa.RecordBatch.from_arrays([pa.array(x[i:j]) for x in (a, b)], ["a", "b"]) for i, j in zip(cuts, cuts[1:], strict=False)]
+    for keys in (1, 2):
+        parts = list(substring_dedup.whole_groups(iter(batches), keys))
+        assert [x.tolist() for x in map(np.concatenate, zip(*parts, strict=True))] == [a.tolist(), b.tolist()]
+        told = [{tuple(r) for r in np.array(part[:keys]).T.tolist()} for part in parts]
+        assert sum(map(len, told)) == len(set.union(*told))
