@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.functions.values import NUMBER_TEXT
+from quarryline.sources.scratch import written
 from quarryline.sources.texts import decodable, in_utf8  # noqa: F401
 
 #: Fields that a preview shows as missing; a scan keeps them.
@@ -47,25 +50,29 @@ def column_types(df: DataFrame) -> dict[str, str]:
     }
 
 
-def typed(df: DataFrame) -> DataFrame:
-    """The text columns in their inferred types; dates stay text."""
-    types = column_types(df)
+def typed(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """The text columns, all or the given ones, in their inferred types; dates stay text."""
+    types = column_types(df if columns is None else df.select(*columns))
     number = lambda c: F.regexp_replace(F.trim(F.col(c)), "(?i)^([+-]?)inf(inity)?$", "$1Infinity")
-    return df.select(*((number(c) if t in ("double", "bigint") else F.col(c)).cast(t).alias(c) for c, t in types.items()))
+    kinds = {c: types.get(c) for c in df.columns}
+    return df.select(*((number(c) if t in ("double", "bigint") else F.col(c)).cast(t).alias(c) if t else F.col(c) for c, t in kinds.items()))
 
 
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
-    """0-based positions in file order: rows are counted for each partition, then numbered."""
-    marked = df.withColumn("_id", F.monotonically_increasing_id())
-    # the upper bits are the partition, the lower 33 the position in it
-    part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = sorted((r["p"], r["count"]) for r in marked.groupBy(part.alias("p")).count().collect())  # one row a partition
+    """0-based positions in file order of rows read from files: files by their paths, the rows of each
+    as they follow one another.  Spark deals the largest pieces of files out first, and packs several
+    into a task, so rows are counted for each piece, not for each task.  They are written once: another
+    read may be cut into other pieces."""
+    piece = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    marked = written(df.select("*", piece.alias("_piece"), F.monotonically_increasing_id().alias("_id")), "csv-rows")
+    # one row a piece
+    pieces = marked.groupBy("_piece").agg(F.min("_id").alias("low"), F.count("*").alias("n")).collect()
     starts, total = [], 0
-    for p, n in sizes:
-        starts.append((p, total))
-        total += n
-    first = df.sparkSession.createDataFrame(starts, "_p long, _start long")
-    return marked.withColumns({"_p": part, "_place": place}).join(F.broadcast(first), "_p").withColumn(name, F.col("_start") + F.col("_place")).drop("_id", "_p", "_place", "_start")
+    for r in sorted(pieces, key=lambda r: (unquote(r["_piece"]["file"]), r["_piece"]["start"])):
+        starts.append((r["_piece"], total - r["low"]))
+        total += r["n"]
+    first = df.sparkSession.createDataFrame(starts, "_piece struct<file: string, start: bigint>, _shift long")
+    return marked.join(F.broadcast(first), "_piece").withColumn(name, F.col("_shift") + F.col("_id")).drop("_piece", "_id", "_shift")
 
 
 def has_quoted_lines(spark: SparkSession, path: str) -> bool:
@@ -79,7 +86,8 @@ def scan_csv(spark: SparkSession, path: str, encoding: str | None = None, quoted
     are in UTF-8 (``encoding`` may say so) or have to be decoded first, and whether quoted fields hold
     line ends; only then a file isn't split over tasks."""
     path = path if (encoding or "").upper() == "UTF-8" else in_utf8(spark, path)
-    return with_row_id(typed(read_text_table(spark, path, has_quoted_lines(spark, path) if quoted_lines is None else quoted_lines)))
+    text = read_text_table(spark, path, has_quoted_lines(spark, path) if quoted_lines is None else quoted_lines)
+    return typed(with_row_id(text), text.columns)
 
 
 def preview(spark: SparkSession, path: str, n: int = 10) -> DataFrame:
