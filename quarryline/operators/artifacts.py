@@ -6,6 +6,7 @@ import io
 import tokenize
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,10 @@ SHINGLE, BANDS, ROWS = 5, 24, 3
 #: with a probability of 1e-6.
 LEAST_AGREED = 23
 
+#: Characters of the shortest common runs that are listed at first; runs that are listed in any case, and for
+#: each character; product of the lengths up to which two parts are left to difflib.
+RUN, LEAST_LISTED, LISTED, SMALL = 32, 1 << 20, 8, 1 << 10
+
 _SEEDS = np.random.default_rng(17).integers(1, 2**63, size=BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 2**64) for k in range(SHINGLE)], np.uint64)
 
@@ -82,7 +87,11 @@ def bands_of(body: str) -> tuple[np.ndarray, bytes]:
         h += points[k : k + size] * _POWERS[k]
     h ^= h >> np.uint64(29)
     h = np.unique(h * np.uint64(0xBF58476D1CE4E5B9))
-    least = np.array([((h ^ (h >> np.uint64(31))) * s).min() for s in _SEEDS], np.uint64).reshape(BANDS, ROWS)
+    h ^= h >> np.uint64(31)
+    product, least = np.empty_like(h), np.empty(BANDS * ROWS, np.uint64)
+    for k, seed in enumerate(_SEEDS):
+        least[k] = np.multiply(h, seed, out=product).min()
+    least = least.reshape(BANDS, ROWS)
     out = np.arange(1, BANDS + 1, dtype=np.uint64)
     for k in range(ROWS):
         out = (out + least[:, k]) * np.uint64(0x9E3779B97F4A7C15)
@@ -90,6 +99,142 @@ def bands_of(body: str) -> tuple[np.ndarray, bytes]:
     return out.view(np.int64), least.astype(np.uint8).tobytes()
 
 
+def common_order(x: str, y: str, least: int = 0) -> int:
+    """The length of the longest common subsequence: difflib never matches more characters.  -1 as soon as it
+    is certain to be less than ``least``.  A bit of an integer stands for each place of ``x``."""
+    if least > min(len(x), len(y)):
+        return -1
+    points, places = np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32), {}
+    full = (1 << len(x)) - 1
+    row, ahead = full, len(x) - least
+    for k, c in enumerate(y, 1):
+        if c not in places:
+            places[c] = int.from_bytes(np.packbits(points == ord(c), bitorder="little").tobytes(), "little")
+        if both := row & places[c]:
+            row = (row + both | row - both) & full
+        # what is matched of y[:k] is in x[: k + ahead], else too much of x is not
+        if not k & 63:
+            until = min(len(x), k + ahead)
+            if k - until + (row & (1 << until) - 1).bit_count() > len(y) - least:
+                return -1
+    return len(x) - row.bit_count()
+
+
+def beginnings(a: np.ndarray, b: np.ndarray, before_a: np.ndarray, before_b: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """(i, j) of all pairs of places with a[i] = b[j] but not before_a[i] = before_b[j], None if they are more
+    than ``most``.  The places of a value in ``b`` are in order of what is before them, so those left out are
+    one range: texts of repetitions make as many pairs as they have runs, not places."""
+    kinds = 1 + int(max(before_a.max(initial=0), before_b.max(initial=0)))
+    key = b * kinds + before_b
+    order = np.argsort(key, kind="stable")
+    line, mine = key[order], a * kinds + before_a
+    bounds = [np.searchsorted(line, x) for x in (a * kinds, mine, mine + 1, (a + 1) * kinds)]
+    if sum(int((bounds[k + 1] - bounds[k]).sum()) for k in (0, 2)) > most:
+        return None
+    i, j = [], []
+    for low, high in (bounds[:2], bounds[2:]):
+        n = high - low
+        i.append(np.repeat(np.arange(len(a)), n))
+        j.append(order[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+    return np.concatenate(i), np.concatenate(j)
+
+
+def common_runs(x: np.ndarray, y: np.ndarray, size: int) -> np.ndarray | None:
+    """Rows (start in x, end in x, start in y less that in x) of all common runs of at least ``size`` places
+    that can't be made longer; None if they are more than LEAST_LISTED, and than LISTED for each place."""
+    letters, width = np.unique(np.concatenate([x, y]), return_inverse=True)[1], 1
+    ranks = letters
+    while width < size:
+        step = min(width, size - width)
+        ranks, width = np.unique(ranks[: len(ranks) - step] * (len(x) + len(y)) + ranks[step:], return_inverse=True)[1], width + step
+    # runs across the end of x are no runs
+    a, b = ranks[: max(0, len(x) - size + 1)], ranks[len(x) :]
+    if not len(a) or not len(b):
+        return np.zeros((0, 3), np.int64)
+    ends = []
+    for back in (False, True):
+        around = []
+        for k, (line, of) in enumerate(((letters[: len(x)], a), (letters[len(x) :], b))):
+            # the letter before each place, or behind it; another one at the ends of both texts
+            other = np.full(len(of), k, np.int64)
+            if back:
+                other[:-1] = line[size:][: len(of) - 1] + 2
+            else:
+                other[1:] = line[: len(of) - 1] + 2
+            around.append(other)
+        met = beginnings(a, b, *around, max(LEAST_LISTED, LISTED * (len(x) + len(y))))
+        if met is None:
+            return None
+        i, d = met[0], met[1] - met[0]
+        at = np.lexsort((i, d))
+        ends.append((i[at], d[at]))
+    return np.array([ends[0][0], ends[1][0] + size, ends[0][1]]).T
+
+
+def matching(x: str, y: str, most_lost: float, size: int = RUN) -> int | None:
+    """How many characters difflib matches: those of the longest common run, the first in ``x`` and then in
+    ``y``, and of what lies before it and behind it on both sides.  None if more than ``most_lost`` of the
+    shorter text are not.
+
+    The longest run of two parts is told by a list of all runs of at least ``size``, cut to the parts.
+    Parts without any are searched for shorter ones, and small ones are left to difflib itself, as are those
+    that have too many runs to list and none of the length from which they are few.
+    """
+    if size > 1 and len(x) * len(y) > SMALL:
+        least = max(0, ceil(min(len(x), len(y)) - most_lost))
+        if size < RUN // 4 and common_order(x, y, least) < least:
+            return None
+        points = [np.frombuffer(z.encode("utf-32-le", "surrogatepass"), np.uint32) for z in (x, y)]
+        runs, least = common_runs(*points, size), size
+        while runs is None and least < min(len(x), len(y)):
+            least *= 2
+            runs = common_runs(*points, least)
+    if size < 2:
+        found, at = 0, -1  # no two characters in a row are common: each goes with the first one behind the last
+        for c in x:
+            if (next_ := y.find(c, at + 1)) >= 0:
+                found, at = found + 1, next_
+        return found if min(len(x), len(y)) - found <= most_lost else None
+    if len(x) * len(y) <= SMALL or runs is None or (least > size and not len(runs)):
+        found = sum(block.size for block in SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks())
+        return found if min(len(x), len(y)) - found <= most_lost else None
+    found, todo = 0, [(0, len(x), 0, len(y), runs)]
+    while todo:
+        i, until_i, j, until_j, runs = todo.pop()
+        low, high = np.maximum(np.maximum(runs[:, 0], i), j - runs[:, 2]), np.minimum(np.minimum(runs[:, 1], until_i), until_j - runs[:, 2])
+        fits = high - low >= least
+        if not fits.any():
+            n = matching(x[i:until_i], y[j:until_j], most_lost, size // 4 if least == size else size)
+            if n is None:
+                return None
+            most_lost -= min(until_i - i, until_j - j) - n
+            found += n
+            continue
+        runs, low, high = runs[fits], low[fits], high[fits]
+        longest = np.flatnonzero(high - low == (high - low).max())
+        best = longest[np.lexsort((runs[longest, 2], low[longest]))[0]]
+        begin, end, d = int(low[best]), int(high[best]), int(runs[best, 2])
+        found += end - begin
+        parts = [(i, begin, j, begin + d, runs), (end, until_i, end + d, until_j, runs)]
+        # what the longer side of each part has more than the shorter one can't be matched
+        most_lost -= min(until_i - i, until_j - j) - (end - begin) - sum(min(p[1] - p[0], p[3] - p[2]) for p in parts)
+        if most_lost < 0:
+            return None
+        todo += [p for p in parts if p[0] < p[1] and p[2] < p[3]]
+    return found
+
+
+def similarity(x: str, y: str, threshold: float) -> float | None:
+    """difflib's ratio of two texts, without its junk; None if it is below the threshold."""
+    both, shorter = len(x) + len(y), min(len(x), len(y))
+    most_lost = shorter - threshold * both / 2 + 0.5
+    least = max(0, ceil(shorter - most_lost))
+    if 2.0 * shorter / both < threshold or common_order(x, y, least) < least:
+        return None
+    found = matching(x, y, most_lost)
+    return None if found is None or 2.0 * found / both < threshold else 2.0 * found / both
+
+
 def near_pairs(files: DataFrame, name: str, text: str, threshold: float = SIMILAR, code: bool = False) -> DataFrame:
     """(a, b, similarity) of artifacts that aren't equal but similar: twice the matching characters over
     all characters, white space left out, and with ``code`` the comments of Python sources.
@@ -119,8 +264,7 @@ def near_pairs(files: DataFrame, name: str, text: str, threshold: float = SIMILA
         for batch in batches:
             out = []
             for a, b, x, y in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                m = SequenceMatcher(None, x, y, autojunk=False)
-                if m.real_quick_ratio() >= threshold and m.quick_ratio() >= threshold and (r := m.ratio()) >= threshold:
+                if (r := similarity(x, y, threshold)) is not None:
                     out.append((a, b, r))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], batch.column(0).type if i < 2 else pa.float64()) for i in range(3)], ["a", "b", "similarity"])
 
