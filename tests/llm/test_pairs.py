@@ -597,3 +597,22 @@ def test_groups_are_whole():
         assert [x.tolist() for x in map(np.concatenate, zip(*parts, strict=True))] == [a.tolist(), b.tolist()]
         told = [{tuple(r) for r in np.array(part[:keys]).T.tolist()} for part in parts]
         assert sum(map(len, told)) == len(set.union(*told))
+
+
+def test_hashes_that_a_text_lacks_are_not_searched(monkeypatch):
+    """The bounds of a shingle's places are searched once, and of most shingles that the other text lacks never."""
+    from quarryline.llm import substring_dedup as S
+
+    rng = np.random.default_rng(5)
+    b = rng.integers(1, 2**63, size=4000, dtype=np.uint64) * np.uint64(2)
+    b = np.concatenate([b, b[:300], b[100:200]])
+    a = np.concatenate([rng.integers(1, 2**63, size=20_000, dtype=np.uint64) * np.uint64(2), b[50:450], b[:1]])
+    index, asked, search = S.Indexed(b), [], np.searchsorted
+    monkeypatch.setattr(S.np, "searchsorted", lambda line, of, *rest: (asked.append(np.size(of)), search(line, of, *rest))[1])
+    low, high = index.places(a)
+    assert sum(asked) < 4000
+    places: dict[int, list[int]] = {}
+    for k, x in enumerate(b.tolist()):
+        places.setdefault(x, []).append(k)
+    assert [index.order[i:j].tolist() for i, j in zip(low.tolist(), high.tolist(), strict=True)] == [places.get(x, []) for x in a.tolist()]
+    assert not any(x.any() for x in S.Indexed(b[:0]).places(a))
